@@ -1,7 +1,8 @@
 """Skew-safe per-user timelines.
 
 A plain ``Window.partitionBy(user)`` sends all rows of a user to one task. One user may hold a
-third of the log, so the point-in-time operators never partition by the user alone:
+third of the log, so users above ``HOT_USER_ROWS`` rows (found by one count per user) never
+go through a whole-user partition; they take these plans instead:
 
 * **time-bucket context** (range frames up to ``width``): every row goes to its own bucket
   ``floor(ts/width)`` and, flagged as context, to the next one. A frame ``[t-W, t]`` with
@@ -24,6 +25,20 @@ from riskloom.schema import HOUR_US
 
 DAY_US = 24 * HOUR_US
 DEFAULT_CHUNK = 4096
+# A user with more rows than this takes the skew-safe plan; everybody else is windowed in
+# one exchange by user. The hot-user list therefore has at most rows / HOT_USER_ROWS keys,
+# which is the size bound that makes broadcasting it safe.
+HOT_USER_ROWS = 250_000
+
+
+def split_hot_keys(df: DataFrame, key: str = "user_id",
+                   threshold: int = HOT_USER_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(rows of normal keys, rows of hot keys). One partial aggregate counts rows per key;
+    keys above ``threshold`` (at most total/threshold of them) are broadcast to both sides."""
+    hot = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+           .where(F.col("_n") > threshold).select(key))
+    hb = F.broadcast(hot)
+    return df.join(hb, key, "left_anti"), df.join(hb, key, "left_semi")
 
 
 def with_ts_us(df: DataFrame, ts_col: str = "timestamp") -> DataFrame:

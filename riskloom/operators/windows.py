@@ -6,9 +6,14 @@ Edges (integer microseconds, ``_ts_us``):
   strictly earlier timestamps only, so ties never count);
 * ``batch`` variant (W10): rows earlier in (timestamp, id) order with ``t - W < ts <= t``.
 
-Range frames run inside a (user, day bucket) partition with the previous day as context; rows
-frames run inside (user, row chunk) partitions with the previous chunk as context (see
-:mod:`riskloom.operators.timeline`). No partition ever holds all rows of a user.
+Plans. ``user_windows`` splits the log by a per-user row count
+(:func:`riskloom.operators.timeline.split_hot_keys`):
+
+* normal users: one exchange by user; range frames order by ``_ts_us``, rows frames by
+  (``_ts_us``, id) — both reuse the same partitioning (one shuffle for all of W1-W9, W11);
+* hot users: range frames inside (user, day bucket) partitions with the previous day as
+  context, rows frames inside (user, row chunk) partitions with the previous chunk as context,
+  the row index from bucket counts. No partition ever holds all rows of a hot user.
 """
 
 from __future__ import annotations
@@ -17,41 +22,73 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import features as FX
-from riskloom.operators.timeline import (DAY_US, DEFAULT_CHUNK, bucket_context, chunk_context,
-                                         hours_between_us, running_max, with_ts_us,
-                                         with_user_row_index)
+from riskloom.operators.timeline import (DAY_US, DEFAULT_CHUNK, HOT_USER_ROWS, bucket_context,
+                                         chunk_context, hours_between_us, running_max,
+                                         split_hot_keys, with_ts_us, with_user_row_index)
 from riskloom.schema import HOUR_US
 
 USER = "user_id"
 TID = "transaction_id"
+UNB = Window.unboundedPreceding
 
 
 def _ensure_ts(df: DataFrame) -> DataFrame:
     return df if "_ts_us" in df.columns else with_ts_us(df)
 
 
-def _range_w(lookback_us: int, upper: int, user: str = USER) -> Window:
-    return (Window.partitionBy(user, "_bkt").orderBy("_ts_us")
-            .rangeBetween(-lookback_us, upper))
-
-
-def range_window(df: DataFrame, cols: dict, width_us: int = DAY_US,
-                 user: str = USER) -> DataFrame:
-    """Evaluate window columns over (user, bucket) partitions with previous-bucket context.
-
-    ``cols`` maps output name → function ``(frame_factory) -> Column`` where
-    ``frame_factory(lookback_us, upper)`` returns a range frame; every lookback must be
-    ``<= width_us``."""
-    ctx = bucket_context(_ensure_ts(df), width_us)
-    mk = lambda lb, up: _range_w(lb, up, user)
-    out = ctx.select("*", *[fn(mk).alias(name) for name, fn in cols.items()])
-    return out.where(~F.col("_ctx")).drop("_bkt", "_ctx")
-
-
-# W1 + W2 + W3 (+ W11) -------------------------------------------------------------------------
+# ---- the two plans -----------------------------------------------------------------------
+
+def _plain(d: DataFrame, range_cols: dict, rows_cols: dict, user: str, id_col: str) -> DataFrame:
+    wr = Window.partitionBy(user).orderBy("_ts_us")
+    wo = Window.partitionBy(user).orderBy("_ts_us", id_col)
+    mk = lambda lb, up: wr.rangeBetween(-lb, up)
+    cols = [(F.row_number().over(wo) - 1).cast("long").alias("_row"),
+            F.max("_ts_us").over(wr.rangeBetween(UNB, -1)).alias("_prev_ts_us")]
+    cols += [fn(mk).alias(n) for n, fn in range_cols.items()]
+    cols += [fn(wo).alias(n) for n, fn in rows_cols.items()]
+    return d.select("*", *cols)
+
+
+def _skew(d: DataFrame, range_cols: dict, rows_cols: dict, user: str, id_col: str,
+          width_us: int = DAY_US, chunk: int = DEFAULT_CHUNK) -> DataFrame:
+    out = with_user_row_index(d, user, id_col)
+    if rows_cols:
+        ctx = chunk_context(out, chunk)
+        w = Window.partitionBy(user, "_chunk").orderBy("_row")
+        out = (ctx.select("*", *[fn(w).alias(n) for n, fn in rows_cols.items()])
+               .where(~F.col("_ctx")).drop("_chunk", "_ctx"))
+    if range_cols:
+        ctx = bucket_context(out, width_us)
+        wr = Window.partitionBy(user, "_bkt").orderBy("_ts_us")
+        mk = lambda lb, up: wr.rangeBetween(-lb, up)
+        out = (ctx.select("*", *[fn(mk).alias(n) for n, fn in range_cols.items()])
+               .where(~F.col("_ctx")).drop("_bkt", "_ctx"))
+    return out.withColumn("_row", F.col("_row").cast("long"))
+
+
+def user_windows(df: DataFrame, range_cols: dict | None = None, rows_cols: dict | None = None,
+                 user: str = USER, id_col: str = TID, hot_threshold: int | None = HOT_USER_ROWS,
+                 width_us: int = DAY_US, chunk: int = DEFAULT_CHUNK) -> DataFrame:
+    """Add ``_row``, ``_prev_ts_us`` and the given window columns.
+
+    ``range_cols``: name → ``fn(mk)`` with ``mk(lookback_us, upper)`` a range frame over
+    ``_ts_us`` (lookback <= ``width_us``). ``rows_cols``: name → ``fn(w)`` with ``w`` a window
+    in (timestamp, id) order (frames reach back at most ``chunk`` rows).
+    ``hot_threshold=None`` sends every user through the skew-safe plan."""
+    d = _ensure_ts(df)
+    rc, oc = range_cols or {}, rows_cols or {}
+    if hot_threshold is None:
+        return _skew(d, rc, oc, user, id_col, width_us, chunk)
+    normal, hot = split_hot_keys(d, user, hot_threshold)
+    return _plain(normal, rc, oc, user, id_col).unionByName(
+        _skew(hot, rc, oc, user, id_col, width_us, chunk))
+
+
+# ---- column factories ----------------------------------------------------------------------
 
 def velocity_columns(hours=(1, 6, 24), amount_hours=(1, 24), distinct_hours=(24,),
                      device_hours=()) -> dict:
+    """W1 counts, W2 sums, W3 distincts over ``[t-W, t)``; W11 devices over ``[t-W, t]``."""
     cols = {}
     for h in hours:
         cols[f"txn_count_{h}h"] = lambda mk, h=h: F.count(F.lit(1)).over(mk(h * HOUR_US, -1))
@@ -70,84 +107,81 @@ def velocity_columns(hours=(1, 6, 24), amount_hours=(1, 24), distinct_hours=(24,
     return cols
 
 
+def history_columns(n_diversity: int = 100, n_spend: int = 10, travel: bool = True,
+                    n_history: int = 0) -> dict:
+    """Rows-frame inputs of W5 (distinct merchants of the last 100), W6 (sum of the last 10
+    amounts), W7 (previous row's country and time) and W9 (the last n rows)."""
+    cols = {}
+    if n_diversity:
+        cols["_hist_merchants"] = lambda w: F.size(F.collect_set("merchant_category").over(
+            w.rowsBetween(-n_diversity, -1)))
+        cols["_hist_n"] = lambda w: F.count(F.lit(1)).over(w.rowsBetween(-n_diversity, -1))
+    if n_spend:
+        cols["_recent_spend"] = lambda w: F.sum("amount").over(w.rowsBetween(-n_spend, -1))
+    if travel:
+        cols["_prev_country"] = lambda w: F.lag("country", 1).over(w)
+        cols["_prev_row_ts_us"] = lambda w: F.lag("_ts_us", 1).over(w)
+    if n_history:
+        cols["recent_history"] = lambda w: F.collect_list(F.struct(
+            F.col(TID).alias("transaction_id"), F.col("timestamp"), F.col("amount"),
+            F.col("merchant_category"), F.col("country"), F.col("device_id"))).over(
+            w.rowsBetween(-n_history, -1))
+    return cols
+
+
+_HELPERS = ["_row", "_prev_ts_us", "_hist_merchants", "_hist_n", "_recent_spend",
+            "_prev_country", "_prev_row_ts_us"]
+
+
+def _clean(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in _HELPERS if c in df.columns])
+
+
+# ---- W1-W4, W8, W11 ------------------------------------------------------------------------
+
 def velocity_counts(df: DataFrame, hours=(1, 6, 24)) -> DataFrame:
     """Number of the user's transactions in ``[t-W, t)``."""
-    return range_window(df, velocity_columns(hours, (), ()))
+    return _clean(user_windows(df, velocity_columns(hours, (), ())))
 
 
 def velocity_amounts(df: DataFrame, hours=(1, 24)) -> DataFrame:
     """Amount sums in ``[t-W, t)``, 0 when none."""
-    return range_window(df, velocity_columns((), hours, ()))
+    return _clean(user_windows(df, velocity_columns((), hours, ())))
 
 
 def velocity_distinct(df: DataFrame, hours=(24,)) -> DataFrame:
     """Distinct merchants and countries in ``[t-W, t)``."""
-    return range_window(df, velocity_columns((), (), hours))
+    return _clean(user_windows(df, velocity_columns((), (), hours)))
 
 
 def devices_24h(df: DataFrame) -> DataFrame:
     """Distinct devices in ``[t-24h, t]`` including the current row, floor 1."""
-    return range_window(df, velocity_columns((), (), (), (24,)))
+    return _clean(user_windows(df, velocity_columns((), (), (), (24,))))
+
 
+def gap_hours_expr(default_gap_hours: float = 24.0) -> Column:
+    return F.coalesce(hours_between_us(F.col("_ts_us"), F.col("_prev_ts_us")),
+                      F.lit(float(default_gap_hours)))
 
-# W4 ---------------------------------------------------------------------------------------
 
 def time_since_last(df: DataFrame, default_gap_hours: float = 24.0) -> DataFrame:
     """Hours since the latest strictly earlier transaction of the user."""
-    d = with_user_row_index(_ensure_ts(df))
-    gap = hours_between_us(F.col("_ts_us"), F.col("_prev_ts_us"))
-    return (d.withColumn("time_since_last_txn_hours",
-                         F.coalesce(gap, F.lit(float(default_gap_hours))))
-            .drop("_row", "_prev_ts_us"))
+    d = user_windows(df)
+    return _clean(d.withColumn("time_since_last_txn_hours", gap_hours_expr(default_gap_hours)))
 
 
-# W8 ---------------------------------------------------------------------------------------
-
 def velocity_features(df: DataFrame, default_gap_hours: float = 24.0,
                       with_devices: bool = True) -> DataFrame:
     """W1-W4 (+ W11) and the velocity score P11 in one plan."""
-    d = time_since_last(_ensure_ts(df), default_gap_hours)
     cols = velocity_columns((1, 6, 24), (1, 24), (24,), (24,) if with_devices else ())
-    v = range_window(d, cols)
-    return v.withColumn("velocity_score", FX.velocity_score(
+    v = user_windows(df, cols)
+    v = v.withColumn("time_since_last_txn_hours", gap_hours_expr(default_gap_hours))
+    return _clean(v.withColumn("velocity_score", FX.velocity_score(
         F.col("txn_count_1h"), F.col("txn_count_6h"), F.col("txn_count_24h"),
-        F.col("amount_sum_1h")))
-
+        F.col("amount_sum_1h"))))
 
-# Rows frames: W5, W6 (sum part), W7, W9 -----------------------------------------------------
-
-def rows_window(df: DataFrame, cols: dict, chunk: int = DEFAULT_CHUNK,
-                user: str = USER) -> DataFrame:
-    """Evaluate rows-frame columns over (user, row chunk) partitions with context.
-
-    ``cols`` maps name → function ``(window) -> Column`` with ``window`` ordered by ``_row``;
-    frames must not reach back further than ``chunk`` rows."""
-    d = df if "_row" in df.columns else with_user_row_index(_ensure_ts(df), user)
-    ctx = chunk_context(d, chunk)
-    w = Window.partitionBy(user, "_chunk").orderBy("_row")
-    out = ctx.select("*", *[fn(w).alias(n) for n, fn in cols.items()])
-    return out.where(~F.col("_ctx")).drop("_chunk", "_ctx")
-
-
-def history_columns(n_diversity: int = 100, n_spend: int = 10, travel: bool = True,
-                    n_history: int = 0) -> dict:
-    cols = {}
-    if n_diversity:
-        cols["_hist_merchants"] = lambda w: F.size(F.collect_set("merchant_category").over(
-            w.rowsBetween(-n_diversity, -1)))
-        cols["_hist_n"] = lambda w: F.count(F.lit(1)).over(w.rowsBetween(-n_diversity, -1))
-    if n_spend:
-        cols["_recent_spend"] = lambda w: F.sum("amount").over(w.rowsBetween(-n_spend, -1))
-    if travel:
-        cols["_prev_country"] = lambda w: F.lag("country", 1).over(w)
-        cols["_prev_row_ts_us"] = lambda w: F.lag("_ts_us", 1).over(w)
-    if n_history:
-        cols["recent_history"] = lambda w: F.collect_list(F.struct(
-            F.col(TID).alias("transaction_id"), F.col("timestamp"), F.col("amount"),
-            F.col("merchant_category"), F.col("country"), F.col("device_id"))).over(
-            w.rowsBetween(-n_history, -1))
-    return cols
 
+# ---- W5, W6, W7, W9 ------------------------------------------------------------------------
 
 def merchant_diversity_expr() -> Column:
     """min(1, distinct merchants of the last 100 / 10); 0.5 without history."""
@@ -174,64 +208,90 @@ def impossible_travel_expr() -> Column:
 
 
 def merchant_diversity(df: DataFrame) -> DataFrame:
-    d = rows_window(df, history_columns(100, 0, False))
-    return d.withColumn("merchant_diversity_score", merchant_diversity_expr()).drop(
-        "_hist_merchants", "_hist_n", "_row", "_prev_ts_us")
+    d = user_windows(df, rows_cols=history_columns(100, 0, False))
+    return _clean(d.withColumn("merchant_diversity_score", merchant_diversity_expr()))
+
+
+def spending_history(df: DataFrame) -> DataFrame:
+    """W6 input: ``_recent_spend`` (sum of the previous 10 amounts) per transaction."""
+    d = user_windows(df, rows_cols=history_columns(0, 10, False))
+    return d.drop("_row", "_prev_ts_us")
 
 
 def impossible_travel(df: DataFrame) -> DataFrame:
-    d = rows_window(df, history_columns(0, 0, True))
-    return d.withColumn("is_impossible_travel", impossible_travel_expr()).drop(
-        "_prev_country", "_prev_row_ts_us", "_row", "_prev_ts_us")
+    d = user_windows(df, rows_cols=history_columns(0, 0, True))
+    return _clean(d.withColumn("is_impossible_travel", impossible_travel_expr()))
 
 
 def recent_history(df: DataFrame, n: int = 100) -> DataFrame:
     """The last ``n`` earlier transactions as an array of structs (oldest first)."""
-    return rows_window(df, history_columns(0, 0, False, n)).drop("_row", "_prev_ts_us")
+    return _clean(user_windows(df, rows_cols=history_columns(0, 0, False, n)))
 
 
-# W10 --------------------------------------------------------------------------------------
+# ---- W10 -----------------------------------------------------------------------------------
 
-def velocity_batch(df: DataFrame) -> DataFrame:
-    """W10, batch variant: rows earlier in (timestamp, id) order with ``t-W < ts <= t``;
-    gap to the previous row in that order, 0.0 for the first (and for tied rows)."""
-    d = with_user_row_index(_ensure_ts(df))
-    ctx = bucket_context(d, DAY_US)
-    peers_after = (Window.partitionBy(USER, "_bkt", "_ts_us").orderBy(TID)
+def _batch_cols(part: list[str], user_ts_part: list[str]) -> dict:
+    """W10 columns for a partitioning ``part`` (ordered by ``_ts_us``); ``user_ts_part`` adds
+    ``_ts_us`` to it for the tie peers (same partitioning, no extra exchange)."""
+    rng = lambda lb: Window.partitionBy(*part).orderBy("_ts_us").rangeBetween(-lb, 0)  # noqa
+    peers_after = (Window.partitionBy(*user_ts_part).orderBy(TID)
                    .rowsBetween(0, Window.unboundedFollowing))
-    peers_before = Window.partitionBy(USER, "_bkt", "_ts_us").orderBy(TID)
-    earlier = lambda x: (x["t"] < F.col("_ts_us")) | (
-        (x["t"] == F.col("_ts_us")) & (x["id"] < F.col(TID)))
+    peers_before = Window.partitionBy(*user_ts_part).orderBy(TID)
     cols = {}
     for h in (1, 24):
-        fr = _range_w(h * HOUR_US - 1, 0)
+        fr = rng(h * HOUR_US - 1)
         cols[f"txn_count_{h}h"] = (F.count(F.lit(1)).over(fr)
                                    - F.count(F.lit(1)).over(peers_after))
         cols[f"txn_amount_{h}h"] = (F.coalesce(F.sum("amount").over(fr), F.lit(0.0))
                                     - F.sum("amount").over(peers_after))
-    lst = F.collect_list(F.struct(F.col("_ts_us").alias("t"), F.col(TID).alias("id"),
-                                  F.col("merchant_category").alias("m"),
-                                  F.col("country").alias("c"))).over(
-        _range_w(24 * HOUR_US - 1, 0))
-    out = ctx.select("*", *[c.alias(n) for n, c in cols.items()],
-                     lst.alias("_l24"), F.row_number().over(peers_before).alias("_tie_rn"))
+    cols["_l24"] = F.collect_list(F.struct(F.col("_ts_us").alias("t"), F.col(TID).alias("id"),
+                                           F.col("merchant_category").alias("m"),
+                                           F.col("country").alias("c"))).over(rng(24 * HOUR_US - 1))
+    cols["_tie_rn"] = F.row_number().over(peers_before)
+    return cols
+
+
+def velocity_batch(df: DataFrame, hot_threshold: int | None = HOT_USER_ROWS) -> DataFrame:
+    """W10, batch variant: rows earlier in (timestamp, id) order with ``t-W < ts <= t``;
+    gap to the previous row in that order, 0.0 for the first (and for tied rows).
+
+    The range frame includes the row itself and its ties; the counts/sums over the tie peers
+    from the current row onwards (ordered by id) are subtracted, and the distinct sets filter
+    the frame's (time, id) list to strictly earlier positions."""
+    d = _ensure_ts(df)
+    if hot_threshold is None:
+        normal, hot = None, d
+    else:
+        normal, hot = split_hot_keys(d, USER, hot_threshold)
+    parts = []
+    if normal is not None:
+        n = normal.select("*", F.max("_ts_us").over(
+            Window.partitionBy(USER).orderBy("_ts_us").rangeBetween(UNB, -1)).alias("_prev_ts_us"))
+        cols = _batch_cols([USER], [USER, "_ts_us"])
+        parts.append(n.select("*", *[c.alias(k) for k, c in cols.items()]))
+    h = bucket_context(with_user_row_index(hot), DAY_US)
+    cols = _batch_cols([USER, "_bkt"], [USER, "_bkt", "_ts_us"])
+    parts.append(h.select("*", *[c.alias(k) for k, c in cols.items()])
+                 .where(~F.col("_ctx")).drop("_bkt", "_ctx", "_row"))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    earlier = lambda x: (x["t"] < F.col("_ts_us")) | (
+        (x["t"] == F.col("_ts_us")) & (x["id"] < F.col(TID)))
     prior = F.filter("_l24", earlier)
-    out = (out.where(~F.col("_ctx"))
-           .withColumn("unique_merchants_24h",
-                       F.size(F.array_distinct(F.transform(prior, lambda x: x["m"]))))
+    out = (out.withColumn("unique_merchants_24h",
+                          F.size(F.array_distinct(F.transform(prior, lambda x: x["m"]))))
            .withColumn("unique_countries_24h",
                        F.size(F.array_distinct(F.transform(prior, lambda x: x["c"]))))
            .withColumn("time_since_last_txn",
-                       F.when((F.col("_tie_rn") > 1) | F.col("_prev_ts_us").isNull(),
-                              F.lit(0.0))
+                       F.when((F.col("_tie_rn") > 1) | F.col("_prev_ts_us").isNull(), F.lit(0.0))
                        .otherwise(hours_between_us(F.col("_ts_us"), F.col("_prev_ts_us")))))
-    return out.drop("_bkt", "_ctx", "_l24", "_tie_rn", "_row", "_prev_ts_us")
+    return out.drop("_l24", "_tie_rn", "_prev_ts_us")
 
 
-# Anchored counters ---------------------------------------------------------------
+# ---- W12 / W13: anchored counters ------------------------------------------------------------
 
 def anchored_counter(df: DataFrame, window_seconds: int, limit: int | None = None,
-                     key: str = USER, id_col: str = TID) -> DataFrame:
+                     key: str = USER, id_col: str = TID,
+                     hot_threshold: int | None = HOT_USER_ROWS) -> DataFrame:
     """Counter windows that start at an event and end ``window_seconds`` later (an event at
     exactly anchor + window still belongs; a strictly later one opens the next window).
 
@@ -241,18 +301,30 @@ def anchored_counter(df: DataFrame, window_seconds: int, limit: int | None = Non
 
     The anchor chain is sequential, but an event more than ``window`` after the previous one
     always opens a window, so the log splits into independent segments at such gaps. The
-    segment of an event is the latest segment start at or before it (a skew-safe running max);
-    each (key, segment) is folded in one streaming pass (``mapInPandas`` over sorted
-    hash partitions)."""
+    segment of an event is the latest segment start at or before it (a running max: one
+    window by key for normal keys, the bucketed plan for hot keys). Each (key, segment) is
+    folded in one streaming pass (``mapInPandas`` over hash partitions sorted by key,
+    segment, time, id), so no segment is ever held in memory as a whole."""
     w_us = int(window_seconds) * 1_000_000
-    d = with_user_row_index(_ensure_ts(df), key, id_col)
-    starts = F.when(F.col("_prev_ts_us").isNull()
-                    | ((F.col("_ts_us") - F.col("_prev_ts_us")) > F.lit(w_us)), F.col("_ts_us"))
-    d = running_max(d.withColumn("_seg_start", starts), "_seg_start", "_seg", key)
-    ev = d.select(F.col(key).alias("k"), F.col(id_col).alias("id"),
-                  F.col("_ts_us").alias("t"), "_seg")
-    # Hash-partition by (key, segment), sort inside partitions, fold in one streaming pass:
-    # a segment never spans partitions and is never held in memory as a whole.
+    d = _ensure_ts(df)
+    seg_start = lambda prev: F.when(prev.isNull() | ((F.col("_ts_us") - prev) > F.lit(w_us)),  # noqa
+                                    F.col("_ts_us"))
+    parts = []
+    if hot_threshold is not None:
+        normal, hot = split_hot_keys(d, key, hot_threshold)
+        wr = Window.partitionBy(key).orderBy("_ts_us")
+        n = normal.withColumn("_seg_start", seg_start(
+            F.max("_ts_us").over(wr.rangeBetween(UNB, -1))))
+        parts.append(n.withColumn("_seg", F.max("_seg_start").over(wr.rangeBetween(UNB, 0))))
+    else:
+        hot = d
+    h = with_user_row_index(hot, key, id_col)
+    h = running_max(h.withColumn("_seg_start", seg_start(F.col("_prev_ts_us"))),
+                    "_seg_start", "_seg", key).drop("_row", "_prev_ts_us")
+    parts.append(h)
+    segd = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    ev = segd.select(F.col(key).alias("k"), F.col(id_col).alias("id"),
+                     F.col("_ts_us").alias("t"), "_seg")
     ordered = ev.repartition("k", "_seg").sortWithinPartitions("k", "_seg", "t", "id")
     out = ordered.mapInPandas(_fold_fn(w_us), "k string, id string, anchor long, n long")
     res = out.select(F.col("k").alias(key), F.col("id").alias(id_col),
@@ -292,6 +364,6 @@ def _fold_fn(w_us: int):
 
 
 def rate_limit(df: DataFrame, limit: int = 1000, window_seconds: int = 60,
-               key: str = USER, id_col: str = TID) -> DataFrame:
+               key: str = USER, id_col: str = TID, **kw) -> DataFrame:
     """Allowed while the window's count is below ``limit``."""
-    return anchored_counter(df, window_seconds, limit, key, id_col)
+    return anchored_counter(df, window_seconds, limit, key, id_col, **kw)

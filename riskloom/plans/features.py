@@ -1,9 +1,9 @@
 """Composed jobs: the 34-feature table (P20), the rule-scored table and the score log.
 
-Plan shape: per-user row index (partial aggregate + one exchange by (user, hour)), rows-frame
-window over (user, row chunk), range-frame window over (user, day) with previous-day context,
-profile join (sort-merge or AQE broadcast), dimension joins (broadcast, fixed size), then only
-projections.
+Plan shape: one count per user splits off hot users (broadcast list, bounded by rows /
+threshold); normal users are windowed after one exchange by user, hot users through the
+bucketed/chunked plan; then the profile join (sort-merge, or broadcast when AQE sees a small
+side), the dimension joins (broadcast, fixed size) and projections only.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from riskloom.functions import features as FX
 from riskloom.functions import scoring as SC
 from riskloom.operators import windows as W
 from riskloom.operators.joins import enrich_dims, enrich_profile
-from riskloom.operators.timeline import hours_between_us, with_ts_us, with_user_row_index
+from riskloom.operators.timeline import HOT_USER_ROWS, hours_between_us, with_ts_us
 
 KEEP = ["txn_seq", "transaction_id", "user_id", "timestamp", "merchant_category", "country",
         "device_id", "is_fraud", "fraud_type", "latency_ms", "currency",
@@ -80,12 +80,13 @@ def feature_columns(df: DataFrame) -> dict[str, Column]:
     }
 
 
-def build_features(txn: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Transactions → identifying columns + ``has_profile`` + the 34 features (P20 order)."""
+def build_features(txn: DataFrame, profiles: DataFrame,
+                   hot_threshold: int | None = HOT_USER_ROWS) -> DataFrame:
+    """Transactions → identifying columns + ``has_profile`` + the 34 features (P20 order).
+    All windows (W1-W7, W11) run in one pass over the per-user timeline."""
     t = with_ts_us(txn)
-    idx = with_user_row_index(t)
-    rows = W.rows_window(idx, W.history_columns(100, 10, True))
-    vel = W.range_window(rows, W.velocity_columns((1, 6, 24), (1, 24), (24,), (24,)))
+    vel = W.user_windows(t, W.velocity_columns((1, 6, 24), (1, 24), (24,), (24,)),
+                         W.history_columns(100, 10, True), hot_threshold=hot_threshold)
     j = enrich_dims(enrich_profile(vel, profiles))
     feats = feature_columns(j)
     keep = [c for c in KEEP if c in j.columns and c not in feats]

@@ -109,9 +109,13 @@ def train_gbt(train: DataFrame, features_col: str = "features", label: str = "la
     from pyspark.ml.classification import GBTClassifier
     p = dict(GBT_DEFAULTS)
     p.update(params)
-    d = with_class_weight(train, label, weighted)
-    gbt = GBTClassifier(featuresCol=features_col, labelCol=label, weightCol="weight", **p)
-    return gbt.fit(d)
+    # every boosting round scans the input: materialize it once instead of re-running its plan
+    d = with_class_weight(train, label, weighted).select(features_col, label, "weight").persist()
+    try:
+        gbt = GBTClassifier(featuresCol=features_col, labelCol=label, weightCol="weight", **p)
+        return gbt.fit(d)
+    finally:
+        d.unpersist()
 
 
 def positive_probability(col: str = "probability") -> Column:

@@ -10,7 +10,8 @@ from conftest import SF_SMALL
 import __spark_entry__ as E
 from tools.check_oracles import TABLES, rows_of
 
-SLOW = {"stream_score"}  # covered in test_streaming
+SLOW = {"stream_score",  # covered in test_streaming
+        "train_gbt", "calibrate", "predict", "active_model", "model_store"}  # test_learning
 
 
 @pytest.fixture(scope="module")

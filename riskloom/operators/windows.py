@@ -68,20 +68,24 @@ def _skew(d: DataFrame, range_cols: dict, rows_cols: dict, user: str, id_col: st
 
 def user_windows(df: DataFrame, range_cols: dict | None = None, rows_cols: dict | None = None,
                  user: str = USER, id_col: str = TID, hot_threshold: int | None = HOT_USER_ROWS,
-                 width_us: int = DAY_US, chunk: int = DEFAULT_CHUNK) -> DataFrame:
+                 width_us: int = DAY_US, chunk: int = DEFAULT_CHUNK,
+                 prepare=None) -> DataFrame:
     """Add ``_row``, ``_prev_ts_us`` and the given window columns.
 
     ``range_cols``: name → ``fn(mk)`` with ``mk(lookback_us, upper)`` a range frame over
     ``_ts_us`` (lookback <= ``width_us``). ``rows_cols``: name → ``fn(w)`` with ``w`` a window
     in (timestamp, id) order (frames reach back at most ``chunk`` rows).
-    ``hot_threshold=None`` sends every user through the skew-safe plan."""
+    ``hot_threshold=None`` sends every user through the skew-safe plan. ``prepare`` (e.g. a
+    join by user) is applied to each branch after the split and before its windows, so a
+    join's exchange by user also serves the normal users' windows."""
     d = _ensure_ts(df)
     rc, oc = range_cols or {}, rows_cols or {}
+    prep = prepare or (lambda x: x)
     if hot_threshold is None:
-        return _skew(d, rc, oc, user, id_col, width_us, chunk)
+        return _skew(prep(d), rc, oc, user, id_col, width_us, chunk)
     normal, hot = split_hot_keys(d, user, hot_threshold)
-    return _plain(normal, rc, oc, user, id_col).unionByName(
-        _skew(hot, rc, oc, user, id_col, width_us, chunk))
+    return _plain(prep(normal), rc, oc, user, id_col).unionByName(
+        _skew(prep(hot), rc, oc, user, id_col, width_us, chunk))
 
 
 # ---- column factories ----------------------------------------------------------------------

@@ -1,9 +1,10 @@
 """Composed jobs: the 34-feature table (P20), the rule-scored table and the score log.
 
-Plan shape: one count per user splits off hot users (broadcast list, bounded by rows /
-threshold); normal users are windowed after one exchange by user, hot users through the
-bucketed/chunked plan; then the profile join (sort-merge, or broadcast when AQE sees a small
-side), the dimension joins (broadcast, fixed size) and projections only.
+Plan shape: the profile join (sort-merge by user, or broadcast when AQE sees a small side);
+one count per user splits off hot users (broadcast list, bounded by rows / threshold);
+normal users are windowed on the join's partitioning by user (no second exchange of the log),
+hot users through the bucketed/chunked plan; then the dimension joins (broadcast, fixed size)
+and projections only.
 """
 
 from __future__ import annotations
@@ -84,10 +85,12 @@ def build_features(txn: DataFrame, profiles: DataFrame,
                    hot_threshold: int | None = HOT_USER_ROWS) -> DataFrame:
     """Transactions → identifying columns + ``has_profile`` + the 34 features (P20 order).
     All windows (W1-W7, W11) run in one pass over the per-user timeline."""
-    t = with_ts_us(txn)
-    vel = W.user_windows(t, W.velocity_columns((1, 6, 24), (1, 24), (24,), (24,)),
-                         W.history_columns(100, 10, True), hot_threshold=hot_threshold)
-    j = enrich_dims(enrich_profile(vel, profiles))
+    # The profile join runs inside each branch of the hot-user split: for normal users its
+    # exchange by user also serves the windows (one shuffle of the log).
+    vel = W.user_windows(with_ts_us(txn), W.velocity_columns((1, 6, 24), (1, 24), (24,), (24,)),
+                         W.history_columns(100, 10, True), hot_threshold=hot_threshold,
+                         prepare=lambda d: enrich_profile(d, profiles))
+    j = enrich_dims(vel)
     feats = feature_columns(j)
     keep = [c for c in KEEP if c in j.columns and c not in feats]
     return j.select(*keep, "has_profile", *[feats[n].alias(n) for n in S.FEATURE_NAMES])

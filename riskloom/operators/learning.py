@@ -88,7 +88,8 @@ def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame
 
 
 # M4
-GBT_DEFAULTS = dict(maxIter=200, maxDepth=6, stepSize=0.1, subsamplingRate=0.8, seed=42)
+GBT_DEFAULTS = dict(maxIter=200, maxDepth=6, stepSize=0.1, subsamplingRate=0.8, seed=42,
+                    checkpointInterval=10)
 
 
 def with_class_weight(df: DataFrame, label: str = "label", weighted: bool = True) -> DataFrame:
@@ -101,16 +102,41 @@ def with_class_weight(df: DataFrame, label: str = "label", weighted: bool = True
     return j.withColumn("weight", F.coalesce(w, F.lit(1.0))).drop("_r")
 
 
+ROWS_PER_TRAIN_PARTITION = 500_000
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """Persist ``df`` with about ROWS_PER_TRAIN_PARTITION rows per partition (never more
+    partitions than it has, at most 4x the cluster's parallelism): each boosting round runs
+    several jobs over every partition, so tiny partitions cost more than they parallelize."""
+    import math
+    d = df.persist()
+    n = d.count()
+    par = d.sparkSession.sparkContext.defaultParallelism
+    target = max(1, min(math.ceil(n / ROWS_PER_TRAIN_PARTITION), 4 * par))
+    if target < d.rdd.getNumPartitions():
+        c = d.coalesce(target).persist()
+        c.count()
+        d.unpersist()
+        return c
+    return d
+
+
 def train_gbt(train: DataFrame, features_col: str = "features", label: str = "label",
               weighted: bool = True, **params):
     """Boosted trees with the reference's settings (200 rounds, depth 6, rate 0.1, subsample
     0.8, positive class weight). XGBoost-only knobs (column subsampling, gamma, L1) have no
     Spark counterpart and are not emulated."""
     from pyspark.ml.classification import GBTClassifier
+
+    from riskloom.session import checkpoint_dir
+    # GBT truncates the lineage of its prediction errors every `checkpointInterval` rounds only
+    # when a checkpoint folder is registered: use the cluster's shared one.
+    checkpoint_dir(train.sparkSession)
     p = dict(GBT_DEFAULTS)
     p.update(params)
     # every boosting round scans the input: materialize it once instead of re-running its plan
-    d = with_class_weight(train, label, weighted).select(features_col, label, "weight").persist()
+    d = _sized(with_class_weight(train, label, weighted).select(features_col, label, "weight"))
     try:
         gbt = GBTClassifier(featuresCol=features_col, labelCol=label, weightCol="weight", **p)
         return gbt.fit(d)

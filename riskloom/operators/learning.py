@@ -71,15 +71,26 @@ def stratified_folds(df: DataFrame, k: int = 5, label: str = "is_fraud", seed: i
 # P19
 def standard_scale(df: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
     """(x - mean) / population std; a constant column divides by 1. Returns (scaled frame,
-    one-row statistics frame). The statistics row is joined by broadcast: it is one row."""
-    stats = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols],
-                   *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols])
-    j = df.crossJoin(F.broadcast(stats))
-    out = j.select(*[c for c in df.columns if c not in cols],
-                   *[((F.col(c) - F.col(f"_m_{c}"))
-                      / F.when(F.col(f"_s_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"_s_{c}")))
-                     .alias(c) for c in cols])
-    return out, stats
+    fitted statistics). Fitting is one aggregate pass whose single row (2 numbers per column,
+    the scaler's parameters) is the model; the transform uses them as literals."""
+    stats = fit_scaler(df, cols)
+    return apply_scaler(df, stats), stats
+
+
+def fit_scaler(df: DataFrame, cols: list[str]) -> dict:
+    row = df.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)],
+                 *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(cols)]).first()
+    return {c: (row[f"m_{i}"], row[f"s_{i}"]) for i, c in enumerate(cols)}
+
+
+def apply_scaler(df: DataFrame, stats: dict) -> DataFrame:
+    def scale(c):
+        m, s = stats[c]
+        if m is None:
+            return F.lit(None).cast("double")
+        return (F.col(c) - F.lit(float(m))) / F.lit(float(s) if s else 1.0)
+    return df.select(*[c for c in df.columns if c not in stats],
+                     *[scale(c).alias(c) for c in stats])
 
 
 def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
@@ -96,10 +107,10 @@ def with_class_weight(df: DataFrame, label: str = "label", weighted: bool = True
     """``weight`` = (1-r)/r for positives (r = positive share), 1 for negatives."""
     if not weighted:
         return df.withColumn("weight", F.lit(1.0))
-    r = df.agg(F.avg(F.col(label).cast("double")).alias("_r"))
-    j = df.crossJoin(F.broadcast(r))  # one-row frame
-    w = F.when(F.col(label) == 1, F.try_divide(1.0 - F.col("_r"), F.col("_r"))).otherwise(F.lit(1.0))
-    return j.withColumn("weight", F.coalesce(w, F.lit(1.0))).drop("_r")
+    r = df.agg(F.avg(F.col(label).cast("double"))).first()[0]   # the positive share
+    spw = (1.0 - r) / r if r else 1.0                              # scale_pos_weight
+    return df.withColumn("weight", F.when(F.col(label) == 1, F.lit(float(spw)))
+                         .otherwise(F.lit(1.0)))
 
 
 ROWS_PER_TRAIN_PARTITION = 500_000

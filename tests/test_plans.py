@@ -56,3 +56,15 @@ def test_percentiles_do_not_collect_groups(spark):
     p = _plan(catalog.QUERIES["hourly_rollup"](spark, SF_SMALL))
     assert not re.search(r"\bpercentile(_approx)?\(", p.lower())
     assert "collect_list(" not in p.lower()
+
+
+def test_top_per_user_limits_groups_before_shuffle(spark):
+    p = _plan(catalog.QUERIES["top_per_user"](spark, SF_SMALL))
+    assert "WindowGroupLimit" in p
+
+
+def test_no_cross_joins_in_registered_analytics(spark):
+    for n in ("unexpired", "reuse_scores", "platform_kpis", "latency_by_minute",
+              "user_velocity_sql", "standard_scale"):
+        p = _plan(catalog.QUERIES[n](spark, SF_SMALL))
+        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, n

@@ -8,6 +8,7 @@ where the session is already configured; ``ensure_session_defaults`` only fills
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -50,13 +51,15 @@ def ensure_session_defaults(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder of the cluster (``spark.checkpoint.dir``).
 
-    On a cluster the operator sets ``spark.checkpoint.dir`` to shared storage and it is used
-    as is. Only when it is unset (local tests) a scratch folder is created and registered.
-    """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    On a cluster the operator sets ``spark.checkpoint.dir`` to shared storage and it is used as
+    is. Where it is unset, a scratch folder is made for a local master (tests); any other master
+    is refused, as its executors would write to disks that the others can't read."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder with master {master}")
         d = tempfile.mkdtemp(prefix="riskloom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.sparkContext.setCheckpointDir(d)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(d)
     return d

@@ -8,6 +8,7 @@ import pytest
 from conftest import SF_SMALL
 
 import __spark_entry__ as E
+from riskloom.plans import catalog
 from tools.check_oracles import TABLES, rows_of
 
 SLOW = {"stream_score",  # covered in test_streaming
@@ -24,7 +25,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(n for n in E.queries() if n not in SLOW))
+@pytest.mark.parametrize("name", sorted(n for n in catalog.QUERIES if n not in SLOW))
 def test_query_matches_oracle(spark, con, name):
     sp = E.queries()[name](spark, SF_SMALL).toPandas()
     sql = E.oracle_sql().get(name)

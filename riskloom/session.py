@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -63,3 +64,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the executors' Python workers, once a context, unless they find it on
+    PYTHONPATH anyway. Needed by jobs that run the library's Python inside tasks."""
+    sc = spark.sparkContext
+    home = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(home)
+    if getattr(sc, "_riskloom_shipped", False) or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="riskloom-py-"), "riskloom-package"),
+                               "zip", root, os.path.basename(home))
+    sc.addPyFile(made)
+    sc._riskloom_shipped = True

@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Memo, byte_texts, list_array, slices
+from .common import Memo, list_array, map_batches, slices
 
 #: Texts of about so many bytes share one replay.
 REPLAY_BYTES = 16 << 20
@@ -272,7 +272,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         coder.memo.settle()
         yield from flush()
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return map_batches(docs.select(id_col, text_col), run, schema)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -290,4 +290,4 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())],
                                              names=[*batch.schema.names, "decoded"])
 
-    return encoded.select(id_col, "n_tokens", "ids").mapInArrow(run, schema)
+    return map_batches(encoded.select(id_col, "n_tokens", "ids"), run, schema)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from riskloom.session import checkpoint_dir
+from riskloom.session import checkpoint_dir, ship_package
 
 #: Texts are worked on in slices of about so many bytes, which bounds a task's memory.
 SLICE_BYTES = 4 << 20
@@ -69,6 +69,12 @@ def map_slices(df: DataFrame, make: Callable, schema: str, text: str = "text") -
                     yield pa.RecordBatch.from_arrays(
                         [_array(cols[n], arrow.field(n).type) for n in names], schema=arrow)
 
+    return map_batches(df, run, schema)
+
+
+def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow``, with the package on the executors."""
+    ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

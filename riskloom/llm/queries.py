@@ -7,12 +7,49 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
-from .common import table
+from . import bpe, langid, mixing, secrets
+from .common import crc_mod, table
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op4_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` mixed to the fixed source weights: size, the source's size and target, and
+    the words that the mix takes of each document, repeats counted."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text of ``documents``, learned from the rows whose
+    crc32(doc_id) mod 4 is not 2; the rest are held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
+    return langid.predict(docs, model).select(
+        "doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def _joined(spans):
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op9_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text of ``documents``: spans of the fixed patterns, counted and
+    digested, and those together with the spans that compression novelty adds."""
+    spans = secrets.scan(table(spark, sf_dir, "documents"))
+
+    def of(kind):
+        return F.filter("spans", lambda s: s["kind"] == kind)
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.KINDS[:3]))
+    return spans.select(
+        "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS],
+        F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"),
+        _joined(F.col("spans")).alias("spans"))
+
+
 def op10_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents`` encoded by merge replay, then decoded: number of ids,
     digest of the decimal ids, digest of the decoded bytes."""
@@ -24,5 +61,6 @@ def op10_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op10_bpe_merge_replay,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op4_mix_to_weights, op7_string_kernel_language, op9_secret_novelty, op10_bpe_merge_replay)}
+ORACLES: dict[str, str] = {"op4_mix_to_weights": mixing.ORACLE}

@@ -7,12 +7,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, secrets
+from . import bpe, langid, mixing, ngram_join, secrets
 from .common import crc_mod, table
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op2_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` joined on distinct 4-word shingles with Jaccard similarity 0.85 or more:
+    set size and smallest id of the component."""
+    return ngram_join.link(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op4_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` mixed to the fixed source weights: size, the source's size and target, and
     the words that the mix takes of each document, repeats counted."""
@@ -62,5 +68,5 @@ def op10_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op4_mix_to_weights, op7_string_kernel_language, op9_secret_novelty, op10_bpe_merge_replay)}
+    op2_grouped_prefix_join, op4_mix_to_weights, op7_string_kernel_language, op9_secret_novelty, op10_bpe_merge_replay)}
 ORACLES: dict[str, str] = {"op4_mix_to_weights": mixing.ORACLE}

@@ -3,14 +3,20 @@ production parameters and returns the operator's full result (or the digest colu
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, ngram_join, secrets
+from riskloom.session import checkpoint_dir
+
+from . import bpe, fertility, langid, mixing, ngram_join, secrets, token_store
 from .common import crc_mod, table
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
+WORD_BPE = "word_bpe_49k.json"
 
 
 def op2_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +32,13 @@ def op4_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every whole text of ``documents`` and the verdict of the fertility bands."""
+    return fertility.measure(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "script", "n_tokens", "chars_per_token", "byte_share", "entropy")
+
+
 def op7_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text of ``documents``, learned from the rows whose
     crc32(doc_id) mod 4 is not 2; the rest are held out."""
@@ -35,6 +48,15 @@ def op7_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_directly_addressable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of ``documents`` encoded, an end id after each, written in directly
+    addressable codes in ascending order of id, and read back from the files."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    token_store.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path(WORD_BPE), end_id=1)
+    own = token_store.read(spark, path).withColumn("ids_crc32", F.crc32("tokens")).drop("tokens")
+    return token_store.with_starts(own, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def _joined(spans):
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(
@@ -68,5 +90,7 @@ def op10_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_grouped_prefix_join, op4_mix_to_weights, op7_string_kernel_language, op9_secret_novelty, op10_bpe_merge_replay)}
+    op2_grouped_prefix_join, op4_mix_to_weights, op6_tokenizer_fertility,
+    op7_string_kernel_language,
+    op8_directly_addressable, op9_secret_novelty, op10_bpe_merge_replay)}
 ORACLES: dict[str, str] = {"op4_mix_to_weights": mixing.ORACLE}

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -269,3 +270,35 @@ def components(edges: DataFrame) -> DataFrame:
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+#: Bits of the filters below; they only save shuffling, so a full one costs time, not rows.
+FILTER_BITS = 24
+
+
+def filter_bits(hashes: DataFrame, col: str) -> np.ndarray:
+    """A bitmap of 2^FILTER_BITS bits with the low bits of every 64-bit hash in ``col`` set; its
+    size is fixed whatever the data."""
+    low = F.pmod(F.col(col), F.lit(1 << FILTER_BITS))
+    bits = (hashes.select(low.alias("p")).groupBy(F.expr("p div 64").alias("at"))
+            .agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits")).toArrow())
+    out = np.zeros(1 << FILTER_BITS >> 6, np.int64)
+    out[bits["at"].to_numpy()] = bits["bits"].to_numpy()
+    return out
+
+
+def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit hashes may be in the bitmap (those in it surely are)."""
+    low = hashes.astype(np.int64) & ((1 << FILTER_BITS) - 1)
+    return (bits[low >> 6] >> (low & 63) & 1).astype(bool)
+
+
+def may_hold_udf(spark: SparkSession, bits: np.ndarray):
+    """``may_hold`` as a function of a 64-bit column."""
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def test(h: pd.Series) -> pd.Series:
+        return pd.Series(may_hold(shared.value, h.to_numpy()))
+    return test

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from riskloom.session import checkpoint_dir
 
-from . import bpe, fertility, langid, mixing, ngram_join, secrets, token_store
+from . import bpe, fertility, langid, mixing, ngram_join, secrets, substring_dedup, token_store
 from .common import crc_mod, table
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -19,6 +19,12 @@ PIECES = "piece_bpe_32k.model"
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` without the sentences that repeat an earlier run of sentences: cleaned
+    text, sentences, sentences removed."""
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` joined on distinct 4-word shingles with Jaccard similarity 0.85 or more:
     set size and smallest id of the component."""
@@ -90,7 +96,7 @@ def op10_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_grouped_prefix_join, op4_mix_to_weights, op6_tokenizer_fertility,
+    op1_sentence_spans, op2_grouped_prefix_join, op4_mix_to_weights, op6_tokenizer_fertility,
     op7_string_kernel_language,
     op8_directly_addressable, op9_secret_novelty, op10_bpe_merge_replay)}
 ORACLES: dict[str, str] = {"op4_mix_to_weights": mixing.ORACLE}

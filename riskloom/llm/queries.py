@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from riskloom.session import checkpoint_dir
 
-from . import bpe, fertility, langid, mixing, ngram_join, secrets, substring_dedup, token_store
+from . import bpe, embedding_dedup, fertility, langid, mixing, ngram_join, secrets, substring_dedup, token_store
 from .common import crc_mod, table
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -38,6 +38,12 @@ def op4_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``embeddings`` of equal label linked at cosine 0.98 or more: links, smallest id of the
+    component, whether the vector is that one."""
+    return embedding_dedup.link(table(spark, sf_dir, "embeddings"))
+
+
 def op6_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every whole text of ``documents`` and the verdict of the fertility bands."""
     return fertility.measure(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES)).select(
@@ -96,7 +102,7 @@ def op10_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_sentence_spans, op2_grouped_prefix_join, op4_mix_to_weights, op6_tokenizer_fertility,
+    op1_sentence_spans, op2_grouped_prefix_join, op4_mix_to_weights, op5_pca_tiles, op6_tokenizer_fertility,
     op7_string_kernel_language,
     op8_directly_addressable, op9_secret_novelty, op10_bpe_merge_replay)}
 ORACLES: dict[str, str] = {"op4_mix_to_weights": mixing.ORACLE}

@@ -27,6 +27,11 @@ def n_words(text) -> F.col:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def random_key(id_column):
+    """Hash-random key of an id; a null id has that of the empty text."""
+    return F.md5(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary"))
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size, target) from (source, source_size): the words of all sources times
     SHARE_HALVES / 2, shared by weight, no source above MOST times its size.
@@ -57,20 +62,44 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, size, source_size, target, taken) of every row."""
-    slim = docs.select(F.col(id_col), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
-                       F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("key"))
-    summed = running_starts(slim, ["source"], ["key", id_col, "size"], "size")
+    """(id, source, size, source_size, target, key, epochs, cut, taken) of every row: whole epochs of
+    its source, words taken of it in the last one, and of both together."""
+    slim = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
+                       n_words(F.col(text_col)).alias("size"), random_key(F.col(id_col)).alias("key"))
+    summed = running_starts(slim, ["source"], ["key", "id", "size"], "size")
     goal = targets(summed.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumnRenamed("source", "of")
     budget = F.floor(F.col("target") + 0.5)
     epochs = F.coalesce(F.floor(budget / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0))
     left = budget - epochs * F.col("source_size")
     cut = F.least(F.greatest(left - F.col("start"), F.lit(0)), F.col("size"))
     return (summed.join(goal, F.col("source").eqNullSafe(F.col("of")))
-            .select(id_col, "source", "size", "source_size", "target",
+            .select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "key",
+                    epochs.cast("long").alias("epochs"), cut.cast("long").alias("cut"),
                     (epochs * F.col("size") + cut).cast("long").alias("taken")))
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` with every row as often as the mix takes it: once for each whole epoch of its
+    source, and once more before the cut. The row at the cut goes in whole if half of it or more
+    is within the budget. Where the cut is in a source depends on one key, so rows are
+    chosen without a join on them."""
+    plan = mix(docs, id_col, text_col, source_col)
+    place = F.struct(F.col("key"), F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.col("size"))
+    cuts = plan.groupBy(F.col(source_col).alias("__of")).agg(
+        F.max("epochs").alias("__epochs"), F.max(F.when((F.col("cut") > 0) & (2 * F.col("cut") >= F.col("size")), place)).alias("__last"))
+    own = F.struct(random_key(F.col(id_col)).alias("key"), F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"),
+                   n_words(F.col(text_col)).alias("size"))
+    times = F.when(own["size"] > 0, F.col("__epochs") + F.coalesce((own <= F.col("__last")).cast("long"), F.lit(0))).otherwise(0)
+    return (docs.join(F.broadcast(cuts) if _few(cuts) else cuts, F.col(source_col).eqNullSafe(F.col("__of")))
+            .withColumn("__times", times).where("__times > 0")
+            .withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns))
+
+
+def _few(cuts: DataFrame, most: int = 10_000) -> bool:
+    """Whether there are few sources, so that a row of each may be broadcast."""
+    return cuts.limit(most + 1).count() <= most
+
+
 ORACLE = r"""
 WITH sized AS (
     SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from riskloom.session import checkpoint_dir
 
-from . import bpe, embedding_dedup, fertility, langid, mixing, ngram_join, secrets, substring_dedup, token_store
-from .common import crc_mod, table
+from . import bpe, embedding_dedup, fertility, langid, mixing, ngram_join, rule_quality, secrets, substring_dedup, token_store
+from .common import crc_mod, stored, table
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
@@ -31,6 +31,16 @@ def op2_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op3_sparse_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text of ``documents``, learned from ``labels`` of the rows whose
+    crc32(doc_id) mod 3 is not 1; the rest are held out."""
+    stats = stored(rule_quality.statistics(table(spark, sf_dir, "documents")), "statistics")
+    held = crc_mod(F.col("doc_id"), 3) == 1
+    model = rule_quality.fit(stats.where(~held), table(spark, sf_dir, "labels"))
+    return stats.select("doc_id", held.alias("held_out"), rule_quality.score(model).alias("score")).select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` mixed to the fixed source weights: size, the source's size and target, and
     the words that the mix takes of each document, repeats counted."""
@@ -102,7 +112,7 @@ def op10_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_sentence_spans, op2_grouped_prefix_join, op4_mix_to_weights, op5_pca_tiles, op6_tokenizer_fertility,
-    op7_string_kernel_language,
-    op8_directly_addressable, op9_secret_novelty, op10_bpe_merge_replay)}
+    op1_sentence_spans, op2_grouped_prefix_join, op3_sparse_rules, op4_mix_to_weights, op5_pca_tiles,
+    op6_tokenizer_fertility, op7_string_kernel_language, op8_directly_addressable, op9_secret_novelty,
+    op10_bpe_merge_replay)}
 ORACLES: dict[str, str] = {"op4_mix_to_weights": mixing.ORACLE}

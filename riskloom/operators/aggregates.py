@@ -1,16 +1,19 @@
 """Aggregations (A1-A12) and the exact percentile used by the latency rollups.
 
 All aggregates are partial+final hash aggregates. Percentiles are exact without collecting a
-group: values are first counted per (group, value) — map-side combined, bounded by the number
-of distinct values, not rows — then a cumulative window over that histogram finds the ranks.
+group: values are first counted per (group, value), map-side combined, then range-sorted running
+totals over that histogram give the ranks, so the distinct values of one group spread over many
+tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import schema as S
+from riskloom.operators.prefix import running_totals
+from riskloom.operators.timeline import join_null_safe
 
 
 def _c(x) -> Column:
@@ -25,13 +28,16 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str,
     ``percentile_cont``) per group; result columns named by ``probs`` keys.
 
     Histogram (group, value) → count, then per group the cumulative count; the value at
-    0-based rank k is the smallest value with cum > k."""
+    0-based rank k is the smallest value with cum > k. Without ``keys`` there is one row."""
     v = F.col(value)
     hist = df.where(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_cnt"))
-    w_cum = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    w_all = Window.partitionBy(*keys)
-    h = hist.select(*keys, value, F.sum("_cnt").over(w_cum).alias("_cum"),
-                    F.sum("_cnt").over(w_all).alias("_n"))
+    before = running_totals(hist, keys, [value], {"_before": "_cnt"})
+    total = before.groupBy(*keys).agg(F.sum("_cnt").alias("_n"))
+    if keys:
+        h = join_null_safe(before, total, keys)
+    else:
+        h = before.withColumn("_n", total.select("_n").scalar())
+    h = h.withColumn("_cum", F.col("_before") + F.col("_cnt"))
     aggs = []
     for name, p in probs.items():
         pos = (F.col("_n") - 1) * F.lit(float(p))
@@ -145,18 +151,16 @@ def value_counts(df: DataFrame, col: str, where: Column | None = None) -> DataFr
 def latency_summary(scores: DataFrame, sla_ms: float = S.SLA_LATENCY_MS) -> DataFrame:
     """Load-test style summary: requests, failures (latency > SLA), failure %, requests per
     second over the covered span, median, mean, p95, p99."""
-    d = scores.withColumn("_g", F.lit(1))
-    base = d.groupBy("_g").agg(
+    base = scores.agg(
         F.count(F.lit(1)).alias("requests"),
         F.count_if(F.col("latency_ms") > sla_ms).alias("failures"),
         F.avg("latency_ms").alias("mean_latency_ms"),
         ((F.max(F.unix_micros("scored_at")) - F.min(F.unix_micros("scored_at"))) / 1e6)
         .alias("_span_s"))
-    pct = exact_percentiles(d, ["_g"], "latency_ms",
-                            {"median_latency_ms": 0.5, "p95_latency_ms": 0.95,
-                             "p99_latency_ms": 0.99})
-    j = base.join(pct, "_g", "left")
-    return j.select(
+    names = {"median_latency_ms": 0.5, "p95_latency_ms": 0.95, "p99_latency_ms": 0.99}
+    pct = exact_percentiles(scores, [], "latency_ms", names).first()  # one row of three numbers
+    j = base.withColumns({n: F.lit(pct[n]).cast("double") for n in names})
+    return j.where("requests > 0").select(
         "requests", "failures",
         (F.try_divide(F.col("failures") * 100.0, F.greatest(F.lit(1), F.col("requests"))))
         .alias("failure_pct"),

@@ -18,13 +18,20 @@ PROFILE_FIELDS = ["home_country", "account_age_days", "avg_txn_amount", "std_txn
 
 # J1
 def enrich_profile(txn: DataFrame, profiles: DataFrame, user: str = "user_id") -> DataFrame:
-    """Left join to the profile table. ``has_profile`` tells whether a row existed; field
+    """Left join to the profile table; a profile with an ``updated_at`` counts only for rows of
+    later ``timestamp``, so no row sees its own or later rows in it. ``has_profile`` tells whether a row existed; field
     defaults (home US, age 0, avg 100, std 50, monthly 20, device '') fill missing fields
     either way, but behavioral features use their no-profile defaults when it is false."""
+    timed = "timestamp" in txn.columns and "updated_at" in profiles.columns
     p = profiles.select(user, *[F.col(c) for c in PROFILE_FIELDS if c in profiles.columns],
-                        F.lit(True).alias("has_profile"))
+                        F.lit(True).alias("has_profile"), *[F.col("updated_at").alias("_profile_at")] * timed)
     drop = [c for c in PROFILE_FIELDS + ["has_profile"] if c in txn.columns]
     j = txn.drop(*drop).join(p, user, "left")
+    if timed:
+        # a profile counts for what comes after it
+        known = F.col("has_profile") & (F.col("_profile_at").isNull() | (F.col("timestamp") > F.col("_profile_at")))
+        j = j.withColumn("has_profile", F.coalesce(known, F.lit(False))).drop("_profile_at")
+        j = j.withColumns({c: F.when(F.col("has_profile"), F.col(c)) for c in PROFILE_FIELDS if c in p.columns})
     out = j.withColumn("has_profile", F.coalesce(F.col("has_profile"), F.lit(False)))
     for c in PROFILE_FIELDS:
         dflt = F.lit(S.PROFILE_DEFAULTS[c])
@@ -123,7 +130,9 @@ def upsert_profiles(old: DataFrame, new: DataFrame, as_of: Column,
 def insert_if_absent(existing: DataFrame, new: DataFrame, key: str = "user_id") -> DataFrame:
     """Insert only new keys (ON CONFLICT DO NOTHING); idempotent. Duplicate new keys keep the
     first by the remaining columns' order."""
-    fresh = new.join(existing.select(key), key, "left_anti").dropDuplicates([key])
+    order = Window.partitionBy(key).orderBy(*[c for c in existing.columns if c != key] or [key])
+    fresh = (new.join(existing.select(key), key, "left_anti").withColumn("_rn", F.row_number().over(order))
+             .where("_rn = 1").drop("_rn"))
     return existing.unionByName(fresh.select(*existing.columns))
 
 
@@ -132,9 +141,10 @@ def reuse_scores(requests: DataFrame, score_cache: DataFrame, as_of: Column,
                  ttl_seconds: int = S.SCORE_TTL_SECONDS) -> tuple[DataFrame, DataFrame]:
     """Split requests into (hits with the cached score, work list to score). A cache entry
     is live while ``as_of <= written_at + ttl`` (expired is strict ``>``); the latest live
-    write wins."""
+    write wins (equal times: the highest score)."""
     live = score_cache.where(as_of <= F.col("written_at") + F.expr(f"INTERVAL {ttl_seconds} SECONDS"))
-    w = Window.partitionBy("transaction_id").orderBy(F.col("written_at").desc())
+    rest = [F.col(c).desc() for c in score_cache.columns if c not in ("transaction_id", "written_at")]
+    w = Window.partitionBy("transaction_id").orderBy(F.col("written_at").desc(), *rest)
     latest = live.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
     hits = requests.select("transaction_id").join(latest, "transaction_id", "inner")
     todo = requests.join(latest.select("transaction_id"), "transaction_id", "left_anti")
@@ -143,10 +153,11 @@ def reuse_scores(requests: DataFrame, score_cache: DataFrame, as_of: Column,
 
 # J9
 def profile_cascade(sources: list[DataFrame], key: str = "user_id") -> DataFrame:
-    """Whole profile row from the first source (by list order) that has the key."""
+    """Whole profile row from the first source (by list order) that has the key; of several rows
+    in one source the first by its columns' order."""
     parts = [s.withColumn("_prio", F.lit(i)) for i, s in enumerate(sources)]
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("_prio")
+    w = Window.partitionBy(key).orderBy("_prio", *[c for c in u.columns if c not in (key, "_prio")])
     return u.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_prio")

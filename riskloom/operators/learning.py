@@ -2,8 +2,9 @@
 M13, M14) with Spark ML.
 
 Exact ranks (chronological cut, stratified split, folds) never sort a whole table or label in
-one task: rows are counted per (group, coarse ordered bucket), a small window over those
-counts gives each bucket's offset, and only rows inside one bucket are numbered.
+one task: rows are counted per (group, fine ordered bucket), a small window over those
+counts gives each bucket's offset, and only rows inside one bucket are numbered. Null keys and
+null times are a group and a bucket of their own (first in order).
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom import schema as S
+from riskloom.operators.timeline import join_null_safe
 
-HASH_BUCKET_SHIFT = 52  # top 12 bits of a 64-bit hash: 4096 ordered buckets
+HASH_DIGITS = 5  # leading hex digits of the md5 order: a million ordered buckets
 
 
 def rank_in_group(df: DataFrame, keys: list[str], order: list[Column], bucket: Column) -> DataFrame:
@@ -25,7 +27,7 @@ def rank_in_group(df: DataFrame, keys: list[str], order: list[Column], bucket: C
     wa = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
     per = per.select(*keys, "_bk", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"),
                      F.sum("_n").over(wa).alias("_group_n"))
-    j = d.join(per, [*keys, "_bk"], "inner")
+    j = join_null_safe(d, per, [*keys, "_bk"])
     rn = F.row_number().over(Window.partitionBy(*keys, "_bk").orderBy(*order))
     return j.withColumn("_rank", F.col("_before") + rn).drop("_bk", "_before")
 
@@ -35,23 +37,23 @@ def chrono_split(df: DataFrame, train_frac: float = 0.8, ts: str = "timestamp",
                  id_col: str = "transaction_id") -> DataFrame:
     """First ``floor(frac·n)`` rows by (timestamp, id) are train, the rest test (exact)."""
     t = F.unix_micros(F.col(ts).cast("timestamp"))
-    r = rank_in_group(df, [], [t, F.col(id_col)], F.floor(t / F.lit(S.HOUR_US)))
+    r = rank_in_group(df, [], [t, F.col(id_col)], F.floor(t / F.lit(S.HOUR_US // 60)))
     split = F.when(F.col("_rank") <= F.floor(F.col("_group_n") * F.lit(train_frac)),
                    F.lit("train")).otherwise(F.lit("test"))
     return r.withColumn("split", split).drop("_rank", "_group_n")
 
 
-def _hash(id_col: str, seed: int) -> Column:
-    return F.xxhash64(F.col(id_col), F.lit(seed))
+def seeded_key(id_col: str, seed: int) -> Column:
+    """Seeded random order of ids that any engine can repeat: md5 of ``id_seed``."""
+    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f"_{seed}")).cast("binary"))
 
 
 # M2
 def stratified_split(df: DataFrame, label: str = "is_fraud", test_frac: float = 0.2,
                      seed: int = 42, id_col: str = "transaction_id") -> DataFrame:
     """Per label, the first ``ceil(test_frac·n_label)`` rows in seeded-hash order are test."""
-    h = _hash(id_col, seed)
-    r = rank_in_group(df, [label], [h, F.col(id_col)], F.shiftrightunsigned(h.bitwiseXOR(F.lit(-2**63)),
-                                                                            HASH_BUCKET_SHIFT))
+    h = seeded_key(id_col, seed)
+    r = rank_in_group(df, [label], [h, F.col(id_col)], F.substring(h, 1, HASH_DIGITS))
     split = F.when(F.col("_rank") <= F.ceil(F.col("_group_n") * F.lit(test_frac)),
                    F.lit("test")).otherwise(F.lit("train"))
     return r.withColumn("split", split).drop("_rank", "_group_n")
@@ -61,9 +63,8 @@ def stratified_split(df: DataFrame, label: str = "is_fraud", test_frac: float =
 def stratified_folds(df: DataFrame, k: int = 5, label: str = "is_fraud", seed: int = 42,
                      id_col: str = "transaction_id") -> DataFrame:
     """Fold 0..k-1 by position in seeded-hash order within each label (balanced per label)."""
-    h = _hash(id_col, seed)
-    r = rank_in_group(df, [label], [h, F.col(id_col)], F.shiftrightunsigned(h.bitwiseXOR(F.lit(-2**63)),
-                                                                            HASH_BUCKET_SHIFT))
+    h = seeded_key(id_col, seed)
+    r = rank_in_group(df, [label], [h, F.col(id_col)], F.substring(h, 1, HASH_DIGITS))
     return r.withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")) \
         .drop("_rank", "_group_n")
 
@@ -113,26 +114,6 @@ def with_class_weight(df: DataFrame, label: str = "label", weighted: bool = True
                          .otherwise(F.lit(1.0)))
 
 
-ROWS_PER_TRAIN_PARTITION = 500_000
-
-
-def _sized(df: DataFrame) -> DataFrame:
-    """Persist ``df`` with about ROWS_PER_TRAIN_PARTITION rows per partition (never more
-    partitions than it has, at most 4x the cluster's parallelism): each boosting round runs
-    several jobs over every partition, so tiny partitions cost more than they parallelize."""
-    import math
-    d = df.persist()
-    n = d.count()
-    par = d.sparkSession.sparkContext.defaultParallelism
-    target = max(1, min(math.ceil(n / ROWS_PER_TRAIN_PARTITION), 4 * par))
-    if target < d.rdd.getNumPartitions():
-        c = d.coalesce(target).persist()
-        c.count()
-        d.unpersist()
-        return c
-    return d
-
-
 def train_gbt(train: DataFrame, features_col: str = "features", label: str = "label",
               weighted: bool = True, **params):
     """Boosted trees with the reference's settings (200 rounds, depth 6, rate 0.1, subsample
@@ -147,7 +128,7 @@ def train_gbt(train: DataFrame, features_col: str = "features", label: str = "la
     p = dict(GBT_DEFAULTS)
     p.update(params)
     # every boosting round scans the input: materialize it once instead of re-running its plan
-    d = _sized(with_class_weight(train, label, weighted).select(features_col, label, "weight"))
+    d = with_class_weight(train, label, weighted).select(features_col, label, "weight").persist()
     try:
         gbt = GBTClassifier(featuresCol=features_col, labelCol=label, weightCol="weight", **p)
         return gbt.fit(d)
@@ -162,11 +143,13 @@ def positive_probability(col: str = "probability") -> Column:
 
 # M5
 def calibrate(model, validation: DataFrame, label: str = "label"):
-    """Isotonic regression of the label on the model's positive probability."""
+    """Isotonic regression of the label on the model's positive probability. Rows of equal
+    probability are one point with their mean label and their number as weight, which gives the
+    same fit from one row per distinct probability."""
     from pyspark.ml.regression import IsotonicRegression
-    p = model.transform(validation).select(positive_probability().alias("p"),
-                                           F.col(label).cast("double").alias("y"))
-    return IsotonicRegression(featuresCol="p", labelCol="y", predictionCol="p_cal").fit(p)
+    p = (model.transform(validation).select(positive_probability().alias("p"), F.col(label).cast("double").alias("y"))
+         .groupBy("p").agg(F.avg("y").alias("y"), F.count(F.lit(1)).cast("double").alias("w")))
+    return IsotonicRegression(featuresCol="p", labelCol="y", weightCol="w", predictionCol="p_cal").fit(p)
 
 
 # M6
@@ -210,23 +193,32 @@ def cross_validate(df: DataFrame, k: int = 5, label: str = "label", weighted: bo
 
 # M14
 def train_pipeline(features: DataFrame, out_path: str | None = None, label: str = "is_fraud",
-                   cv_folds: int = 0, calibrate_model: bool = True, **params) -> dict:
-    """features → scale → (CV) → stratified split → fit → calibrate → evaluate → save."""
+                   cv_folds: int = 5, calibrate_model: bool = True, held_out: DataFrame | None = None, **params) -> dict:
+    """features → split → scale → CV → fit → calibrate → evaluate on held-out rows → save.
+
+    The scaler is fitted on the training rows alone, the calibrator on a part of them that the
+    trees never see, the metrics come from ``held_out`` (default: a stratified fifth of the rows),
+    which neither has seen."""
     from riskloom.operators import evaluation as E
     from riskloom.operators.topk import feature_importance
     names = S.FEATURE_NAMES
     spark = features.sparkSession
-    scaled, _ = standard_scale(features, names)
-    data = assemble(scaled.withColumn("label", F.col(label).cast("int")), names)
+    rows = features.withColumn("label", F.col(label).cast("int"))
+    if held_out is None:
+        split = stratified_split(rows, "label", 0.2).persist()
+        rows, test = split.where("split = 'train'").drop("split"), split.where("split = 'test'").drop("split")
+    else:
+        split, test = None, held_out.withColumn("label", F.col(label).cast("int"))
+    parts = stratified_split(rows, "label", 0.25, seed=43).persist()
+    scaler = fit_scaler(parts.where("split = 'train'"), names)
+    ready = lambda d: assemble(apply_scaler(d, scaler), names)
+    train, check = ready(parts.where("split = 'train'")), ready(parts.where("split = 'test'"))
     meta: dict = {"n_features": len(names), "feature_names": names, "params": {**GBT_DEFAULTS, **params}}
     if cv_folds:
-        meta["cv"] = cross_validate(data, cv_folds, "label", **params)
-    sp = stratified_split(data, "label", 0.2).persist()
-    train, val = sp.where("split = 'train'"), sp.where("split = 'test'")
+        meta["cv"] = cross_validate(train, cv_folds, "label", **params)
     model = train_gbt(train, "features", "label", True, **params)
-    cal = calibrate(model, val) if calibrate_model else None
-    pred = predict(model, val, cal).select(F.col("fraud_probability").alias("score"),
-                                           F.col("label"))
+    cal = calibrate(model, check) if calibrate_model else None
+    pred = predict(model, ready(test), cal).select(F.col("fraud_probability").alias("score"), F.col("label")).persist()
     metrics = {
         "roc_auc": E.roc_auc(pred).first()[0],
         "pr_auc": E.average_precision(pred).first()[0],
@@ -240,14 +232,15 @@ def train_pipeline(features: DataFrame, out_path: str | None = None, label: str
     meta["metrics"] = metrics
     meta["top_features"] = [r.asDict() for r in
                             feature_importance(model.featureImportances, names, spark).collect()]
-    sp.unpersist()
+    for d in (pred, parts, split):
+        if d is not None:
+            d.unpersist()
     if out_path:
         from pyspark.ml import PipelineModel
 
         from riskloom.sources.sinks import save_model
-        save_model(PipelineModel(stages=[model]), meta, out_path, spark)
-    meta["model"] = model
-    meta["calibrator"] = cal
+        save_model(PipelineModel(stages=[model]), meta, out_path, spark, cal, scaler)
+    meta.update(model=model, calibrator=cal, scaler=scaler)
     return meta
 
 

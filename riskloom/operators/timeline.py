@@ -1,8 +1,9 @@
 """Skew-safe per-user timelines.
 
 A plain ``Window.partitionBy(user)`` sends all rows of a user to one task. One user may hold a
-third of the log, so users above ``HOT_USER_ROWS`` rows (found by one count per user) never
-go through a whole-user partition; they take these plans instead:
+third of the log, so users above ``HOT_USER_ROWS`` rows (found by one count per user) take the
+plans below. Both plans give the same rows and values, null users and null times included: keys
+join null-safely, bucket widths and chunk sizes follow from the requested frames.
 
 * **time-bucket context** (range frames up to ``width``): every row goes to its own bucket
   ``floor(ts/width)`` and, flagged as context, to the next one. A frame ``[t-W, t]`` with
@@ -37,8 +38,18 @@ def split_hot_keys(df: DataFrame, key: str = "user_id",
     keys above ``threshold`` (at most total/threshold of them) are broadcast to both sides."""
     hot = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
            .where(F.col("_n") > threshold).select(key))
-    hb = F.broadcast(hot)
-    return df.join(hb, key, "left_anti"), df.join(hb, key, "left_semi")
+    hb = F.broadcast(hot.withColumnRenamed(key, "_hot"))
+    same = F.col(key).eqNullSafe(F.col("_hot"))
+    return df.join(hb, same, "left_anti"), df.join(hb, same, "left_semi")
+
+
+def join_null_safe(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` where null equals null; the other side's keys are dropped."""
+    o = other.withColumnsRenamed({k: f"_o_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
+    return df.join(o, on).drop(*[f"_o_{k}" for k in keys])
 
 
 def with_ts_us(df: DataFrame, ts_col: str = "timestamp") -> DataFrame:
@@ -48,10 +59,11 @@ def with_ts_us(df: DataFrame, ts_col: str = "timestamp") -> DataFrame:
 def bucket_context(df: DataFrame, width_us: int) -> DataFrame:
     """Duplicate rows into (own bucket, ctx=false) and (next bucket, ctx=true)."""
     b = F.floor(F.col("_ts_us") / F.lit(width_us)).cast("long")
+    own = F.struct(F.col("_b0").alias("b"), F.lit(False).alias("ctx"))
+    both = F.array(own, F.struct((F.col("_b0") + 1).alias("b"), F.lit(True).alias("ctx")))
+    # rows without a time have one bucket and are nobody's context
     return (df.withColumn("_b0", b)
-            .withColumn("_bc", F.explode(F.array(
-                F.struct(F.col("_b0").alias("b"), F.lit(False).alias("ctx")),
-                F.struct((F.col("_b0") + 1).alias("b"), F.lit(True).alias("ctx")))))
+            .withColumn("_bc", F.explode(F.when(F.col("_b0").isNull(), F.array(own)).otherwise(both)))
             .select("*", F.col("_bc.b").alias("_bkt"), F.col("_bc.ctx").alias("_ctx"))
             .drop("_bc", "_b0"))
 
@@ -71,7 +83,7 @@ def with_user_row_index(df: DataFrame, user: str = "user_id", id_col: str = "tra
     per_b = per_b.select(user, "_hb",
                          F.coalesce(F.sum("_n").over(wb), F.lit(0)).alias("_off"),
                          F.max("_bmax").over(wb).alias("_prev_b_max"))
-    j = d.join(per_b, [user, "_hb"], "inner")
+    j = join_null_safe(d, per_b, [user, "_hb"])
     w_rows = Window.partitionBy(user, "_hb").orderBy("_ts_us", id_col)
     w_range = (Window.partitionBy(user, "_hb").orderBy("_ts_us")
                .rangeBetween(Window.unboundedPreceding, -1))
@@ -91,7 +103,7 @@ def running_max(df: DataFrame, col: str, out: str, user: str = "user_id",
     per_b = per_b.select(user, "_hb2", F.max("_bm").over(wb).alias("_before"))
     w_in = (Window.partitionBy(user, "_hb2").orderBy("_ts_us")
             .rangeBetween(Window.unboundedPreceding, 0))
-    j = d.join(per_b, [user, "_hb2"], "inner")
+    j = join_null_safe(d, per_b, [user, "_hb2"])
     inb = F.max(col).over(w_in)
     return (j.withColumn(out, F.greatest(inb, F.col("_before")))
             .drop("_hb2", "_before"))

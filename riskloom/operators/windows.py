@@ -11,9 +11,11 @@ Plans. ``user_windows`` splits the log by a per-user row count
 
 * normal users: one exchange by user; range frames order by ``_ts_us``, rows frames by
   (``_ts_us``, id) — both reuse the same partitioning (one shuffle for all of W1-W9, W11);
-* hot users: range frames inside (user, day bucket) partitions with the previous day as
+* hot users: range frames inside (user, time bucket) partitions with the previous bucket as
   context, rows frames inside (user, row chunk) partitions with the previous chunk as context,
-  the row index from bucket counts. No partition ever holds all rows of a hot user.
+  the row index from bucket counts. Buckets are a day wide or as wide as the widest frame, chunks
+  4,096 rows or as long as the longest frame, so both plans give the same values. A user's rows
+  inside one bucket are one partition's.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from riskloom.functions import features as FX
 from riskloom.operators.timeline import (DAY_US, DEFAULT_CHUNK, HOT_USER_ROWS, bucket_context,
                                          chunk_context, hours_between_us, running_max,
                                          split_hot_keys, with_ts_us, with_user_row_index)
+from riskloom.operators.prefix import stored
 from riskloom.schema import HOUR_US
 
 USER = "user_id"
@@ -66,56 +69,75 @@ def _skew(d: DataFrame, range_cols: dict, rows_cols: dict, user: str, id_col: st
     return out.withColumn("_row", F.col("_row").cast("long"))
 
 
-def user_windows(df: DataFrame, range_cols: dict | None = None, rows_cols: dict | None = None,
+class Frames(dict):
+    """Window columns by name, and how far back the widest of their frames reaches
+    (microseconds for range frames, rows for rows frames)."""
+
+    def __init__(self, reach: int = 0, **columns):
+        super().__init__(**columns)
+        self.reach = reach
+
+
+def user_windows(df: DataFrame, range_cols: Frames | None = None, rows_cols: Frames | None = None,
                  user: str = USER, id_col: str = TID, hot_threshold: int | None = HOT_USER_ROWS,
-                 width_us: int = DAY_US, chunk: int = DEFAULT_CHUNK,
                  prepare=None) -> DataFrame:
     """Add ``_row``, ``_prev_ts_us`` and the given window columns.
 
     ``range_cols``: name → ``fn(mk)`` with ``mk(lookback_us, upper)`` a range frame over
-    ``_ts_us`` (lookback <= ``width_us``). ``rows_cols``: name → ``fn(w)`` with ``w`` a window
-    in (timestamp, id) order (frames reach back at most ``chunk`` rows).
-    ``hot_threshold=None`` sends every user through the skew-safe plan. ``prepare`` (e.g. a
-    join by user) is applied to each branch after the split and before its windows, so a
-    join's exchange by user also serves the normal users' windows."""
+    ``_ts_us``. ``rows_cols``: name → ``fn(w)`` with ``w`` a window in (timestamp, id) order.
+    The hot plan's bucket width and chunk size are at least the frames' reach, so both plans give
+    the same values. ``hot_threshold=None`` sends every user through the skew-safe plan.
+    ``prepare(df, hot)`` (e.g. a join by user) is applied to each branch after the split and before
+    its windows, so a join's exchange by user also serves the normal users' windows."""
     d = _ensure_ts(df)
-    rc, oc = range_cols or {}, rows_cols or {}
-    prep = prepare or (lambda x: x)
+    rc, oc = range_cols or Frames(), rows_cols or Frames()
+    width, chunk = max(DAY_US, rc.reach), max(DEFAULT_CHUNK, oc.reach)
+    prep = prepare or (lambda x, hot: x)
     if hot_threshold is None:
-        return _skew(prep(d), rc, oc, user, id_col, width_us, chunk)
+        return _skew(prep(d, True), rc, oc, user, id_col, width, chunk)
     normal, hot = split_hot_keys(d, user, hot_threshold)
-    return _plain(prep(normal), rc, oc, user, id_col).unionByName(
-        _skew(prep(hot), rc, oc, user, id_col, width_us, chunk))
+    return _plain(prep(normal, False), rc, oc, user, id_col).unionByName(
+        _skew(prep(hot, True), rc, oc, user, id_col, width, chunk))
 
 
 # ---- column factories ----------------------------------------------------------------------
 
+def timed(value: Column, otherwise) -> Column:
+    """``value`` for rows with a time; rows without one have no history."""
+    return F.when(F.col("_ts_us").isNotNull(), value).otherwise(F.lit(otherwise))
+
+
+def _named(col: str) -> Column:
+    """A category for distinct counts: a missing one is one value of its own."""
+    return F.coalesce(F.col(col), F.lit(""))
+
+
 def velocity_columns(hours=(1, 6, 24), amount_hours=(1, 24), distinct_hours=(24,),
-                     device_hours=()) -> dict:
+                     device_hours=()) -> Frames:
     """W1 counts, W2 sums, W3 distincts over ``[t-W, t)``; W11 devices over ``[t-W, t]``."""
-    cols = {}
+    cols = Frames(max([0, *hours, *amount_hours, *distinct_hours, *device_hours]) * HOUR_US)
     for h in hours:
-        cols[f"txn_count_{h}h"] = lambda mk, h=h: F.count(F.lit(1)).over(mk(h * HOUR_US, -1))
+        cols[f"txn_count_{h}h"] = lambda mk, h=h: timed(F.count(F.lit(1)).over(mk(h * HOUR_US, -1)), 0)
     for h in amount_hours:
-        cols[f"amount_sum_{h}h"] = lambda mk, h=h: F.coalesce(
-            F.sum("amount").over(mk(h * HOUR_US, -1)), F.lit(0.0))
+        cols[f"amount_sum_{h}h"] = lambda mk, h=h: timed(F.coalesce(
+            F.sum("amount").over(mk(h * HOUR_US, -1)), F.lit(0.0)), 0.0)
     for h in distinct_hours:
-        cols[f"unique_merchants_{h}h"] = lambda mk, h=h: F.size(
-            F.collect_set("merchant_category").over(mk(h * HOUR_US, -1)))
-        cols[f"unique_countries_{h}h"] = lambda mk, h=h: F.size(
-            F.collect_set("country").over(mk(h * HOUR_US, -1)))
+        cols[f"unique_merchants_{h}h"] = lambda mk, h=h: timed(F.size(
+            F.collect_set(_named("merchant_category")).over(mk(h * HOUR_US, -1))), 0)
+        cols[f"unique_countries_{h}h"] = lambda mk, h=h: timed(F.size(
+            F.collect_set(_named("country")).over(mk(h * HOUR_US, -1))), 0)
     for h in device_hours:
         # Prior 24 h plus the current row (and its ties); at least 1.
-        cols[f"devices_used_{h}h"] = lambda mk, h=h: F.greatest(
-            F.lit(1), F.size(F.collect_set("device_id").over(mk(h * HOUR_US, 0))))
+        cols[f"devices_used_{h}h"] = lambda mk, h=h: timed(F.greatest(
+            F.lit(1), F.size(F.collect_set("device_id").over(mk(h * HOUR_US, 0)))), 1)
     return cols
 
 
 def history_columns(n_diversity: int = 100, n_spend: int = 10, travel: bool = True,
-                    n_history: int = 0) -> dict:
+                    n_history: int = 0) -> Frames:
     """Rows-frame inputs of W5 (distinct merchants of the last 100), W6 (sum of the last 10
     amounts), W7 (previous row's country and time) and W9 (the last n rows)."""
-    cols = {}
+    cols = Frames(max(n_diversity, n_spend, n_history, 1))
     if n_diversity:
         cols["_hist_merchants"] = lambda w: F.size(F.collect_set("merchant_category").over(
             w.rowsBetween(-n_diversity, -1)))
@@ -234,34 +256,31 @@ def recent_history(df: DataFrame, n: int = 100) -> DataFrame:
 
 # ---- W10 -----------------------------------------------------------------------------------
 
-def _batch_cols(part: list[str], user_ts_part: list[str]) -> dict:
-    """W10 columns for a partitioning ``part`` (ordered by ``_ts_us``); ``user_ts_part`` adds
-    ``_ts_us`` to it for the tie peers (same partitioning, no extra exchange)."""
-    rng = lambda lb: Window.partitionBy(*part).orderBy("_ts_us").rangeBetween(-lb, 0)  # noqa
-    peers_after = (Window.partitionBy(*user_ts_part).orderBy(TID)
-                   .rowsBetween(0, Window.unboundedFollowing))
-    peers_before = Window.partitionBy(*user_ts_part).orderBy(TID)
-    cols = {}
+def _batch_cols(part: list[str]) -> Frames:
+    """W10 columns for windows partitioned by ``part``: rows of strictly earlier times by a range
+    frame, earlier rows of the same time by a rows frame over the ties (same partitioning, no
+    extra exchange)."""
+    before = lambda h: (Window.partitionBy(*part).orderBy("_ts_us")
+                        .rangeBetween(-(h * HOUR_US - 1), -1))
+    order = Window.partitionBy(*part, "_ts_us").orderBy(TID)
+    ties = order.rowsBetween(UNB, -1)
+    cols = Frames(24 * HOUR_US)
     for h in (1, 24):
-        fr = rng(h * HOUR_US - 1)
-        cols[f"txn_count_{h}h"] = (F.count(F.lit(1)).over(fr)
-                                   - F.count(F.lit(1)).over(peers_after))
-        cols[f"txn_amount_{h}h"] = (F.coalesce(F.sum("amount").over(fr), F.lit(0.0))
-                                    - F.sum("amount").over(peers_after))
-    cols["_l24"] = F.collect_list(F.struct(F.col("_ts_us").alias("t"), F.col(TID).alias("id"),
-                                           F.col("merchant_category").alias("m"),
-                                           F.col("country").alias("c"))).over(rng(24 * HOUR_US - 1))
-    cols["_tie_rn"] = F.row_number().over(peers_before)
+        cols[f"txn_count_{h}h"] = timed(F.count(F.lit(1)).over(before(h)) + F.count(F.lit(1)).over(ties), 0)
+        cols[f"txn_amount_{h}h"] = timed(F.coalesce(F.sum("amount").over(before(h)), F.lit(0.0))
+                                         + F.coalesce(F.sum("amount").over(ties), F.lit(0.0)), 0.0)
+    for name, col in (("merchants", "merchant_category"), ("countries", "country")):
+        v = _named(col)
+        cols[f"unique_{name}_24h"] = timed(F.size(F.array_union(F.collect_set(v).over(before(24)),
+                                                                F.collect_set(v).over(ties))), 0)
+    cols["_tie_rn"] = F.row_number().over(order)
     return cols
 
 
 def velocity_batch(df: DataFrame, hot_threshold: int | None = HOT_USER_ROWS) -> DataFrame:
     """W10, batch variant: rows earlier in (timestamp, id) order with ``t-W < ts <= t``;
-    gap to the previous row in that order, 0.0 for the first (and for tied rows).
-
-    The range frame includes the row itself and its ties; the counts/sums over the tie peers
-    from the current row onwards (ordered by id) are subtracted, and the distinct sets filter
-    the frame's (time, id) list to strictly earlier positions."""
+    gap to the previous row in that order, 0.0 for the first (and for tied rows). Missing amounts
+    add nothing, missing categories count as one value, rows without a time have no history."""
     d = _ensure_ts(df)
     if hot_threshold is None:
         normal, hot = None, d
@@ -271,28 +290,51 @@ def velocity_batch(df: DataFrame, hot_threshold: int | None = HOT_USER_ROWS) ->
     if normal is not None:
         n = normal.select("*", F.max("_ts_us").over(
             Window.partitionBy(USER).orderBy("_ts_us").rangeBetween(UNB, -1)).alias("_prev_ts_us"))
-        cols = _batch_cols([USER], [USER, "_ts_us"])
-        parts.append(n.select("*", *[c.alias(k) for k, c in cols.items()]))
+        parts.append(n.select("*", *[c.alias(k) for k, c in _batch_cols([USER]).items()]))
     h = bucket_context(with_user_row_index(hot), DAY_US)
-    cols = _batch_cols([USER, "_bkt"], [USER, "_bkt", "_ts_us"])
-    parts.append(h.select("*", *[c.alias(k) for k, c in cols.items()])
+    parts.append(h.select("*", *[c.alias(k) for k, c in _batch_cols([USER, "_bkt"]).items()])
                  .where(~F.col("_ctx")).drop("_bkt", "_ctx", "_row"))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    earlier = lambda x: (x["t"] < F.col("_ts_us")) | (
-        (x["t"] == F.col("_ts_us")) & (x["id"] < F.col(TID)))
-    prior = F.filter("_l24", earlier)
-    out = (out.withColumn("unique_merchants_24h",
-                          F.size(F.array_distinct(F.transform(prior, lambda x: x["m"]))))
-           .withColumn("unique_countries_24h",
-                       F.size(F.array_distinct(F.transform(prior, lambda x: x["c"]))))
-           .withColumn("time_since_last_txn",
-                       F.when((F.col("_tie_rn") > 1) | F.col("_prev_ts_us").isNull(), F.lit(0.0))
-                       .otherwise(hours_between_us(F.col("_ts_us"), F.col("_prev_ts_us")))))
-    return out.drop("_l24", "_tie_rn", "_prev_ts_us")
+    return out.withColumn("time_since_last_txn",
+                          F.when((F.col("_tie_rn") > 1) | F.col("_prev_ts_us").isNull() | F.col("_ts_us").isNull(), F.lit(0.0))
+                          .otherwise(hours_between_us(F.col("_ts_us"), F.col("_prev_ts_us")))) \
+        .drop("_tie_rn", "_prev_ts_us")
 
 
 # ---- W12 / W13: anchored counters ------------------------------------------------------------
 
+def _long_anchors(times: DataFrame, w_us: int) -> DataFrame:
+    """(k, a): the window starts of segments longer than one window. ``times`` (k, seg, t) holds
+    their distinct times.
+
+    The start after one at time t is the first event later than t + window; within a segment it
+    comes at most two windows after t, so it is found inside time buckets. Starting at the segment's first event
+    the chain is followed by doubling: with jumps of 1, 2, 4, ... starts, each round joins the
+    starts found so far with the jumps, so a chain of n starts takes log2(n) rounds."""
+    step = 2 * w_us + 1
+    b = F.floor(F.col("t") / F.lit(step))
+    # a row is also offered to the bucket before its own
+    spread = times.select("k", "seg", "t", F.explode(F.array(
+        F.struct(b.alias("b"), F.lit(True).alias("own")),
+        F.struct((b - 1).alias("b"), F.lit(False).alias("own")))).alias("x")).select("k", "seg", "t", "x.b", "x.own")
+    after = Window.partitionBy("k", "seg", "b").orderBy("t").rangeBetween(w_us + 1, Window.unboundedFollowing)
+    jump = stored(spread.withColumn("to", F.min("t").over(after)).where("own and to is not null").select("k", "t", "to"), "jumps")
+    found = stored(times.groupBy("k", "seg").agg(F.min("t").alias("a")).select("k", "a"), "anchors")
+
+    def hop(starts, jumps):
+        j = jumps.withColumnsRenamed({"k": "_k"})
+        return starts.join(j, F.col("k").eqNullSafe(F.col("_k")) & (F.col("a") == F.col("t"))).select("k", F.col("to").alias("a"))
+
+    while True:
+        more = stored(hop(found, jump), "anchors")
+        if not more.limit(1).count():
+            return found
+        found = stored(found.union(more).distinct(), "anchors")
+        two = jump.withColumnsRenamed({"k": "_k", "t": "_t", "to": "_to"})
+        jump = stored(jump.join(two, F.col("k").eqNullSafe(F.col("_k")) & (F.col("to") == F.col("_t")))
+                      .select("k", "t", F.col("_to").alias("to")), "jumps")
+
+
 def anchored_counter(df: DataFrame, window_seconds: int, limit: int | None = None,
                      key: str = USER, id_col: str = TID,
                      hot_threshold: int | None = HOT_USER_ROWS) -> DataFrame:
@@ -300,73 +342,65 @@ def anchored_counter(df: DataFrame, window_seconds: int, limit: int | None = Non
     exactly anchor + window still belongs; a strictly later one opens the next window).
 
     Returns (key, id, ``window_start``, ``count_in_window``); with ``limit`` (W13) also
-    ``allowed`` (position <= limit) and ``count_in_window`` is the stored count, which a
-    denied event does not raise.
-
-    The anchor chain is sequential, but an event more than ``window`` after the previous one
-    always opens a window, so the log splits into independent segments at such gaps. The
-    segment of an event is the latest segment start at or before it (a running max: one
-    window by key for normal keys, the bucketed plan for hot keys). Each (key, segment) is
-    folded in one streaming pass (``mapInPandas`` over hash partitions sorted by key,
-    segment, time, id), so no segment is ever held in memory as a whole."""
+    ``allowed`` (the first event of a window always, others up to position ``limit``), and
+    ``count_in_window`` is the stored count, which a denied event does not raise. Events without
+    a time are in no window: start, count and ``allowed`` are null.
+
+    An event more than ``window`` after the previous one always opens a window, so the log splits
+    into segments at such gaps. A segment no longer than the window has one anchor, its start;
+    longer ones follow their chain of anchors (:func:`_long_anchors`). An event's anchor is the
+    latest one at or before it, its position the row number after that anchor."""
     w_us = int(window_seconds) * 1_000_000
-    d = _ensure_ts(df)
+    d = _ensure_ts(df).select(F.col(key).alias("k"), F.col(id_col).alias("id"), "_ts_us")
+    timeless = d.where(F.col("_ts_us").isNull())
+    d = d.where(F.col("_ts_us").isNotNull())
     seg_start = lambda prev: F.when(prev.isNull() | ((F.col("_ts_us") - prev) > F.lit(w_us)),  # noqa
                                     F.col("_ts_us"))
-    parts = []
-    if hot_threshold is not None:
-        normal, hot = split_hot_keys(d, key, hot_threshold)
-        wr = Window.partitionBy(key).orderBy("_ts_us")
-        n = normal.withColumn("_seg_start", seg_start(
-            F.max("_ts_us").over(wr.rangeBetween(UNB, -1))))
-        parts.append(n.withColumn("_seg", F.max("_seg_start").over(wr.rangeBetween(UNB, 0))))
+
+    def latest(rows: DataFrame, col: str, out: str, hot: bool) -> DataFrame:
+        if hot:
+            return running_max(rows, col, out, "k")
+        w = Window.partitionBy("k").orderBy("_ts_us").rangeBetween(UNB, 0)
+        return rows.withColumn(out, F.max(col).over(w))
+
+    if hot_threshold is None:
+        branches = [(d, True)]
     else:
-        hot = d
-    h = with_user_row_index(hot, key, id_col)
-    h = running_max(h.withColumn("_seg_start", seg_start(F.col("_prev_ts_us"))),
-                    "_seg_start", "_seg", key).drop("_row", "_prev_ts_us")
-    parts.append(h)
-    segd = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    ev = segd.select(F.col(key).alias("k"), F.col(id_col).alias("id"),
-                     F.col("_ts_us").alias("t"), "_seg")
-    ordered = ev.repartition("k", "_seg").sortWithinPartitions("k", "_seg", "t", "id")
-    out = ordered.mapInPandas(_fold_fn(w_us), "k string, id string, anchor long, n long")
-    res = out.select(F.col("k").alias(key), F.col("id").alias(id_col),
-                     F.timestamp_micros("anchor").alias("window_start"),
+        normal, hot = split_hot_keys(d, "k", hot_threshold)
+        branches = [(normal, False), (hot, True)]
+    out = []
+    for rows, is_hot in branches:
+        if is_hot:
+            rows = with_user_row_index(rows, "k", "id").drop("_row")
+        else:
+            rows = rows.withColumn("_prev_ts_us", F.max("_ts_us").over(
+                Window.partitionBy("k").orderBy("_ts_us").rangeBetween(UNB, -1)))
+        out.append(latest(rows.withColumn("_start", seg_start(F.col("_prev_ts_us"))), "_start", "seg", is_hot)
+                   .select("k", "id", "_ts_us", "seg", F.lit(is_hot).alias("hot")))
+    ev = stored(out[0] if len(out) == 1 else out[0].unionByName(out[1]), "segments")
+    span = ev.groupBy("k", "seg").agg(F.max("_ts_us").alias("_end")).where(F.col("_end") - F.col("seg") > w_us)
+    long_ = span.select(F.col("k").alias("_k"), F.col("seg").alias("_seg"))
+    in_long = F.col("k").eqNullSafe(F.col("_k")) & (F.col("seg") == F.col("_seg"))
+    times = stored(ev.join(long_, in_long, "left_semi").groupBy("k", "seg", F.col("_ts_us").alias("t"))
+                   .agg(F.count("*").alias("_n")).drop("_n"), "times")
+    starts = _long_anchors(times, w_us).select(F.col("k").alias("_k"), F.col("a").alias("_a"))
+    marked = ev.join(starts, F.col("k").eqNullSafe(F.col("_k")) & (F.col("_ts_us") == F.col("_a")), "left") \
+        .select("k", "id", "_ts_us", "hot", F.coalesce("_a", F.when(F.col("_ts_us") == F.col("seg"), F.col("seg"))).alias("_mark"))
+    placed = [latest(marked.where("not hot"), "_mark", "anchor", False), latest(marked.where("hot"), "_mark", "anchor", True)]
+    placed = placed[0].unionByName(placed[1])
+    n = F.row_number().over(Window.partitionBy("k", "anchor").orderBy("_ts_us", "id")).cast("long")
+    res = placed.select("k", "id", "anchor", n.alias("n")).unionByName(
+        timeless.select("k", "id", F.lit(None).cast("long").alias("anchor"), F.lit(None).cast("long").alias("n")))
+    res = res.select(F.col("k").alias(key), F.col("id").alias(id_col), F.timestamp_micros("anchor").alias("window_start"),
                      F.col("n").alias("count_in_window"))
     if limit is not None:
-        res = (res.withColumn("allowed", F.col("count_in_window") <= F.lit(limit))
-               .withColumn("count_in_window",
-                           F.least(F.col("count_in_window"), F.lit(limit).cast("long"))))
+        most = max(int(limit), 1)
+        res = (res.withColumn("allowed", F.col("count_in_window") <= F.lit(most))
+               .withColumn("count_in_window", F.when(F.col("count_in_window").isNotNull(), F.least(
+                   F.col("count_in_window"), F.lit(most).cast("long")))))
     return res
 
 
-def _fold_fn(w_us: int):
-    """Streaming fold over batches sorted by (key, segment, t, id); state carries across
-    batch boundaries."""
-    def fold(batches):
-        import numpy as np
-        import pandas as pd
-        cur = None
-        a, c = 0, 0
-        for pdf in batches:
-            n = len(pdf)
-            k = pdf["k"].to_numpy()
-            sg = pdf["_seg"].to_numpy()
-            t = pdf["t"].to_numpy(dtype=np.int64)
-            anchor = np.empty(n, dtype=np.int64)
-            pos = np.empty(n, dtype=np.int64)
-            for i in range(n):
-                g = (k[i], sg[i])
-                if g != cur or t[i] > a + w_us:
-                    cur, a, c = g, int(t[i]), 1
-                else:
-                    c += 1
-                anchor[i], pos[i] = a, c
-            yield pd.DataFrame({"k": k, "id": pdf["id"].to_numpy(), "anchor": anchor, "n": pos})
-    return fold
-
-
 def rate_limit(df: DataFrame, limit: int = 1000, window_seconds: int = 60,
                key: str = USER, id_col: str = TID, **kw) -> DataFrame:
     """Allowed while the window's count is below ``limit``."""

@@ -87,9 +87,16 @@ def build_features(txn: DataFrame, profiles: DataFrame,
     All windows (W1-W7, W11) run in one pass over the per-user timeline."""
     # The profile join runs inside each branch of the hot-user split: for normal users its
     # exchange by user also serves the windows (one shuffle of the log).
+    # The hot users' few profiles (at most rows / threshold) are broadcast instead, so that their
+    # rows are never partitioned by user.
+    def with_profile(d: DataFrame, hot: bool) -> DataFrame:
+        own = profiles
+        if hot and hot_threshold is not None:
+            own = F.broadcast(profiles.join(d.select("user_id").distinct(), "user_id", "left_semi"))
+        return enrich_profile(d, own)
+
     vel = W.user_windows(with_ts_us(txn), W.velocity_columns((1, 6, 24), (1, 24), (24,), (24,)),
-                         W.history_columns(100, 10, True), hot_threshold=hot_threshold,
-                         prepare=lambda d: enrich_profile(d, profiles))
+                         W.history_columns(100, 10, True), hot_threshold=hot_threshold, prepare=with_profile)
     j = enrich_dims(vel)
     feats = feature_columns(j)
     keep = [c for c in KEEP if c in j.columns and c not in feats]

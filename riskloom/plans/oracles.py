@@ -9,7 +9,7 @@ counters are recursive CTEs, ranking metrics are pair counts. Only the input map
 from __future__ import annotations
 
 from riskloom import schema as S
-from riskloom.sources.testdata import mapped_sql
+from riskloom.sources.testdata import PROFILE_CUT, mapped_sql
 
 H = S.HOUR_US
 
@@ -27,11 +27,10 @@ def dist_sql(a: str, b: str) -> str:
             f"ELSE {S.FAR_DISTANCE_KM} END")
 
 
-def profiles_sql(src: str = "txn", cut: str | None = None, gap: bool = True) -> str:
-    """A10 in SQL over ``src`` (optionally rows with timestamp <= cut)."""
+def profiles_sql(src: str = "txn", cut: str | None = f"TIMESTAMP '{PROFILE_CUT}'") -> str:
+    """A10 in SQL over ``src`` (rows with timestamp <= cut; all rows without a cut)."""
     where = f'WHERE "timestamp" <= {cut}' if cut else ""
     ref = cut if cut else "last_ts"
-    gap_where = "WHERE CAST(substr(a.user_id, 2) AS INTEGER) % 10 <> 9" if gap else ""
     return f"""
 pa AS (
   SELECT user_id, avg(amount) AS avg_txn_amount,
@@ -59,7 +58,6 @@ profiles AS (
          CAST({ref} AS TIMESTAMP) AS updated_at
   FROM pa a LEFT JOIN pd d ON d.user_id = a.user_id
   LEFT JOIN users u ON u.user_id = a.user_id
-  {gap_where}
 )"""
 
 
@@ -84,8 +82,8 @@ vel AS (
          count(b.transaction_id) AS c24,
          coalesce(sum(b.amount) FILTER (WHERE b.tus >= a.tus - {H}), 0.0) AS s1,
          coalesce(sum(b.amount), 0.0) AS s24,
-         count(DISTINCT b.merchant_category) AS um,
-         count(DISTINCT b.country) AS uc
+         count(DISTINCT CASE WHEN b.transaction_id IS NOT NULL THEN coalesce(b.merchant_category, '') END) AS um,
+         count(DISTINCT CASE WHEN b.transaction_id IS NOT NULL THEN coalesce(b.country, '') END) AS uc
   FROM tx a LEFT JOIN tx b
     ON b.user_id = a.user_id AND b.tus < a.tus AND b.tus >= a.tus - {24 * H}
   GROUP BY a.transaction_id
@@ -122,7 +120,7 @@ base AS (
          coalesce(p.account_age_days, 0) AS account_age_days,
          hour(t."timestamp") AS hh, isodow(t."timestamp") - 1 AS dw,
          coalesce(t.country, 'US') AS ctry
-  FROM tx t LEFT JOIN profiles p ON p.user_id = t.user_id
+  FROM tx t LEFT JOIN profiles p ON p.user_id = t.user_id AND t."timestamp" > p.updated_at
 ),
 feat AS (
   SELECT b.txn_seq, b.transaction_id, b.user_id, b."timestamp", b.merchant_category,

@@ -17,6 +17,12 @@ from riskloom import schema as S
 from riskloom.session import ensure_session_defaults
 
 
+#: Profiles are built from the log up to here and count for later transactions only.
+PROFILE_CUT = "2024-01-15 00:00:00"
+#: An earlier state of them, for merges.
+EARLIER_CUT = "2024-01-02 00:00:00"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -45,7 +51,7 @@ def mapped_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = [m[1] for m in S.MERCHANTS]
     countries = [c[0] for c in S.COUNTRIES]
     k = F.regexp_extract("props", r"([0-9]+)", 1).cast("int")
-    j = ev.join(cu, ev.user_id == cu.c_custkey, "inner").withColumn("k", k)
+    j = ev.join(cu, ev.user_id == cu.c_custkey, "left").withColumn("k", k)
     home = _pick(countries, F.col("c_nationkey") % 10)
     country = F.when(F.col("k") % 10 == 3,
                      _pick(countries, (F.col("user_id") + F.col("k")) % 10)).otherwise(home)
@@ -83,11 +89,6 @@ def mapped_users(spark: SparkSession, sf_dir: str) -> DataFrame:
                      _pick(countries, F.col("c_nationkey") % 10).alias("home_country"))
 
 
-def without_profile_gap(df: DataFrame) -> DataFrame:
-    """Leave out users whose number ends in 9, so that "no profile" paths are exercised."""
-    return df.where(F.substring("user_id", 2, 6).cast("int") % 10 != 9)
-
-
 def mapped_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``orders`` as a second, day-grain log with timestamp ties (FIXTURES §3)."""
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate",
@@ -135,7 +136,7 @@ def mapped_sql() -> str:
     return f"""
 ev_k AS (
   SELECT e.*, c.c_nationkey, CAST(regexp_extract(e.props, '([0-9]+)', 1) AS INTEGER) AS k
-  FROM events e JOIN customer c ON e.user_id = c.c_custkey
+  FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey
 ),
 ev_m AS (
   SELECT *, {countries}[c_nationkey % 10 + 1] AS home,

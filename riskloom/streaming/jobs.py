@@ -7,22 +7,24 @@ The reference scores request by request with keyed TTL state. Here a stream of t
   de-duplicated against itself and the history table, joined to the profiles (stream-static),
   featurised together with the stored history of the batch's users (so velocity and
   rows-frame features see earlier batches), rule-scored and appended to the score log and
-  history table. Writes are partitioned by batch id and overwrite that partition, so a
-  replayed batch after a failure replaces its own output (idempotent).
+  history table. Requests that fail validation get the fallback record; an id seen again is
+  scored anew once its score's TTL is over. Writes are partitioned by batch id and overwrite
+  that partition, so a replayed batch after a failure replaces its own output (idempotent).
+  Each batch reads the history of its users, which grows with the log.
 * ST2 ``stream_dedupe``: ``dropDuplicatesWithinWatermark`` on the transaction id.
 * ST3 / ST8: watermarked event-time windows (append mode), ``percentile_approx``.
-* ST4-ST6: ``applyInPandasWithState`` per user with event-time timeouts as TTL.
+* ST4-ST6: ``applyInPandasWithState`` per user with event-time timeouts as TTL; events wait in
+  the state until the watermark has passed them and are folded in time order.
 * ST7: stateless filter.
 
 Late data policy (ours; the reference has none): watermark 10 minutes, later rows dropped.
-Events of one user are expected in time order across micro-batches (as in the batch twin).
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,25 +46,39 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def score_batch(spark: SparkSession, batch: DataFrame, batch_id: int, profiles: DataFrame,
                 history_path: str, scores_path: str) -> None:
     """One micro-batch of ST1 (also usable as a batch job on any slice of the log)."""
+    from riskloom.functions import scoring as SC
     from riskloom.operators.filters import validate_requests
     from riskloom.plans.features import build_features, score_features
 
-    ok, _bad = validate_requests(batch)
-    ok = ok.dropDuplicates(["transaction_id"])
+    ok, bad = validate_requests(batch)
+    first = Window.partitionBy("transaction_id").orderBy("timestamp")
+    ok = ok.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
     has_hist = _exists(spark, history_path)
     if has_hist:
         hist = spark.read.parquet(history_path).where(F.col("batch_id") != batch_id).drop("batch_id")
-        ok = ok.join(hist.select("transaction_id"), "transaction_id", "left_anti")   # J8-style
+        # a score is reused while it lives: the id again within the TTL of its last scoring is not
+        # scored anew, later it is
+        past = hist.select(F.col("transaction_id"), F.col("timestamp").alias("_before"))
+        live = (ok.select("transaction_id", "timestamp").join(past, "transaction_id")
+                .where(F.col("timestamp") <= F.col("_before") + F.expr(f"INTERVAL {S.SCORE_TTL_SECONDS} SECONDS")))
+        ok = ok.join(live.select("transaction_id"), "transaction_id", "left_anti")
         users = ok.select("user_id").distinct()
         context = hist.join(users, "user_id", "left_semi")
     cols = ok.columns
-    work = ok.withColumn("_new", F.lit(True))
+    work = ok
     if has_hist:
-        work = work.unionByName(context.select(*cols).withColumn("_new", F.lit(False)),
+        # an id that is scored anew replaces its old row as history
+        work = work.unionByName(context.select(*cols).join(ok.select("transaction_id"), "transaction_id", "left_anti"),
                                 allowMissingColumns=True)
     feats = build_features(work, profiles)
     new_ids = ok.select("transaction_id")
     scored = score_features(feats.join(new_ids, "transaction_id", "left_semi"))
+    # a request that can't be scored gets the fallback record
+    lat = F.col("latency_ms") if "latency_ms" in bad.columns else F.lit(0.0)
+    at = F.timestamp_micros(F.unix_micros("timestamp") + (lat * 1000).cast("long"))
+    failed = bad.select("transaction_id", "user_id", "timestamp", *SC.score_record(
+        F.lit(None).cast("double"), F.lit(0.8), F.array().cast("array<string>"), F.lit(S.RULE_MODEL_VERSION), at, lat))
+    scored = scored.unionByName(failed, allowMissingColumns=True)
     (scored.withColumn("batch_id", F.lit(batch_id))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("batch_id").parquet(scores_path))
@@ -150,41 +166,60 @@ COUNTER_OUT = T.StructType([
     T.StructField("window_start", T.TimestampType()),
     T.StructField("count_in_window", T.LongType()), T.StructField("allowed", T.BooleanType()),
 ])
-COUNTER_STATE = T.StructType([T.StructField("anchor_us", T.LongType()),
-                              T.StructField("n", T.LongType())])
+#: State of a key: what the fold carries, and events that wait for the watermark (both JSON).
+ORDERED_STATE = T.StructType([T.StructField("carry", T.StringType()), T.StructField("waiting", T.StringType())])
 
 
-def _counter_fn(window_us: int, limit: int | None):
+def _ordered_fn(fold, columns: list[str], ttl_us):
+    """A keyed fold in event-time order. Events wait in the state until the watermark has passed
+    them, so rows that arrive out of order within the watermark are folded in (time, id) order;
+    the number waiting is bounded by a key's events within the watermark delay. ``fold(carry, t,
+    id)`` gives the new carry and an output row; the key expires ``ttl_us(carry)`` microseconds
+    of event time after what it carries."""
     def fn(key, pdfs, state):
         import pandas as pd
-        if state.hasTimedOut:
+        carry, waiting = None, []
+        if state.exists:
+            carry, waiting = json.loads(state.get[0]), json.loads(state.get[1])
+        if not state.hasTimedOut:
+            for p in pdfs:
+                waiting += [[int(t), i] for t, i in zip(p["_t"].to_numpy(), p["transaction_id"].to_numpy())]
+        mark = state.getCurrentWatermarkMs() * 1000
+        waiting.sort(key=lambda w: (w[0], str(w[1])))
+        ready = [w for w in waiting if w[0] <= mark]
+        waiting = waiting[len(ready):]
+        rows = []
+        for t, i in ready:
+            carry, row = fold(carry, t, i)
+            rows.append((key[0], i, *row))
+        ends = [w[0] for w in waiting[:1]] or ([ttl_us(carry)] if carry is not None else [])
+        if ends and (waiting or ends[0] > mark):
+            state.update((json.dumps(carry), json.dumps(waiting)))
+            state.setTimeoutTimestamp(max(ends[0], mark) // 1000 + 1)
+        elif state.exists:
             state.remove()
-            return
-        anchor, n = (state.get if state.exists else (None, 0))
-        frames = [p for p in pdfs]
-        if not frames:
-            return
-        pdf = pd.concat(frames).sort_values(["_t", "transaction_id"], kind="mergesort")
-        out_start, out_n, out_ok = [], [], []
-        for t in pdf["_t"].to_numpy():
-            t = int(t)
-            if anchor is None or t > anchor + window_us:
-                anchor, n = t, 1
-            else:
-                n += 1
-            out_start.append(anchor)
-            out_n.append(min(n, limit) if limit else n)
-            out_ok.append(n <= limit if limit else True)
-        state.update((anchor, min(n, limit) if limit else n))
-        # TTL: the key expires when event time passes the end of its current window.
-        state.setTimeoutTimestamp((anchor + window_us) // 1000 + 1)
-        yield pd.DataFrame({
-            "user_id": key[0], "transaction_id": pdf["transaction_id"].to_numpy(),
-            "window_start": pd.to_datetime(pd.Series(out_start, dtype="int64"), unit="us"),
-            "count_in_window": pd.Series(out_n, dtype="int64"), "allowed": out_ok})
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
     return fn
 
 
+def _counter_fn(window_us: int, limit: int | None):
+    most = None if limit is None else max(int(limit), 1)
+
+    def fold(carry, t, _):
+        anchor, n = carry or (None, 0)
+        anchor, n = (t, 1) if anchor is None or t > anchor + window_us else (anchor, n + 1)
+        ok = most is None or n <= most
+        n = n if most is None else min(n, most + 1)
+        return [anchor, n], (_stamp(anchor), n if ok else most, ok)
+    return _ordered_fn(fold, [f.name for f in COUNTER_OUT.fields], lambda c: c[0] + window_us)
+
+
+def _stamp(us: int):
+    import pandas as pd
+    return pd.Timestamp(us, unit="us")
+
+
 def stream_velocity(stream: DataFrame, window_seconds: int = 3600,
                     limit: int | None = None, watermark: str = WATERMARK) -> DataFrame:
     """ST5 (ST6 with ``limit``): anchored counters per user as events arrive."""
@@ -193,7 +228,7 @@ def stream_velocity(stream: DataFrame, window_seconds: int = 3600,
         .select("user_id", "transaction_id", "timestamp",
                 F.unix_micros("timestamp").alias("_t"))
     return d.groupBy("user_id").applyInPandasWithState(
-        _counter_fn(int(window_seconds) * 1_000_000, limit), COUNTER_OUT, COUNTER_STATE,
+        _counter_fn(int(window_seconds) * 1_000_000, limit), COUNTER_OUT, ORDERED_STATE,
         "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -209,37 +244,15 @@ RECENT_OUT = T.StructType([
     T.StructField("history_size", T.LongType()), T.StructField("oldest_id", T.StringType()),
     T.StructField("newest_id", T.StringType()),
 ])
-RECENT_STATE = T.StructType([T.StructField("items", T.StringType()),
-                             T.StructField("last_us", T.LongType())])
 
 
 def _recent_fn(size: int, ttl_us: int):
-    def fn(key, pdfs, state):
-        import pandas as pd
-        if state.hasTimedOut:
-            state.remove()
-            return
-        items, last = ([], None)
-        if state.exists:
-            items = json.loads(state.get[0])
-            last = state.get[1]
-        frames = [p for p in pdfs]
-        if not frames:
-            return
-        pdf = pd.concat(frames).sort_values(["_t", "transaction_id"], kind="mergesort")
-        rows = []
-        for tid, t in zip(pdf["transaction_id"].to_numpy(), pdf["_t"].to_numpy()):
-            t = int(t)
-            if last is not None and t > last + ttl_us:   # the cached list expired
-                items = []
-            rows.append((key[0], tid, len(items), items[0] if items else None,
-                         items[-1] if items else None))
-            items = (items + [tid])[-size:]
-            last = t
-        state.update((json.dumps(items), last))
-        state.setTimeoutTimestamp((last + ttl_us) // 1000 + 1)
-        yield pd.DataFrame(rows, columns=[f.name for f in RECENT_OUT.fields])
-    return fn
+    def fold(carry, t, i):
+        items, last = carry or ([], None)
+        if last is not None and t > last + ttl_us:   # the cached list expired
+            items = []
+        return [(items + [i])[-size:], t], (len(items), items[0] if items else None, items[-1] if items else None)
+    return _ordered_fn(fold, [f.name for f in RECENT_OUT.fields], lambda c: c[1] + ttl_us)
 
 
 def stream_recent(stream: DataFrame, size: int = S.RECENT_HISTORY_SIZE,
@@ -251,7 +264,7 @@ def stream_recent(stream: DataFrame, size: int = S.RECENT_HISTORY_SIZE,
     d = stream.withWatermark("timestamp", watermark) \
         .select("user_id", "transaction_id", "timestamp", F.unix_micros("timestamp").alias("_t"))
     return d.groupBy("user_id").applyInPandasWithState(
-        _recent_fn(size, int(ttl_seconds) * 1_000_000), RECENT_OUT, RECENT_STATE, "append",
+        _recent_fn(size, int(ttl_seconds) * 1_000_000), RECENT_OUT, ORDERED_STATE, "append",
         GroupStateTimeout.EventTimeTimeout)
 
 
@@ -269,10 +282,20 @@ def write_time_chunks(df: DataFrame, path: str, ts: str, n_chunks: int = 4) -> N
     step = (hi - lo) // n_chunks + 1
     for i in range(n_chunks):
         a, z = lo + i * step, lo + (i + 1) * step
-        part = df.where((F.unix_micros(ts) >= a) & (F.unix_micros(ts) < z))
+        inside = (F.unix_micros(ts) >= a) & (F.unix_micros(ts) < z)
+        part = df.where(inside | F.col(ts).isNull() if i == 0 else inside)
         part.coalesce(1).write.mode("append").parquet(path)
 
 
+def write_closing_row(df: DataFrame, path: str, ts: str) -> None:
+    """One row two days after the last, so that the watermark passes all of ``df``. Stateful folds
+    hold the row itself back."""
+    last = df.agg(F.max(ts)).first()[0]
+    if last is not None:
+        (df.where(F.col(ts).isNotNull()).limit(1).withColumn(ts, F.lit(last) + F.expr("INTERVAL 2 DAYS"))
+         .withColumn("transaction_id", F.lit("SENTINEL")).select(*df.columns).coalesce(1).write.mode("append").parquet(path))
+
+
 def run_to_table(spark: SparkSession, stream: DataFrame, out: str, checkpoint: str,
                  mode: str = "append") -> DataFrame:
     """Run a streaming frame to completion (availableNow) into a Parquet file sink and read

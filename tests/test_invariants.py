@@ -25,6 +25,19 @@ def test_point_in_time_later_rows_change_nothing(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def test_later_rows_change_no_score_with_profiles(spark):
+    """Profiles as of a cut date score later rows; rows after any of them change nothing."""
+    from riskloom.operators.aggregates import build_profiles
+    log = _log(spark)
+    us = log.agg(F.percentile_approx(F.unix_micros("timestamp"), F.array(F.lit(0.4), F.lit(0.7)))).first()[0]
+    cut = F.timestamp_micros(F.lit(us[0]))
+    early = log.where(F.unix_micros("timestamp") <= us[1])
+    a = build_features(early, build_profiles(early, None, cut))
+    b = build_features(log, build_profiles(log, None, cut)).join(early.select("transaction_id"), "transaction_id", "left_semi")
+    assert a.where("has_profile").count() > 0 and a.where("not has_profile").count() > 0
+    assert a.exceptAll(b.select(*a.columns)).count() == 0
+
+
 def test_counts_monotone_and_w8_consistent(spark):
     v = W.velocity_features(_log(spark))
     assert v.where((F.col("txn_count_1h") > F.col("txn_count_6h"))
@@ -44,9 +57,8 @@ def test_interval_join_counts_equal_window_counts(spark):
 
 def test_hot_plan_equals_plain_plan(spark):
     log = _log(spark)
-    prof = TD.without_profile_gap(
-        __import__("riskloom.operators.aggregates", fromlist=["x"]).build_profiles(
-            log, TD.mapped_users(spark, SF_SMALL)))
+    from riskloom.plans import catalog
+    prof = catalog.Ctx(spark, SF_SMALL).profiles
     a = build_features(log, prof)
     b = build_features(log, prof, hot_threshold=None)
     assert a.count() == b.count() == log.count()
@@ -71,7 +83,7 @@ def test_insert_if_absent_idempotent(spark):
     from riskloom.operators.aggregates import build_profiles
     log = _log(spark)
     allp = build_profiles(log, TD.mapped_users(spark, SF_SMALL))
-    some = TD.without_profile_gap(allp)
+    some = allp.where(F.col("user_id") < F.lit("U000008"))
     once = J.insert_if_absent(some, allp)
     twice = J.insert_if_absent(once, allp)
     assert once.count() == twice.count() == allp.count()

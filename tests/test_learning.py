@@ -43,10 +43,11 @@ def test_fit_calibrate_predict_cv_and_pipeline(spark, tmp_path):
     assert p.where((F.col("fraud_probability") < 0) | (F.col("fraud_probability") > 1)).count() == 0
     cv = L.cross_validate(data, 3, "label", maxIter=3, maxDepth=3)
     assert cv["folds"] == 3 and 0.0 <= cv["roc_auc_mean"] <= 1.0
-    meta = L.train_pipeline(c.features, str(tmp_path / "model"), maxIter=3, maxDepth=3)
+    meta = L.train_pipeline(c.features, str(tmp_path / "model"), cv_folds=0, maxIter=3, maxDepth=3)
     assert set(meta["metrics"]) >= {"roc_auc", "pr_auc", "tn", "fp", "fn", "tp"}
     from riskloom.sources.sinks import load_model
-    loaded, saved = load_model(str(tmp_path / "model"), spark)
+    loaded, saved, cal2, scaler = load_model(str(tmp_path / "model"), spark)
+    assert scaler == meta["scaler"] and cal2 is not None
     assert saved["feature_names"] == S.FEATURE_NAMES
     assert len(meta["top_features"]) == 15
 

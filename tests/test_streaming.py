@@ -16,8 +16,10 @@ def _dirs(spark, name):
     return {k: f"{base}/{k}" for k in ("src", "out", "ckpt", "hist")}
 
 
-def _stream(spark, df, d, ts="timestamp"):
+def _stream(spark, df, d, ts="timestamp", close=False):
     ST.write_time_chunks(df, d["src"], ts, 3)
+    if close:
+        ST.write_closing_row(df, d["src"], ts)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(d["src"])
 
 
@@ -29,15 +31,50 @@ def _same(a, b):
 def test_stream_counters_equal_batch(spark):
     log = catalog.Ctx(spark, SF_SMALL).log
     d = _dirs(spark, "vel")
-    s = ST.run_to_table(spark, ST.stream_velocity(_stream(spark, log, d), 3600), d["out"], d["ckpt"])
+    s = ST.run_to_table(spark, ST.stream_velocity(_stream(spark, log, d, close=True), 3600), d["out"], d["ckpt"])
     b = W.anchored_counter(log, 3600)
     assert _same(s.select("user_id", "transaction_id", "window_start", "count_in_window"), b)
     d = _dirs(spark, "rl")
-    s = ST.run_to_table(spark, ST.stream_rate_limit(_stream(spark, log, d), 2, 86400),
+    s = ST.run_to_table(spark, ST.stream_rate_limit(_stream(spark, log, d, close=True), 2, 86400),
                         d["out"], d["ckpt"])
     assert _same(s, W.rate_limit(log, 2, 86400).select(*s.columns))
 
 
+def test_counters_on_rows_out_of_order(spark):
+    """Rows shuffled within the watermark give what the batch gives."""
+    from conftest import T0, txn_rows
+    s = dt.timedelta(seconds=1)
+    at = [300, 0, 390, 120, 600, 480, 900, 770, 1300, 1290]
+    rows = [dict(transaction_id=f"E{i}", user_id="U1", timestamp=T0 + x * s) for i, x in enumerate(at)]
+    log = txn_rows(spark, rows)
+    for limit in (None, 0, 1, 2):
+        d = _dirs(spark, "ooo")
+        for r in rows:  # one micro-batch each
+            txn_rows(spark, [r]).coalesce(1).write.mode("append").parquet(d["src"])
+        ST.write_closing_row(log, d["src"], "timestamp")
+        stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(d["src"])
+        out = ST.run_to_table(spark, ST.stream_velocity(stream, 120, limit), d["out"], d["ckpt"])
+        batch = W.anchored_counter(log, 120, limit)
+        assert _same(batch, out) and batch.count() == len(rows), limit
+
+
+def test_stream_rejects_and_ttl(spark):
+    from conftest import T0, profile_rows, txn_rows
+    d = _dirs(spark, "ttl")
+    day = dt.timedelta(days=1)
+    rows = [dict(transaction_id="A", user_id="U1", timestamp=T0),
+            dict(transaction_id="A", user_id="U1", timestamp=T0 + dt.timedelta(seconds=300)),  # still live
+            dict(transaction_id="B", user_id=None, timestamp=T0 + day),                        # rejected
+            dict(transaction_id="A", user_id="U1", timestamp=T0 + 2 * day)]                    # TTL over
+    for r in rows:
+        txn_rows(spark, [r]).coalesce(1).write.mode("append").parquet(d["src"])
+    stream = spark.readStream.schema(txn_rows(spark, rows).schema).option("maxFilesPerTrigger", 1).parquet(d["src"])
+    ST.stream_score(spark, stream, profile_rows(spark, []), d["hist"], d["out"], d["ckpt"]).awaitTermination()
+    got = sorted((r.transaction_id, r.timestamp, r.risk_level, r.decision) for r in spark.read.parquet(d["out"]).collect())
+    assert [(g[0], g[1]) for g in got] == [("A", T0), ("A", T0 + 2 * day), ("B", T0 + day)]
+    assert got[2][2:] == ("UNKNOWN", "REVIEW")
+
+
 def test_stream_dedupe_and_late_rows(spark):
     log = catalog.Ctx(spark, SF_SMALL).log
     rep = log.limit(100).withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 1 MINUTE"))
@@ -71,7 +108,7 @@ def test_stream_score_equals_batch(spark):
 def test_stream_recent_matches_brute_force(spark):
     log = catalog.Ctx(spark, SF_SMALL).log
     d = _dirs(spark, "recent")
-    s = ST.run_to_table(spark, ST.stream_recent(_stream(spark, log, d)), d["out"], d["ckpt"])
+    s = ST.run_to_table(spark, ST.stream_recent(_stream(spark, log, d, close=True)), d["out"], d["ckpt"])
     got = {r.transaction_id: (r.history_size, r.oldest_id, r.newest_id) for r in s.collect()}
     rows = sorted(log.select("user_id", "transaction_id", "timestamp").collect(),
                   key=lambda r: (r.user_id, r.timestamp, r.transaction_id))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from riskloom.session import checkpoint_dir, ship_package
 
@@ -114,17 +114,55 @@ def words_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return words, counts
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept while the table is small."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxh64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > MEMO_ENTRIES:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+#: ASCII white space, the only separators of words.
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: A random value for each byte, powers of an odd base and of its inverse modulo 2^64.
+BASE, BLOCK = 0x9E3779B97F4A7C13, 1 << 20
+BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        p = np.full(BLOCK + 1, base, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p, out=p))
+    return out[0], out[1]
+
+
+def hashed_words(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of every word: a polynomial in its bytes, out of running sums."""
+    buf = np.frombuffer(joined, np.uint8)
+    space = SPACE[buf]
+    start = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    end = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
+    power, inverse = _powers()
+    h = np.zeros(len(start), np.uint64)
+    for a in range(0, len(buf), BLOCK):
+        b = min(a + BLOCK, len(buf))
+        i, j = np.searchsorted(start, [a, b])
+        if i == j:
+            continue
+        run = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(BYTES[buf[a:b]] * power[:b - a], out=run[1:])
+        at = start[i:j] - a
+        h[i:j] = (run[np.minimum(end[i:j], b) - a] - run[at]) * inverse[at]
+        if end[j - 1] > b:  # runs on behind the block
+            own, total = buf[start[j - 1]:end[j - 1]], 0
+            for k in range(0, len(own), BLOCK):
+                part = own[k:k + BLOCK]
+                total += int((BYTES[part] * power[:len(part)]).sum()) * pow(BASE, k, 1 << 64)
+            h[j - 1] = total % (1 << 64)
+    return start, end, mix(h + (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def text_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and how many each text has."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    start, _, h = hashed_words(b"\n".join(texts))
+    return h, np.diff(np.searchsorted(start, np.concatenate([[0], np.cumsum(size)])))
 
 
 class Memo(dict):
@@ -196,17 +234,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_sets(hashes: np.ndarray, counts: np.ndarray, k: int) -> list[np.ndarray]:
-    """Sorted distinct hashes of the ``k``-word shingles of each text. A shorter text has its
-    whole sequence as one shingle, a text without words has none."""
+FIRST = np.ones(1, bool)
+
+
+def rolled_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every ``k`` hashes in a row."""
     n = len(hashes)
     rolled = np.zeros(max(n - k + 1, 0), np.uint64)
-    for j in range(k):
+    for j in range(k if n >= k else 0):
         rolled = mix(rolled + hashes[j:n - k + 1 + j] + np.uint64(k))
+    return rolled
+
+
+def shingle_sets(hashes: np.ndarray, counts: np.ndarray, k: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of the ``k``-word shingles of each text. A shorter text has its
+    whole sequence as one shingle, a text without words has none."""
+    rolled = rolled_hashes(hashes, k)
     out, at = [], 0
     for c in counts.tolist():
         if c >= k:
-            out.append(np.unique(rolled[at:at + c - k + 1]))
+            own = np.sort(rolled[at:at + c - k + 1])
+            out.append(own[np.concatenate([FIRST, own[1:] != own[:-1]])])
         elif c:
             h = np.zeros(1, np.uint64)
             for j in range(c):

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Memo, WordHashes, byte_texts, map_slices, mix, words_of
+from .common import Memo, byte_texts, map_slices, mix, text_hashes, words_of
 
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = b"#*$%&|<>"
@@ -147,12 +147,12 @@ def measure(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
               "chars_per_token double, byte_share double, entropy double, kept boolean")
 
     def make():
-        pieces, hashes = Pieces(vocabulary), WordHashes()
+        pieces = Pieces(vocabulary)
 
         def f(batch: pa.RecordBatch) -> dict:
             texts = byte_texts(batch, text_col)
             words, counts = words_of(texts)
-            repeated = repeated_words(hashes.of(words), counts)
+            repeated = repeated_words(text_hashes(texts)[0], counts)
             tokens, in_bytes, entropy = pieces.measures(words, counts)
             chars = np.array([len(t.translate(None, SPACE).decode()) for t in texts], np.int64)
             scripts = [script(t.decode()) for t in texts]

@@ -2,14 +2,15 @@
 
 A document's set holds its distinct ``words``-word shingles (ASCII letters lower-cased). Documents
 of equal sets are one class. Shingles have one global order, rare ones first (by counts in a
-bounded table of hash buckets, then by hash), so two sets of the wanted similarity share a shingle
-in their prefixes. Classes of equal prefix and size are one group; only groups are posted under
-their prefix shingles.
+bounded table of hash buckets, then by hash). Two sets of the wanted similarity share a shingle in
+their prefixes, and as many more as the prefixes are made longer. Classes of equal prefix and size
+are one group; only groups are posted under their prefix shingles, and a group that shares fewer
+shingles than any partner needs is done with.
 
 Candidates are verified on the texts in rounds that link nothing twice. Every group is compared
-with one other group of a shingle's list; then, as long as it helps, one pair is verified for every
-two components that still share a shingle; at last all pairs of different components that share a
-shingle and pass the size and position filters are expanded to classes and verified. Pairs inside
+with one other group of a shingle's list; then one pair is verified for every two components that still
+share lists; at last all pairs of different components that pass the size and count filters are
+expanded to classes and verified. Pairs inside
 one component need no check, as only their component is asked for, so groups of many near copies
 cost about their number of rows. No list, bucket or group is capped.
 
@@ -24,35 +25,40 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import (WordHashes, byte_texts, components, list_array, map_batches, map_slices,
-                     shingle_sets, slices, stored, words_of)
+from .common import (byte_texts, components, filter_bits, list_array, map_batches, map_slices, may_hold_udf,
+                     rolled_hashes, shingle_sets, slices, stored, text_hashes)
 
 #: Buckets of the table of shingle counts that orders shingles.
 BUCKET_BITS = 17
-#: Bits of the filter on documents whose texts may be wanted; it only saves shuffling.
-FILTER_BITS = 24
+#: One shingle in so many is added to the prefix.
+EXTRA = 16
 #: Most rounds of one pair for two components, before all pairs left are verified.
-ROUNDS = 3
+ROUNDS = 2
 
 
-def _sets(texts: list[bytes], words: int, hashes: WordHashes) -> list[np.ndarray]:
-    own, counts = words_of([t.lower() for t in texts])
-    return shingle_sets(hashes.of(own), counts, words)
+def _extra(n):
+    """Shingles that a prefix is longer than needed for one shared shingle: two sets of the wanted
+    similarity then share one more than the smaller of their extras. For integers and columns."""
+    return n // EXTRA if isinstance(n, int) else F.floor(n / EXTRA)
+
+
+def _sets(texts: list[bytes], words: int) -> list[np.ndarray]:
+    return shingle_sets(*text_hashes([t.lower() for t in texts]), words)
 
 
 def _shingle_counts(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
-    """Shingles counted over all documents in 2^BUCKET_BITS buckets by their hash."""
+    """Runs of ``words`` words of all documents counted in 2^BUCKET_BITS buckets by their hash."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, total = WordHashes(), np.zeros(1 << BUCKET_BITS, np.int64)
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
             for part in slices(batch, text_col):
-                for s in _sets(byte_texts(part, text_col), words, hashes):
-                    np.add.at(total, _bucket(s), 1)
+                h, _ = text_hashes([t.lower() for t in byte_texts(part, text_col)])
+                total += np.bincount(_bucket(rolled_hashes(h, words)), minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["bucket", "n"])
 
@@ -68,18 +74,18 @@ def _bucket(s: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """(id, digest of the set, its size n, group, prefix)."""
+    """(id, th: hash of the text, digest of the set, its size n, group, prefix)."""
     shared = docs.sparkSession.sparkContext.broadcast(_shingle_counts(docs, text_col, words))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
-        hashes, counts = WordHashes(), shared.value
+        counts = shared.value
 
         def f(batch: pa.RecordBatch) -> dict:
             digest, n, group, group2, prefix = [], [], [], [], []
-            for s in _sets(byte_texts(batch, text_col), words, hashes):
+            for s in _sets(byte_texts(batch), words):
                 size = len(s)
-                keep = size - (percent * size + 99) // 100 + 1 if size else 0
+                keep = size - (percent * size + 99) // 100 + 1 + _extra(size) if size else 0
                 first = s[np.argsort(counts[_bucket(s)], kind="stable")[:keep]].view(np.int64)
                 key = xxh3_128_digest(first.tobytes() + size.to_bytes(8, "little"))
                 digest.append(xxh3_128_digest(s.tobytes()))
@@ -87,41 +93,54 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, words: int, percent
                 group.append(int.from_bytes(key[:8], "little", signed=True))
                 group2.append(int.from_bytes(key[8:], "little", signed=True))
                 prefix.append(first)
-            counts_ = np.array([len(p) for p in prefix])
-            return {"id": batch.column(id_col), "digest": digest, "n": n, "g": group, "g2": group2,
-                    "prefix": list_array(np.concatenate(prefix), counts_, pa.int64())}
+            lengths = np.array([len(p) for p in prefix])
+            return {"id": batch.column("id"), "th": batch.column("th"), "digest": digest, "n": n, "g": group,
+                    "g2": group2, "prefix": list_array(np.concatenate(prefix), lengths, pa.int64())}
         return f
 
-    return map_slices(docs.select(id_col, text_col), make,
-                      f"id {kind}, digest binary, n bigint, g bigint, g2 bigint, prefix array<bigint>", text_col)
-
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
+    return map_slices(rows, make, f"id {kind}, th bigint, digest binary, n bigint, g bigint, g2 bigint, prefix array<bigint>")
 
-def _position(digest):
-    """Bit of a digest in the filter."""
-    return F.expr(f"cast(conv(hex(substring(`{digest}`, 1, 4)), 16, 10) as bigint) % {1 << FILTER_BITS}")
 
+def _without_singles(posted: DataFrame) -> DataFrame:
+    """(token, g) rows whose token stands in another row too (and the first and last token of a
+    partition). Rows are range-sorted, so a frequent token spreads over partitions."""
 
-def _texts_of(docs: DataFrame, wanted: DataFrame, text_col: str, words: int) -> DataFrame:
-    """(digest, text) with one text for every class in ``wanted`` (and for some others)."""
-    bits = wanted.select(_position("digest").alias("p")).groupBy(F.expr("p div 64").alias("at")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits")).toArrow()
-    table = np.zeros(1 << FILTER_BITS >> 6, np.int64)
-    table[bits["at"].to_numpy()] = bits["bits"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    def make():
-        hashes, held = WordHashes(), shared.value
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # last row so far, and whether it is wanted already
 
-        def f(batch: pa.RecordBatch) -> dict:
-            texts = byte_texts(batch, text_col)
-            digest = [xxh3_128_digest(s.tobytes()) for s in _sets(texts, words, hashes)]
-            p = np.array([int.from_bytes(d[:4], "big") for d in digest], np.int64) % (1 << FILTER_BITS)
-            keep = np.flatnonzero(held[p >> 6] >> (p & 63) & 1).tolist()
-            return {"digest": [digest[i] for i in keep], "text": [texts[i] for i in keep]}
-        return f
+        def out(token, g):
+            return pa.RecordBatch.from_arrays([pa.array(token), pa.array(g)], names=["token", "g"])
 
-    return map_slices(docs.select(text_col), make, "digest binary, text binary", text_col).groupBy("digest").agg(
-        F.first("text").alias("text"))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token, g = (batch.column(c).to_numpy() for c in ("token", "g"))
+            if held:
+                token, g = np.concatenate([held[0], token]), np.concatenate([held[1], g])
+            same = token[1:] == token[:-1]
+            keep = np.concatenate([[True], same]) | np.concatenate([same, [True]])
+            keep[0] = held is None or held[2] or (len(same) > 0 and bool(same[0]))
+            last_wanted = len(same) > 0 and bool(same[-1])
+            if keep[:-1].any():
+                yield out(token[:-1][keep[:-1]], g[:-1][keep[:-1]])
+            held = (token[-1:], g[-1:], last_wanted)
+        if held:
+            yield out(held[0], held[1])
+
+    return map_batches(posted.repartitionByRange("token", "g").sortWithinPartitions("token", "g"), run,
+                       "token bigint, g bigint")
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(digest, text) of the classes in ``wanted`` (digest, row: id and text hash of one document).
+    A bitmap keeps most other documents out of the join."""
+    rows = wanted.select("digest", F.col("row.id").alias("_id"), F.col("row.th").alias("_th"))
+    test = may_hold_udf(docs.sparkSession, filter_bits(rows.select(F.xxhash64("_id", "_th").alias("h")), "h"))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th")) \
+        .where(test(F.xxhash64("id", "th")))
+    return (own.join(rows, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+            .groupBy("digest").agg(F.first("text").cast("binary").alias("text")))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -129,11 +148,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     left, right = (texts.select(F.col("digest").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
 
     def make():
-        hashes = WordHashes()
-
         def f(batch: pa.RecordBatch) -> dict:
-            ones = _sets(byte_texts(batch, "ta"), words, hashes)
-            twos = _sets(byte_texts(batch, "tb"), words, hashes)
+            ones, twos = (_sets(byte_texts(batch, c), words) for c in ("ta", "tb"))
             keep = np.zeros(len(ones), bool)
             for i, (x, y) in enumerate(zip(ones, twos)):
                 if len(x) > len(y):
@@ -157,65 +173,74 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     is reachable over links of 100 * shared >= ``percent`` * union shingles."""
     sigs = stored(_signatures(docs, id_col, text_col, words, percent), "signatures")
     some = sigs.where("n > 0")
-    classes = stored(some.groupBy("digest").agg(F.min("id").alias("least"), F.first("n").alias("n"),
+    row = F.struct(F.col("id").isNull().alias("missing"), F.col("id").alias("id"), F.col("th").alias("th"))
+    classes = stored(some.groupBy("digest").agg(F.min("id").alias("least"), F.min(row).alias("row"), F.first("n").alias("n"),
                                                 F.first("g").alias("g")), "classes")
-    groups = some.groupBy("g", "g2").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    posted = groups.select(F.posexplode("prefix").alias("at", "token"), "g", "n")
-    lists = posted.groupBy("token").agg(
-        F.count("*").alias("df"), F.min(F.struct(F.xxhash64("token", "g").alias("h"), "g", "n")).alias("lead")).where("df > 1")
-    shared = stored(posted.join(lists, "token").select("token", "at", "g", "n", F.col("lead.g").alias("lead"),
-                                                       F.col("lead.n").alias("lead_n")), "postings")
-
-    several = classes.groupBy("g").agg(F.min("digest").alias("rep"), F.count("*").alias("members"))
-    known = stored(several.join(shared.select("g").distinct().withColumn("posted", F.lit(True)), "g", "left")
+
+    # lists of groups by shingle; a group stays if it shares as many shingles as a partner needs
+    posted = some.groupBy("g", "g2").agg(F.first("prefix").alias("prefix")).select(F.explode("prefix").alias("token"), "g")
+    lists = stored(_without_singles(posted), "postings")
+    sizes = classes.groupBy("g").agg(F.min("n").alias("n"), F.min("digest").alias("rep"), F.count("*").alias("members"))
+    least = 1 + _extra(F.floor((F.col("n") * percent + 99) / 100))
+    shared = stored(lists.withColumn("c", F.count("*").over(Window.partitionBy("g"))).join(sizes, "g").where(F.col("c") >= least)
+                    .select("token", "g", "n"), "postings")
+    known = stored(sizes.join(shared.select("g").distinct().withColumn("posted", F.lit(True)), "g", "left")
                    .where("posted or members > 1"), "groups")
-    wanted = classes.join(known.select("g"), "g", "left_semi")
-    texts = stored(_texts_of(docs, wanted, text_col, words), "texts")
+    member = stored(classes.join(known.select("g"), "g", "left_semi").select("digest", "g", "n", "row"), "members")
+    texts = stored(_texts_of(docs, member, id_col, text_col), "texts")
+    member = member.drop("row")
 
     def fits(n, m):
         return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
+    def enough(n, m, c):
+        return F.col(c) >= 1 + _extra(F.least(n, m))
+
     # each group with the leader of a list that it shares most shingles with, each member with its group
-    star = (shared.where("g <> lead").where(fits(F.col("n"), F.col("lead_n"))).groupBy("g", "lead").agg(F.count("*").alias("c"))
-            .groupBy("g").agg(F.max_by("lead", F.struct("c", "lead")).alias("lead")))
+    lead = shared.groupBy("token").agg(F.min(F.struct(F.xxhash64("g").alias("h"), "g", "n")).alias("l"))
+    star = (shared.join(lead, "token").where("g <> l.g").where(fits(F.col("n"), F.col("l.n")))
+            .groupBy("g", "n", F.col("l.g").alias("lg"), F.col("l.n").alias("ln")).agg(F.count("*").alias("c"))
+            .where(enough(F.col("n"), F.col("ln"), "c"))
+            .groupBy("g").agg(F.max_by("lg", F.struct("c", "lg")).alias("lg")))
     rep = known.select("g", "rep")
     pairs = (star.join(rep.withColumnRenamed("rep", "a"), "g")
-             .join(rep.select(F.col("g").alias("lead"), F.col("rep").alias("b")), "lead").select("a", "b"))
-    own = wanted.join(known.where("members > 1").select("g", "rep"), "g").where("digest <> rep").select(
+             .join(rep.select(F.col("g").alias("lg"), F.col("rep").alias("b")), "lg").select("a", "b"))
+    own = member.join(known.where("members > 1").select("g", "rep"), "g").where("digest <> rep").select(
         F.col("digest").alias("a"), F.col("rep").alias("b"))
     edges = stored(_verified(pairs.union(own), texts, words, percent), "edges")
 
-    member = stored(wanted.select("digest", "g", "n"), "members")
     for turn in range(ROUNDS + 1):
         roots = stored(components(edges), "roots")
-        of = member.join(roots, member["digest"] == roots["node"], "left").select(
-            "digest", "g", "n", F.coalesce("root", "digest").alias("root"))
-        entries = shared.select("token", "at", "g").join(of, "g").unionByName(
-            # members of a group share its whole prefix; its number stands for it
-            of.join(known.where("members > 1").select("g"), "g", "left_semi").withColumns(
-                {"token": F.col("g"), "at": F.lit(0)}).select("token", "at", "g", "digest", "n", "root"))
-        mixed = entries.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        open_ = stored(entries.join(mixed.select("token"), "token"), "open")
-        if not open_.limit(1).count():
+        of = stored(member.join(roots, member["digest"] == roots["node"], "left").select(
+            "digest", "g", "n", F.coalesce("root", "digest").alias("root")), "members")
+        # a group's number stands for the prefix that its members share
+        several = of.join(known.where("members > 1").select("g"), "g", "left_semi").select(
+            F.col("g").alias("token"), "g", "n", "digest", "root", F.lit(True).alias("whole"))
+        entries = shared.select("token", "g").join(of, "g").select(
+            "token", "g", "n", "digest", "root", F.lit(False).alias("whole")).union(several)
+        mixed = entries.groupBy("token", "whole").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        left = stored(entries.join(mixed.select("token", "whole"), ["token", "whole"]), "left")
+        if not left.limit(1).count():
             break
         if turn < ROUNDS:
-            # one class of each component in each list, with that of the component of lowest hash
+            # for two components that share lists, one pair of classes
             seed = F.lit(turn)
-            picked = open_.groupBy("token", "root").agg(
-                F.min_by(F.struct("digest", "n"), F.xxhash64("token", "digest", seed)).alias("c"))
-            lead = picked.groupBy("token").agg(
-                F.min(F.struct(F.xxhash64("root", seed).alias("h"), F.col("root").alias("lroot"), F.col("c").alias("l"))).alias("l"))
-            tried = (picked.join(lead, "token").where("root <> l.lroot")
-                     .where(fits(F.col("c.n"), F.col("l.l.n")))
-                     .groupBy("root", F.col("l.lroot").alias("lroot"))
-                     .agg(F.min_by(F.struct(F.col("c.digest").alias("a"), F.col("l.l.digest").alias("b")),
-                                   F.xxhash64("token", seed)).alias("p")).select("p.a", "p.b"))
+            picked = left.groupBy("token", "whole", "root").agg(
+                F.min_by(F.struct("digest", "n"), F.xxhash64("digest", seed)).alias("c"))
+            first = picked.groupBy("token", "whole").agg(
+                F.min(F.struct(F.xxhash64("root", seed).alias("h"), F.col("root").alias("root"), F.col("c").alias("c"))).alias("l"))
+            tried = (picked.join(first, ["token", "whole"]).where("root <> l.root").where(fits(F.col("c.n"), F.col("l.c.n")))
+                     .groupBy("root", F.col("l.root").alias("other"))
+                     .agg(F.min_by(F.struct(F.col("c.digest").alias("a"), F.col("l.c.digest").alias("b"),
+                                            F.least("c.n", "l.c.n").alias("n")), F.xxhash64("token", seed)).alias("p"),
+                          F.count("*").alias("c"), F.max("whole").alias("whole"))
+                     .where((F.col("c") >= 1 + _extra(F.col("p.n"))) | F.col("whole")).select("p.a", "p.b"))
         else:
-            x, y = (open_.select("token", *[F.col(c).alias(c + k) for c in ("at", "n", "digest", "root")]) for k in "xy")
-            need = F.ceil(percent * (F.col("nx") + F.col("ny")) / (100 + percent))
-            left = 1 + F.least(F.col("nx") - F.col("atx") - 1, F.col("ny") - F.col("aty") - 1)
-            tried = (x.join(y, "token").where("rootx < rooty").where(fits(F.col("nx"), F.col("ny"))).where(left >= need)
-                     .select(F.col("digestx").alias("a"), F.col("digesty").alias("b")).distinct())
+            x, y = (left.select("token", "whole", *[F.col(c).alias(c + k) for c in ("n", "digest", "root")]) for k in "xy")
+            tried = (x.join(y, ["token", "whole"]).where("rootx < rooty").where(fits(F.col("nx"), F.col("ny")))
+                     .groupBy(F.col("digestx").alias("a"), F.col("digesty").alias("b"), "nx", "ny")
+                     .agg(F.count("*").alias("c"), F.max("whole").alias("whole"))
+                     .where(enough(F.col("nx"), F.col("ny"), "c") | F.col("whole")).select("a", "b"))
         edges = edges.union(stored(_verified(tried, texts, words, percent), "edges"))
     else:
         roots = stored(components(edges), "roots")

@@ -23,7 +23,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, byte_texts, map_slices, stored, words_of
+from .common import byte_texts, hashed_words, map_slices, stored
 from .fertility import repeated_lines, repeated_words
 
 #: Byte classes that are counted, each as a share of the text's bytes.
@@ -50,22 +50,21 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
-        hashes = WordHashes()
-
         def f(batch: pa.RecordBatch) -> dict:
             texts = byte_texts(batch, text_col)
             n = len(texts)
             size = np.fromiter(map(len, texts), np.int64, n)
             key = np.repeat(np.arange(n) * len(CLASSES), size) + TABLE[np.frombuffer(b"".join(texts), np.uint8)]
             shares = np.bincount(key, minlength=n * len(CLASSES)).reshape(n, -1) / np.maximum(size, 1)[:, None]
-            words, counts = words_of(texts)
-            h = hashes.of(words)
+            start, end, h = hashed_words(b"\n".join(texts))
+            cuts = np.searchsorted(start, np.concatenate([[0], np.cumsum(size + 1)]))
+            counts = np.diff(cuts)
             some = np.maximum(counts, 1)
-            ends = np.cumsum(counts)
-            kinds = [len(set(h[b - c:b].tolist())) for b, c in zip(ends.tolist(), counts.tolist())]
+            kinds = [len(np.unique(h[a:b])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            sums = np.concatenate([[0], np.cumsum(end - start)])
+            letters = sums[cuts[1:]] - sums[cuts[:-1]]
             lines = np.array([t.count(b"\n") + 1 for t in texts])
             out = {id_col: batch.column(id_col)} | {f"share_{c}": shares[:, i] for i, c in enumerate(CLASSES)}
-            letters = np.array([sum(map(len, words[b - c:b])) for b, c in zip(ends.tolist(), counts.tolist())])
             return out | {"log_words": np.log1p(counts), "word_bytes": letters / some,
                           "distinct_words": np.array(kinds) / some,
                           "repeated_words": repeated_words(h, counts) / some, "words_a_line": counts / lines,

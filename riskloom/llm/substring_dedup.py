@@ -19,13 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (WordHashes, byte_texts, filter_bits, map_slices, may_hold, may_hold_udf, mix, stored)
+from .common import byte_texts, filter_bits, hashed_words, map_slices, may_hold, may_hold_udf, mix, stored
 
 RUN, LEAST_WORDS, LONGEST = 3, 12, 16
 #: Inside a long sentence, one word in so many ends a piece.
 PIECE = 6
-SPACE = np.zeros(256, bool)
-SPACE[[0x20, *range(9, 14)]] = True
 STOP = np.zeros(256, bool)
 STOP[[ord(c) for c in ".!?"]] = True
 SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -34,14 +32,12 @@ SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 class Sentences:
     """Sentences of some texts: first byte of each, text of each, and runs of them."""
 
-    def __init__(self, texts: list[bytes], hashes: WordHashes, run: int, least_words: int):
-        joined = b"\n".join(texts) + b"\n"
+    def __init__(self, texts: list[bytes], run: int, least_words: int):
+        joined = b"\n".join(texts).lower()
         buf = np.frombuffer(joined, np.uint8)
         size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.base = np.cumsum(size) - size
-        space = SPACE[buf]
-        start = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-        end = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
+        start, end, word = hashed_words(joined)
         n = len(start)
         self.of = np.zeros(0, np.int64)
         self.first = self.start = np.zeros(0, np.int64)
@@ -49,7 +45,6 @@ class Sentences:
         self.runs = np.zeros(0, np.int64)
         if not n:
             return
-        word = hashes.of(joined.lower().split())
         doc = np.searchsorted(self.base, start, side="right") - 1
         lines = np.cumsum(buf == 10)
         last = STOP[buf[end - 1]]
@@ -101,10 +96,8 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, run: int, least: int, bi
         cols.append(F.xxhash64(text_col).alias("th"))
 
     def make():
-        hashes = WordHashes()
-
         def f(batch: pa.RecordBatch) -> dict:
-            s = Sentences(byte_texts(batch), hashes, run, least)
+            s = Sentences(byte_texts(batch), run, least)
             keep = ~s.repeats()
             if shared:
                 keep &= may_hold(shared.value, s.h[0].view(np.int64))
@@ -148,11 +141,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
-        hashes = WordHashes()
-
         def f(batch: pa.RecordBatch) -> dict:
             texts = byte_texts(batch)
-            s = Sentences(texts, hashes, run, least_words)
+            s = Sentences(texts, run, least_words)
             gone = np.zeros(len(s.start) + run, bool)
             marks = [s.runs[s.repeats()]]
             for i, ats in enumerate(batch.column("ats").to_pylist()):

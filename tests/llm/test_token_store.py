@@ -23,6 +23,27 @@ def test_codes_round_trip_and_random_access(ids):
         codes.at(len(ids))
 
 
+TEXTS = ["", "Don't STOP!! it's 1234,5", "foo.. bar., (baz) a,b 3.14 $%&*** ###", "ÉTÉ Straße İstanbul ΑΣ ός", "e\u0301t\u00e9 Å \u212b ª µ ŉ",
+         "日本語 テスト 🎉x", "a\u00a0b\u2003c", "<|endoftext|> x<|startoftext|>", "word. Word, WORD.\nword,\tend.", "'s 't 'll x's", "ﬁ ǆ"]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_words_equal_library(text):
+    tokenizer = Tokenizer.from_file(PATH)
+    tokenizer.encode_special_tokens = True
+    ids, n = token_store.word_ids(PATH).of([text.encode(), b"", text.encode()])
+    want = tokenizer.encode(text, add_special_tokens=False).ids
+    assert ids.tolist() == want + want and n.tolist() == [len(want), 0, len(want)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from("abZ éÉ'.,!1<|>\n\u0301İΣ日"), max_size=40))
+def test_words_equal_library_on_any_text(text):
+    tokenizer = Tokenizer.from_file(PATH)
+    tokenizer.encode_special_tokens = True
+    assert token_store.word_ids(PATH).of([text.encode()])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_store_equals_library(spark, tmp_path):
     tokenizer = Tokenizer.from_file(PATH)
     path = str(tmp_path / "tokens")

@@ -43,8 +43,9 @@ def main():
     if args and args[0].startswith("/"):
         sf, args = args[0], args[1:]
     catalog.MEMO_ENABLED = False
-    spark = build_session("local[8]", 16, extra={"spark.sql.adaptive.enabled": "false"})
-    out = ["# Physical plans (AQE off, so the static plan is shown)", "",
+    spark = build_session("local[8]", 16, extra={"spark.sql.adaptive.enabled": "false",
+                                                         "spark.sql.autoBroadcastJoinThreshold": "-1"})
+    out = ["# Physical plans (AQE and automatic broadcasts off: the plan of large tables)", "",
            f"Data: `{sf}`. Generated by `tools/explain_plans.py`.", ""]
     for n in args or DEFAULT:
         df = catalog.QUERIES[n](spark, sf)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -10,10 +9,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.session import checkpoint_dir, ship_package
+from riskloom.operators.prefix import stored  # noqa: F401  (used by the operators)
+from riskloom.session import ship_package
 
 #: Texts are worked on in slices of about so many bytes, which bounds a task's memory.
 SLICE_BYTES = 4 << 20
@@ -25,15 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, what: str = "t") -> DataFrame:
-    """``df`` written as a table in the shared checkpoint folder and read back: its lineage ends
-    there, so a lost executor costs no recomputation of what led to it."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_mod(col, mod: int):
     """crc32(id as text) mod ``mod``; a null id counts as the empty text (0)."""
     return F.coalesce(F.crc32(col.cast("string").cast("binary")), F.lit(0)) % mod
@@ -266,55 +257,26 @@ def shingle_sets(hashes: np.ndarray, counts: np.ndarray, k: int) -> list[np.ndar
     return out
 
 
-def running_starts(df: DataFrame, keys: list[str], order: list[str], value: str,
-                   out: str = "start") -> DataFrame:
-    """``df`` with ``out``: the sum of ``value`` over the rows before this one, within ``keys``,
-    by ``order``. Rows are range-sorted, so a hot key spreads over many partitions; each
-    partition sums its own rows and adds the total of the partitions before it. ``df`` should
-    be slim; it is written once so that the ranges stay as they are."""
-    spark = df.sparkSession
-    cut = stored(df.repartitionByRange(*[F.col(c).asc_nulls_last() for c in [*keys, *order]])
-                 .withColumn("_part", F.spark_partition_id()), "ranges")
-    same = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys]
-    nul = [F.col(c).isNull() for c in keys]
-    cut = cut.withColumn("_key", F.struct(*nul, *same) if keys else F.lit(0))
-    totals = cut.groupBy("_key", "_part").agg(F.sum(value).alias("_sum"))
-    before = window_sum("_sum", ["_key"] if keys else [], ["_part"])
-    totals = totals.select("_key", "_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    inner = window_sum(value, ["_key", "_part"], order)
-    summed = cut.withColumn("_inner", F.coalesce(inner, F.lit(0)))
-    return (summed.join(totals, ["_key", "_part"])
-            .withColumn(out, F.col("_before") + F.col("_inner"))
-            .drop("_key", "_part", "_before", "_inner"))
-
-
-def window_sum(value: str, by: list[str], order: list[str]):
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(
-        *[F.col(c).asc_nulls_last() for c in order])
-    return F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the graph of ``edges`` (a, b): root is the smallest node reachable.
 
     Alternating large-star and small-star steps: each links every neighbour of a node to the
     smallest one it knows, until every node hangs on one root. Minima are pre-aggregated and the
     joins have one unique side, so Spark splits the rows of a hub among tasks."""
-    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-               .distinct(), "links")
+    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "links")
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = stored(both.join(low, "u").where("v > u")
-                       .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links")
+        large = stored(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "links")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low, "u")
         e = stored(hung.select("u", F.col("m").alias("v"))
                    .union(hung.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
                    .distinct(), "links")
-        parents = e.groupBy("u").agg(F.count("*").alias("n"))
-        several = parents.where("n > 1").limit(1).count()
-        if not several and not e.select(F.col("v").alias("u")).join(parents, "u", "left_semi").limit(1).count():
+        # done when no node has two parents, or both a parent and a child
+        sides = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+            e.select("v", F.lit(0), F.lit(1)))
+        if not sides.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").limit(1).count():
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import running_starts
+from riskloom.operators.prefix import running_totals
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Fixed shares: weights that repeat over the sources by code point, the mix's size against all
@@ -66,7 +66,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     its source, words taken of it in the last one, and of both together."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
                        n_words(F.col(text_col)).alias("size"), random_key(F.col(id_col)).alias("key"))
-    summed = running_starts(slim, ["source"], ["key", "id", "size"], "size")
+    summed = running_totals(slim, ["source"], ["key", "id", "size"], {"start": "size"})
     goal = targets(summed.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumnRenamed("source", "of")
     budget = F.floor(F.col("target") + 0.5)
     epochs = F.coalesce(F.floor(budget / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0))

@@ -5,14 +5,16 @@ of equal sets are one class. Shingles have one global order, rare ones first (by
 bounded table of hash buckets, then by hash). Two sets of the wanted similarity share a shingle in
 their prefixes, and as many more as the prefixes are made longer. Classes of equal prefix and size
 are one group; only groups are posted under their prefix shingles, and a group that shares fewer
-shingles than any partner needs is done with.
+shingles than any partner needs is done with. Groups that remain are expanded to their classes, of
+which all shingles are now posted: a class whose shared shingles are fewer than a partner needs
+is done with too, the others keep a prefix in the order of the exact counts.
 
-Candidates are verified on the texts in rounds that link nothing twice. Every group is compared
-with one other group of a shingle's list; then one pair is verified for every two components that still
-share lists; at last all pairs of different components that pass the size and count filters are
-expanded to classes and verified. Pairs inside
-one component need no check, as only their component is asked for, so groups of many near copies
-cost about their number of rows. No list, bucket or group is capped.
+Candidates are verified on the texts in rounds that link nothing twice. In the first, classes are
+compared with some leaders of their shingles' lists, those that share most of their shingles with
+others and so are nearest to most; at last all pairs of different components that pass the size and
+position filters are verified. Pairs inside one component need no check, as only their component is asked
+for, so groups of many near copies cost about their number of rows. No list, bucket or group is
+capped.
 
 Null texts and texts without words have an empty set and are linked with nothing. Repeated rows
 give repeated rows with one component; a null id never names a component that holds another id. An
@@ -36,8 +38,9 @@ from .common import (byte_texts, components, filter_bits, list_array, map_batche
 BUCKET_BITS = 17
 #: One shingle in so many is added to the prefix.
 EXTRA = 16
-#: Most rounds of one pair for two components, before all pairs left are verified.
-ROUNDS = 2
+#: Before all pairs that are left: rounds of comparing classes with the leaders of their lists (as
+#: many as this), at most so many pairs for two components.
+ROUNDS, LEADERS, TRIES = 1, 12, 8
 
 
 def _extra(n):
@@ -102,20 +105,20 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, words: int, percent
     return map_slices(rows, make, f"id {kind}, th bigint, digest binary, n bigint, g bigint, g2 bigint, prefix array<bigint>")
 
 
-def _without_singles(posted: DataFrame) -> DataFrame:
-    """(token, g) rows whose token stands in another row too (and the first and last token of a
+def _without_singles(posted: DataFrame, of: str) -> DataFrame:
+    """(token, of) rows whose token stands in another row too (and the first and last token of a
     partition). Rows are range-sorted, so a frequent token spreads over partitions."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # last row so far, and whether it is wanted already
 
         def out(token, g):
-            return pa.RecordBatch.from_arrays([pa.array(token), pa.array(g)], names=["token", "g"])
+            return pa.RecordBatch.from_arrays([pa.array(token), pa.array(g)], names=["token", of])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, g = (batch.column(c).to_numpy() for c in ("token", "g"))
+            token, g = (batch.column(c).to_numpy() for c in ("token", of))
             if held:
                 token, g = np.concatenate([held[0], token]), np.concatenate([held[1], g])
             same = token[1:] == token[:-1]
@@ -128,8 +131,8 @@ def _without_singles(posted: DataFrame) -> DataFrame:
         if held:
             yield out(held[0], held[1])
 
-    return map_batches(posted.repartitionByRange("token", "g").sortWithinPartitions("token", "g"), run,
-                       "token bigint, g bigint")
+    return map_batches(posted.repartitionByRange("token", of).sortWithinPartitions("token", of), run,
+                       f"token bigint, {of} bigint")
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -143,9 +146,22 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
             .groupBy("digest").agg(F.first("text").cast("binary").alias("text")))
 
 
+def _shingles(texts: DataFrame, words: int) -> DataFrame:
+    """(token, cid): every shingle of every class."""
+
+    def make():
+        def f(batch: pa.RecordBatch) -> dict:
+            sets = _sets(byte_texts(batch), words)
+            size = np.array([len(x) for x in sets])
+            return {"token": np.concatenate(sets).view(np.int64), "cid": np.repeat(batch.column("cid").to_numpy(), size)}
+        return f
+
+    return map_slices(texts.select("cid", "text"), make, "token bigint, cid bigint")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: digests) that have the similarity."""
-    left, right = (texts.select(F.col("digest").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
+    """Those of ``pairs`` (a, b: class numbers) that have the similarity."""
+    left, right = (texts.select(F.col("cid").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
 
     def make():
         def f(batch: pa.RecordBatch) -> dict:
@@ -164,7 +180,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
         return f
 
     return map_slices(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), make,
-                      "a binary, b binary", "ta")
+                      "a bigint, b bigint", "ta")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4,
@@ -177,78 +193,84 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     classes = stored(some.groupBy("digest").agg(F.min("id").alias("least"), F.min(row).alias("row"), F.first("n").alias("n"),
                                                 F.first("g").alias("g")), "classes")
 
-    # lists of groups by shingle; a group stays if it shares as many shingles as a partner needs
+    def need(n):
+        """Shingles that any partner of a set of ``n`` shares with it."""
+        return F.floor((n * percent + 99) / 100)
+
+    # lists of groups by prefix shingle; a group stays if it shares as many as a partner needs
     posted = some.groupBy("g", "g2").agg(F.first("prefix").alias("prefix")).select(F.explode("prefix").alias("token"), "g")
-    lists = stored(_without_singles(posted), "postings")
-    sizes = classes.groupBy("g").agg(F.min("n").alias("n"), F.min("digest").alias("rep"), F.count("*").alias("members"))
-    least = 1 + _extra(F.floor((F.col("n") * percent + 99) / 100))
-    shared = stored(lists.withColumn("c", F.count("*").over(Window.partitionBy("g"))).join(sizes, "g").where(F.col("c") >= least)
-                    .select("token", "g", "n"), "postings")
-    known = stored(sizes.join(shared.select("g").distinct().withColumn("posted", F.lit(True)), "g", "left")
-                   .where("posted or members > 1"), "groups")
-    member = stored(classes.join(known.select("g"), "g", "left_semi").select("digest", "g", "n", "row"), "members")
-    texts = stored(_texts_of(docs, member, id_col, text_col), "texts")
-    member = member.drop("row")
+    lists = _without_singles(posted, "g")
+    sizes = classes.groupBy("g").agg(F.min("n").alias("n"), F.count("*").alias("members"))
+    shared = lists.groupBy("g").agg(F.count("*").alias("c"))
+    open_ = (sizes.join(shared, "g", "left").where((F.col("c") >= 1 + _extra(need(F.col("n")))) | (F.col("members") > 1)))
+    member = stored(classes.join(open_.select("g"), "g", "left_semi").select("digest", "n", "row")
+                    .withColumn("cid", F.monotonically_increasing_id()), "members")
+    texts = stored(_texts_of(docs, member, id_col, text_col).join(member.select("digest", "cid"), "digest")
+                   .select("cid", "text"), "texts")
+
+    # all shingles of these classes: those that none other has can't count towards a partner
+    lists = stored(_without_singles(_shingles(texts, words), "cid"), "postings")
+    per = Window.partitionBy("cid")
+    enough = (lists.withColumn("c", F.count("*").over(per)).join(member.select("cid", "n"), "cid")
+              .where(F.col("c") >= need(F.col("n"))).select("token", "cid", "n"))
+    enough = stored(enough, "postings")
+    df = enough.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    prefix = (enough.join(df, "token").withColumn("c", F.count("*").over(per)).where(F.col("c") >= need(F.col("n")))
+              .withColumn("at", F.row_number().over(per.orderBy("df", "token")))
+              .where(F.col("at") <= F.col("c") - need(F.col("n")) + 1).select("token", "cid", "n", "c", "at"))
+    prefix = stored(prefix, "postings")
 
     def fits(n, m):
         return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
-    def enough(n, m, c):
-        return F.col(c) >= 1 + _extra(F.least(n, m))
-
-    # each group with the leader of a list that it shares most shingles with, each member with its group
-    lead = shared.groupBy("token").agg(F.min(F.struct(F.xxhash64("g").alias("h"), "g", "n")).alias("l"))
-    star = (shared.join(lead, "token").where("g <> l.g").where(fits(F.col("n"), F.col("l.n")))
-            .groupBy("g", "n", F.col("l.g").alias("lg"), F.col("l.n").alias("ln")).agg(F.count("*").alias("c"))
-            .where(enough(F.col("n"), F.col("ln"), "c"))
-            .groupBy("g").agg(F.max_by("lg", F.struct("c", "lg")).alias("lg")))
-    rep = known.select("g", "rep")
-    pairs = (star.join(rep.withColumnRenamed("rep", "a"), "g")
-             .join(rep.select(F.col("g").alias("lg"), F.col("rep").alias("b")), "lg").select("a", "b"))
-    own = member.join(known.where("members > 1").select("g", "rep"), "g").where("digest <> rep").select(
-        F.col("digest").alias("a"), F.col("rep").alias("b"))
-    edges = stored(_verified(pairs.union(own), texts, words, percent), "edges")
-
-    for turn in range(ROUNDS + 1):
-        roots = stored(components(edges), "roots")
-        of = stored(member.join(roots, member["digest"] == roots["node"], "left").select(
-            "digest", "g", "n", F.coalesce("root", "digest").alias("root")), "members")
-        # a group's number stands for the prefix that its members share
-        several = of.join(known.where("members > 1").select("g"), "g", "left_semi").select(
-            F.col("g").alias("token"), "g", "n", "digest", "root", F.lit(True).alias("whole"))
-        entries = shared.select("token", "g").join(of, "g").select(
-            "token", "g", "n", "digest", "root", F.lit(False).alias("whole")).union(several)
-        mixed = entries.groupBy("token", "whole").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        left = stored(entries.join(mixed.select("token", "whole"), ["token", "whole"]), "left")
-        if not left.limit(1).count():
-            break
-        if turn < ROUNDS:
-            # for two components that share lists, one pair of classes
-            seed = F.lit(turn)
-            picked = left.groupBy("token", "whole", "root").agg(
-                F.min_by(F.struct("digest", "n"), F.xxhash64("digest", seed)).alias("c"))
-            first = picked.groupBy("token", "whole").agg(
-                F.min(F.struct(F.xxhash64("root", seed).alias("h"), F.col("root").alias("root"), F.col("c").alias("c"))).alias("l"))
-            tried = (picked.join(first, ["token", "whole"]).where("root <> l.root").where(fits(F.col("c.n"), F.col("l.c.n")))
-                     .groupBy("root", F.col("l.root").alias("other"))
-                     .agg(F.min_by(F.struct(F.col("c.digest").alias("a"), F.col("l.c.digest").alias("b"),
-                                            F.least("c.n", "l.c.n").alias("n")), F.xxhash64("token", seed)).alias("p"),
-                          F.count("*").alias("c"), F.max("whole").alias("whole"))
-                     .where((F.col("c") >= 1 + _extra(F.col("p.n"))) | F.col("whole")).select("p.a", "p.b"))
-        else:
-            x, y = (left.select("token", "whole", *[F.col(c).alias(c + k) for c in ("n", "digest", "root")]) for k in "xy")
-            tried = (x.join(y, ["token", "whole"]).where("rootx < rooty").where(fits(F.col("nx"), F.col("ny")))
-                     .groupBy(F.col("digestx").alias("a"), F.col("digesty").alias("b"), "nx", "ny")
-                     .agg(F.count("*").alias("c"), F.max("whole").alias("whole"))
-                     .where(enough(F.col("nx"), F.col("ny"), "c") | F.col("whole")).select("a", "b"))
-        edges = edges.union(stored(_verified(tried, texts, words, percent), "edges"))
-    else:
-        roots = stored(components(edges), "roots")
-
-    placed = classes.join(roots, classes["digest"] == roots["node"], "left").select(
-        "digest", "least", F.coalesce("root", "digest").alias("root"))
-    first = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(first, "root").select("digest", "component_id")
-    return (sigs.select("id", "digest", "n").join(named, "digest", "left")
+    def possible(pairs):
+        """Pairs (nx, ny, k: shared prefix shingles) that may reach the similarity: before the end of
+        the prefix that ends first all they share is in both, and no more than need - 1 follow it."""
+        wanted = F.ceil(percent * (F.col("nx") + F.col("ny")) / (100 + percent))
+        return pairs.where(fits(F.col("nx"), F.col("ny"))).where(
+            F.col("k") + F.greatest(need(F.col("nx")), need(F.col("ny"))) - 1 >= wanted)
+
+    left = prefix.withColumn("root", F.col("cid"))
+    found = None
+    for turn in range(ROUNDS):
+        # what can still be linked, with the leaders of each list: those that share most of their
+        # shingles with others are nearest to most; later rounds take others by hash
+        h = F.struct((F.col("n") - F.col("c") if turn == 0 else F.lit(0)).alias("apart"), F.xxhash64("cid", F.lit(turn)).alias("h"))
+        order = Window.partitionBy("token").orderBy("h", "cid")
+        lead = (left.select("token", h.alias("h"), "cid", "n", "root").withColumn("r", F.row_number().over(order))
+                .where(F.col("r") <= LEADERS).groupBy("token")
+                .agg(F.collect_list(F.struct(F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("root").alias("rooty"))).alias("l")))
+        pairs = (left.join(lead, "token").select(F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rootx"), F.inline("l"))
+                 .where("rootx <> rooty")
+                 .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("rootx", "rooty").alias("ra"),
+                          F.greatest("rootx", "rooty").alias("rb"), F.greatest("nx", "ny").alias("nx"), F.least("nx", "ny").alias("ny"))
+                 .agg(F.count("*").alias("k")))
+        best = Window.partitionBy("ra", "rb").orderBy(F.col("k").desc(), "a", "b")
+        tried = possible(pairs).withColumn("r", F.row_number().over(best)).where(F.col("r") <= TRIES).select("a", "b")
+        more = stored(_verified(tried, texts, words, percent), "edges")
+        roots = stored(components(more if found is None else found.union(more)), "roots")
+        found = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        entries = (prefix.join(roots, prefix["cid"] == roots["node"], "left")
+                   .select("token", "cid", "n", "c", "at", F.coalesce("root", "cid").alias("root")))
+        mixed = entries.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        left = stored(entries.join(mixed.select("token"), "token"), "left")
+
+    # what two components still share: all pairs that may reach the similarity
+    x, y = (left.select("token", *[F.col(k).alias(k + side) for k in ("cid", "n", "c", "at", "root")]) for side in "xy")
+    # at the first shingle that two prefixes share, what follows in either bounds the overlap
+    wanted = F.ceil(percent * (F.col("nx") + F.col("ny")) / (100 + percent))
+    rest = 1 + F.least(F.col("cx") - F.col("atx"), F.col("cy") - F.col("aty"))
+    tried = (x.join(y, "token").where("rootx < rooty").where(fits(F.col("nx"), F.col("ny"))).where(rest >= wanted)
+             .select(F.col("cidx").alias("a"), F.col("cidy").alias("b")).distinct())
+    more = stored(_verified(tried, texts, words, percent), "edges")
+    # known components as stars, with the new links between them
+    roots = stored(components(found.union(more)), "roots")
+
+    linked = member.join(roots, member["cid"] == roots["node"]).select("digest", "root").join(
+        classes.select("digest", "least"), "digest")
+    first = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = classes.select("digest", "least").join(linked.join(first, "root").select("digest", "component_id"), "digest", "left") \
+        .withColumn("component_id", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")))
+    return (sigs.select("id", "digest", "n").join(named.select("digest", "component_id"), "digest", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")))

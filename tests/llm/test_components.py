@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from riskloom.llm.common import components, running_starts
+from riskloom.llm.common import components
 
 
 @pytest.mark.parametrize("kind", ["chain", "star", "random", "none"])
@@ -17,15 +17,3 @@ def test_components(spark, kind):
                 part[a] = part[b] = min(part[a], part[b])
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == part
-
-
-def test_running_starts(spark):
-    rng = random.Random(2)
-    rows = [(rng.choice(("a", "b", None)), rng.randrange(5), rng.randrange(100)) for _ in range(200)]
-    got = sorted(((r.k, r.o, r.v, r.start) for r in running_starts(
-        spark.createDataFrame(rows, "k string, o int, v int").repartition(5), ["k"], ["o", "v"], "v").collect()), key=str)
-    want, total = [], {}
-    for k, o, v in sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1], r[2])):
-        want.append((k, o, v, total.get(k, 0)))
-        total[k] = total.get(k, 0) + v
-    assert got == sorted(want, key=str)

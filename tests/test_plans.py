@@ -68,3 +68,36 @@ def test_no_cross_joins_in_registered_analytics(spark):
               "user_velocity_sql", "standard_scale"):
         p = _plan(catalog.QUERIES[n](spark, SF_SMALL))
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, n
+
+
+def test_hot_rows_are_never_partitioned_by_user_alone(spark):
+    """With every user above the threshold and broadcasts off, only the normal branch may exchange
+    by user; the windows of hot rows exchange by user and bucket or chunk."""
+    from riskloom.plans.features import build_features
+    c = catalog.Ctx(spark, SF_SMALL)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = _plan(build_features(c.log, c.profiles, hot_threshold=5))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"Exchange hashpartitioning\(user_id#\d+, _bkt#\d+L", p)
+    assert re.search(r"Exchange hashpartitioning\(user_id#\d+, _chunk#\d+L", p)
+    assert "CartesianProduct" not in p
+
+
+def test_counters_and_table_function_plans(spark):
+    log = catalog.Ctx(spark, SF_SMALL).log
+    from riskloom.operators.windows import anchored_counter
+    p = _plan(anchored_counter(log, 3600))
+    assert "MapInPandas" not in p and "Python" not in p
+    p = _plan(catalog.QUERIES["user_velocity_tvf"](spark, SF_SMALL))
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_lookups_push_their_filters(spark):
+    for n in ("lookup_by_key", "user_recent"):
+        assert re.search(r"PushedFilters: \[.*EqualTo\(", _plan(catalog.QUERIES[n](spark, SF_SMALL))), n
+
+
+def test_percentiles_have_no_constant_key(spark):
+    assert "hashpartitioning(1," not in _plan(catalog.QUERIES["latency_summary"](spark, SF_SMALL))

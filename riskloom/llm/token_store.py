@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -105,26 +106,62 @@ class Codes:
         return rest
 
 
+#: Runs that the vocabulary's pattern keeps apart in lower-case ASCII words without apostrophes.
+RUNS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+
+
 class WordIds:
     """Ids of whole texts by a vocabulary that drops white space: a text's ids are those of its
-    words, one after another, so each distinct word goes to the tokenizer once."""
+    words, one after another, so each distinct word goes to the tokenizer once.
+
+    Words of Latin letters, and the runs of other ASCII words, need neither the vocabulary's
+    normalizer nor its pattern and go to a copy of the tokenizer without them, many in a line;
+    each of them ends in a token that ends a word. All other words take the tokenizer as it is."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        self.whole, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.whole, self.plain):
+            t.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.memo = Memo(self._encode, WORDS)
 
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        flat, n = [], np.zeros(len(words), np.int64)
-        for i in range(0, len(words), 4096):
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in words[i:i + 4096]], add_special_tokens=False)
-            for j, e in enumerate(found, i):
-                own = e.ids
-                n[j] = len(own)
-                flat += own
-        return np.array(flat, np.int32), n
+        parts, runs, rest = [], np.zeros(len(words), np.int64), []
+        for i, w in enumerate(words):
+            t = w.decode().lower()
+            if t.isalpha() and (w.isascii() or max(t) < "\u0250"):
+                parts.append(t)
+                runs[i] = 1
+            elif w.isascii() and b"'" not in w:
+                own = RUNS.findall(t)
+                parts += own
+                runs[i] = len(own)
+            else:
+                rest.append(i)
+        lines = [" ".join(parts[i:i + 1024]) for i in range(0, len(parts), 1024)]
+        found = [np.array(e.ids, np.int32) for i in range(0, len(lines), 16)
+                 for e in self.plain.encode_batch_fast(lines[i:i + 16], add_special_tokens=False)]
+        plain = np.concatenate([np.zeros(0, np.int32), *found])
+        last = np.concatenate([[0], np.flatnonzero(self.ends[plain]) + 1])
+        if len(last) != len(parts) + 1:
+            raise ValueError("the vocabulary has tokens that don't end words at their ends")
+        n = np.diff(last[np.concatenate([[0], np.cumsum(runs)])])
+        if not rest:
+            return plain, n
+        own = [self.whole.encode(words[i].decode(), add_special_tokens=False).ids for i in rest]
+        n[rest] = [len(x) for x in own]
+        out = np.empty(int(n.sum()), np.int32)
+        where = np.repeat(runs > 0, n)
+        out[where] = plain
+        out[~where] = np.concatenate([np.array(x, np.int32) for x in own])
+        return out, n
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids per text)."""
@@ -138,6 +175,12 @@ class WordIds:
         return self.memo.gather(at), np.diff(ends[cuts])
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One for all tasks of a worker process, so that a later task finds the words of earlier ones."""
+    return WordIds(path)
+
+
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id",
           text_col: str = "text") -> None:
     """Encode and write ``docs`` in ascending order of id: segments under ``path``/segments, and
@@ -146,7 +189,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str
     names = ["part", "segment", "n_tokens", "ids", "lengths", "payload"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, segment = WordIds(vocabulary), TaskContext.get().partitionId(), 0
+        coder, part, segment = word_ids(vocabulary), TaskContext.get().partitionId(), 0
         keys, ids, lengths, held = [], [], [], 0
 
         def close():

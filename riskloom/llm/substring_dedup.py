@@ -115,30 +115,31 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, run: int, least: int, bi
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN,
              least_words: int = LEAST_WORDS) -> DataFrame:
-    """(id, th, ats): of each text (th: its hash) the sentence numbers at which a run begins that a
-    document of smaller id has."""
+    """(id, th, ats, firsts): of each text (th: its hash) the sentence numbers at which a run begins
+    that a document of smaller id has, and those documents."""
     firsts = stored(_spans(docs, id_col, text_col, run, least_words).groupBy("h1", "h2")
                     .agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "runs")
     spans = _spans(docs, id_col, text_col, run, least_words, filter_bits(firsts, "h1"))
     return (spans.join(firsts, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("first")))
-            .groupBy("id", "th").agg(F.collect_set("at").alias("ats")))
+            .groupBy("id", "th").agg(F.collect_set("at").alias("ats"), F.array_sort(F.collect_set("first")).alias("firsts")))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN,
           least_words: int = LEAST_WORDS) -> DataFrame:
-    """(id, text, n_sentences, n_removed): every text without the sentences that a non-first
-    occurrence of a run covers."""
+    """(id, text, n_sentences, n_removed, first_in): every text without the sentences that a
+    non-first occurrence of a run covers; ``first_in`` lists the documents where these runs stay
+    (without those inside the text itself)."""
     found = stored(repeated(docs, id_col, text_col, run, least_words), "repeats")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
     hit = may_hold_udf(spark, filter_bits(found, "th"))("th")  # other texts need no join
     rows = rows.withColumn("hit", hit)
-    none = F.lit(None).cast("array<int>")
+    kind = docs.schema[id_col].dataType.simpleString()
+    none = F.lit(None).cast("array<int>").alias("ats"), F.array().cast(f"array<{kind}>").alias("firsts")
     marked = found.withColumnsRenamed({"id": "_id", "th": "_th"})
     joined = (rows.where("hit").join(marked, F.col("th").eqNullSafe(F.col("_th")) & F.col("id").eqNullSafe(F.col("_id")), "left")
-              .select("id", "text", "ats"))
-    rows = rows.where("not hit").select("id", "text", none.alias("ats")).union(joined)
-    kind = docs.schema[id_col].dataType.simpleString()
+              .select("id", "text", "ats", F.coalesce("firsts", none[1]).alias("firsts")))
+    rows = rows.where("not hit").select("id", "text", *none).union(joined)
 
     def make():
         def f(batch: pa.RecordBatch) -> dict:
@@ -162,7 +163,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run:
                 parts = [texts[i][:cuts[0]]]
                 parts += [texts[i][cuts[j]:cuts[j + 1]] for j in np.flatnonzero(~gone[a:b]).tolist()]
                 out[i] = b"".join(parts).decode()
-            return {id_col: batch.column("id"), "text": out, "n_sentences": n, "n_removed": removed}
+            return {id_col: batch.column("id"), "text": out, "n_sentences": n, "n_removed": removed, "first_in": batch.column("firsts")}
         return f
 
-    return map_slices(rows, make, f"`{id_col}` {kind}, text string, n_sentences int, n_removed int")
+    return map_slices(rows, make, f"`{id_col}` {kind}, text string, n_sentences int, n_removed int, first_in array<{kind}>")

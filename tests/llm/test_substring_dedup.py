@@ -20,8 +20,9 @@ def test_repeated_passage_stays_once(spark):
     assert r[0].text == rows[0][1] and r[0].n_removed == 0
     for i, text in rows[1:]:
         assert passage not in r[i].text and r[i].text.startswith(text[:150]) and r[i].n_removed >= 5
+        assert r[i].first_in == ([0] if i else [])
     for i, text in clean:
-        assert r[i].text == text and r[i].n_removed == 0
+        assert r[i].text == text and r[i].n_removed == 0 and r[i].first_in == []
 
 
 def test_equals_brute_force(spark):

@@ -32,6 +32,12 @@ DEFAULT_CHUNK = 4096
 HOT_USER_ROWS = 250_000
 
 
+def has_hot_keys(df: DataFrame, key: str, threshold: int) -> bool:
+    """Whether any key has more than ``threshold`` rows: one small job over the key column. Without
+    one the hot branch would be empty and is left out of the plan; the result is the same."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > threshold).limit(1).count() > 0
+
+
 def split_hot_keys(df: DataFrame, key: str = "user_id",
                    threshold: int = HOT_USER_ROWS) -> tuple[DataFrame, DataFrame]:
     """(rows of normal keys, rows of hot keys). One partial aggregate counts rows per key;

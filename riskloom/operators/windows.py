@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from riskloom.functions import features as FX
 from riskloom.operators.timeline import (DAY_US, DEFAULT_CHUNK, HOT_USER_ROWS, bucket_context,
                                          chunk_context, hours_between_us, running_max,
-                                         split_hot_keys, with_ts_us, with_user_row_index)
+                                         has_hot_keys, split_hot_keys, with_ts_us,
+                                         with_user_row_index)
 from riskloom.operators.prefix import stored
 from riskloom.schema import HOUR_US
 
@@ -95,6 +96,8 @@ def user_windows(df: DataFrame, range_cols: Frames | None = None, rows_cols: Fra
     prep = prepare or (lambda x, hot: x)
     if hot_threshold is None:
         return _skew(prep(d, True), rc, oc, user, id_col, width, chunk)
+    if not has_hot_keys(d, user, hot_threshold):
+        return _plain(prep(d, False), rc, oc, user, id_col)
     normal, hot = split_hot_keys(d, user, hot_threshold)
     return _plain(prep(normal, False), rc, oc, user, id_col).unionByName(
         _skew(prep(hot, True), rc, oc, user, id_col, width, chunk))
@@ -284,16 +287,19 @@ def velocity_batch(df: DataFrame, hot_threshold: int | None = HOT_USER_ROWS) ->
     d = _ensure_ts(df)
     if hot_threshold is None:
         normal, hot = None, d
-    else:
+    elif has_hot_keys(d, USER, hot_threshold):
         normal, hot = split_hot_keys(d, USER, hot_threshold)
+    else:
+        normal, hot = d, None
     parts = []
     if normal is not None:
         n = normal.select("*", F.max("_ts_us").over(
             Window.partitionBy(USER).orderBy("_ts_us").rangeBetween(UNB, -1)).alias("_prev_ts_us"))
         parts.append(n.select("*", *[c.alias(k) for k, c in _batch_cols([USER]).items()]))
-    h = bucket_context(with_user_row_index(hot), DAY_US)
-    parts.append(h.select("*", *[c.alias(k) for k, c in _batch_cols([USER, "_bkt"]).items()])
-                 .where(~F.col("_ctx")).drop("_bkt", "_ctx", "_row"))
+    if hot is not None:
+        h = bucket_context(with_user_row_index(hot), DAY_US)
+        parts.append(h.select("*", *[c.alias(k) for k, c in _batch_cols([USER, "_bkt"]).items()])
+                     .where(~F.col("_ctx")).drop("_bkt", "_ctx", "_row"))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return out.withColumn("time_since_last_txn",
                           F.when((F.col("_tie_rn") > 1) | F.col("_prev_ts_us").isNull() | F.col("_ts_us").isNull(), F.lit(0.0))
@@ -365,6 +371,8 @@ def anchored_counter(df: DataFrame, window_seconds: int, limit: int | None = Non
 
     if hot_threshold is None:
         branches = [(d, True)]
+    elif not has_hot_keys(d, "k", hot_threshold):
+        branches = [(d, False)]
     else:
         normal, hot = split_hot_keys(d, "k", hot_threshold)
         branches = [(normal, False), (hot, True)]
@@ -386,8 +394,8 @@ def anchored_counter(df: DataFrame, window_seconds: int, limit: int | None = Non
     starts = _long_anchors(times, w_us).select(F.col("k").alias("_k"), F.col("a").alias("_a"))
     marked = ev.join(starts, F.col("k").eqNullSafe(F.col("_k")) & (F.col("_ts_us") == F.col("_a")), "left") \
         .select("k", "id", "_ts_us", "hot", F.coalesce("_a", F.when(F.col("_ts_us") == F.col("seg"), F.col("seg"))).alias("_mark"))
-    placed = [latest(marked.where("not hot"), "_mark", "anchor", False), latest(marked.where("hot"), "_mark", "anchor", True)]
-    placed = placed[0].unionByName(placed[1])
+    placed = [latest(marked.where(F.col("hot") == F.lit(is_hot)), "_mark", "anchor", is_hot) for _, is_hot in branches]
+    placed = placed[0] if len(placed) == 1 else placed[0].unionByName(placed[1])
     n = F.row_number().over(Window.partitionBy("k", "anchor").orderBy("_ts_us", "id")).cast("long")
     res = placed.select("k", "id", "anchor", n.alias("n")).unionByName(
         timeless.select("k", "id", F.lit(None).cast("long").alias("anchor"), F.lit(None).cast("long").alias("n")))

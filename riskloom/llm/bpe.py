@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from .common import Memo, list_array, map_batches, slices
 
 #: Texts of about so many bytes share one replay.
-REPLAY_BYTES = 16 << 20
+REPLAY_BYTES = 8 << 20
 #: Distinct pieces whose ids a task keeps before it starts anew.
-PIECES = 800_000
+PIECES = 400_000
 NONE = np.iinfo(np.int32).max
 SHIFT = 20
 

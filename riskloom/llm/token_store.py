@@ -35,7 +35,7 @@ BLOCK = 512
 #: Tokens that a segment takes before it is closed.
 SEGMENT = 1 << 20
 #: Distinct words whose ids a task keeps before it starts anew.
-WORDS = 600_000
+WORDS = 1_000_000
 #: A comma or full stop after a letter or digit and before white space is a token of its own.
 STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[\x20\x09-\x0D]|$)")
 
@@ -106,6 +106,24 @@ class Codes:
         return rest
 
 
+#: ASCII characters that are no letter, digit or white space, all as full stops; bytes of texts whose
+#: other characters are letters of U+00C0 to U+00FF.
+MARKS = bytes(c if c >= 128 or chr(c).isalnum() or c in b"\x20\x09\x0a\x0b\x0c\x0d" else ord(".") for c in range(256))
+LATIN = bytes([*range(128), *range(0x80, 0xC0), 0xC3])
+
+
+def spaced(text: bytes) -> bytes:
+    """The lower-case text with a space before commas and full stops that end a word and stand
+    alone there, which leaves its tokens as they are."""
+    if not text.translate(None, LATIN) and b"\xc3\x97" not in text and b"\xc3\xb7" not in text:
+        marks = text.translate(MARKS)
+        if b".. " not in marks and b"..\n" not in marks:
+            for end in (b". ", b", ", b".\n", b",\n"):
+                text = text.replace(end, b" " + end)
+            return text
+    return STOP.sub(rb" \1", text)
+
+
 #: Runs that the vocabulary's pattern keeps apart in lower-case ASCII words without apostrophes.
 RUNS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 
@@ -168,7 +186,7 @@ class WordIds:
         words: list[bytes] = []
         cuts = [0]
         for t in texts:
-            words += STOP.sub(rb" \1", t.lower()).split()
+            words += spaced(t.lower()).split()
             cuts.append(len(words))
         at = self.memo.rows(words)
         ends = np.concatenate([[0], np.cumsum(self.memo.n[at], dtype=np.int64)])

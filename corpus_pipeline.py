@@ -4,7 +4,8 @@ Each stage is a function (spark, docs, sf_dir) -> DataFrame over all rows that t
 kept; its result is written as Parquet and read again as the next one's ``docs``. All stages but
 the last return the columns of ``docs``.
 
-1. language_id: rows without a letter, and rows that fit no learned language, go.
+1. language_id: rows without a letter, and rows that fit no learned language, go: those of whose
+   n-grams the winning language's landmarks hold less than LEAST_SHARE of its usual share.
 2. ngram_jaccard: of every group of near duplicates (five-word shingles, Jaccard similarity 0.8 or
    more, groups by reachability) the row of smallest id stays; of rows equal in id and text, one.
    Rows without words are in no group and stay.
@@ -29,11 +30,15 @@ from riskloom.llm.common import crc_mod, filter_bits, may_hold_udf, stored, tabl
 #: Least language score (0.5: some language's output is neutral); words of a shingle and percent
 #: of similarity.
 LEAST_SCORE, WORDS, PERCENT = 0.25, 5, 80
+#: Least part of a language's usual share of known n-grams. Scores can't tell: unlearned scripts and
+#: random letters have 0.39 to 0.56, documents of sf0.1 0.35 and more. Shares can: 0.08 to 0.43 against
+#: 0.60 and more, with usual shares of about 0.85.
+LEAST_SHARE = 0.6
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
-    return langid.identified(docs, model, LEAST_SCORE)
+    return langid.identified(docs, model, LEAST_SCORE, least_share=LEAST_SHARE)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,11 @@ each language gives the Nystroem features; one-versus-rest kernel ridge regressi
 weight for each landmark and language. A batch of texts is scored by matrix products: presence
 rows times landmark rows give the kernel, times the weights the outputs.
 
+The outputs have no bias: a text that shares next to nothing with the landmarks scores about 0.5, and
+some texts of a learned language score less. What tells the two apart is the share of a text's n-grams
+that the landmarks of the winning language hold. ``identified`` can ask for a part of the share that
+all but USUAL of the language's labelled rows have (landmarks are measured against the others).
+
 Fitting takes a bounded sample of labelled rows (``max_rows``, the rows of lowest hash of each
 language); prediction covers all rows and whole texts. Null texts and texts without a letter are
 ``und`` with score 0, as is everything where there is nothing to learn from. Null ids stay null,
@@ -35,6 +40,9 @@ FOLD = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 SPACES = regex.compile(rb" +")
 #: Rows of presence held at once.
 ROWS = 128
+#: Quantile of the labelled rows of a language whose share of known n-grams is the language's usual one.
+#: A language of fewer labelled rows than FEW has none: they are no measure of its other texts.
+USUAL, FEW = 0.01, 10
 
 
 def presence(texts: list[str]) -> np.ndarray:
@@ -57,15 +65,31 @@ def kernel(rows: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     return (rows @ landmarks.T) / norm
 
 
+def shares(rows: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """The part of each row's n-grams that each row of ``held`` has."""
+    return (rows @ held.T) / np.maximum(rows.sum(1), 1)[:, None]
+
+
 @dataclass
 class Model:
     languages: list[str]
     landmarks: np.ndarray  # 0/1 rows, packed bits
     weights: np.ndarray    # landmark x language
+    held: np.ndarray       # n-grams that a language's landmarks hold, packed bits
+    usual: np.ndarray      # least usual share of them in a text of the language
+
+    def outputs(self, rows: np.ndarray) -> np.ndarray:
+        return kernel(rows, np.unpackbits(self.landmarks, axis=1).astype(np.float32)) @ self.weights
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        marks = np.unpackbits(self.landmarks, axis=1).astype(np.float32)
-        return kernel(presence(texts), marks) @ self.weights
+        return self.outputs(presence(texts))
+
+    def fits(self, rows: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """Shares of the rows' n-grams that their languages ``best`` hold, over the usual ones (1
+        where a language has no usual share)."""
+        own = shares(rows, np.unpackbits(self.held, axis=1).astype(np.float32))[np.arange(len(rows)), best]
+        usual = self.usual[best]
+        return np.where(usual > 0, own / np.where(usual > 0, usual, 1), 1)
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -77,7 +101,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         .where("lang is not null and text is not null")
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return Model([], np.zeros((0, SLOTS // 8), np.uint8), np.zeros((0, 0)))
+        none = np.zeros((0, SLOTS // 8), np.uint8)
+        return Model([], none, np.zeros((0, 0)), none, np.zeros(0))
     each = max(max_rows // len(counts), 1)
     names = sorted(counts)
     # a first cut by hash, a little above the number wanted, then the exact one
@@ -108,17 +133,27 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     w = 1 / np.bincount(of, minlength=len(names))[of][:, None]
     gram = kernel(full, full).astype(float)
     a = k.T @ (w * k) + ridge * gram + 1e-9 * np.eye(len(gram))
-    return Model(names, marks, np.linalg.solve(a, k.T @ (w * y)))
+    times = np.stack([full[of[:len(full)] == i].sum(0) for i in range(len(names))])
+    once, twice = ((times >= n).astype(np.float32) for n in (1, 2))
+    share = np.concatenate([shares(np.unpackbits(bits[i:i + ROWS], axis=1).astype(np.float32), once)
+                            for i in range(0, len(bits), ROWS)])
+    share[:len(full)] = shares(full, twice)  # without the landmark itself
+    share = share[np.arange(len(of)), of]
+    usual = np.array([np.quantile(share[of == i], USUAL) if (of == i).sum() >= FEW else 0 for i in range(len(names))])
+    return Model(names, marks, np.linalg.solve(a, k.T @ (w * y)), np.packbits(once.astype(bool), axis=1), usual)
 
 
 def _predictor(model: Model):
-    def f(texts: list) -> tuple[list[str], np.ndarray]:
+    def f(texts: list, fits: np.ndarray | None = None) -> tuple[list[str], np.ndarray]:
         lang, score = [NONE] * len(texts), np.zeros(len(texts))
         use = [i for i, t in enumerate(texts) if t and model.languages and LETTER.search(t)]
         for i in range(0, len(use), ROWS):
             at = use[i:i + ROWS]
-            out = model.scores([texts[j] for j in at])
+            rows = presence([texts[j] for j in at])
+            out = model.outputs(rows)
             best = out.argmax(1)
+            if fits is not None:
+                fits[at] = model.fits(rows, best)
             score[at] = np.clip((out.max(1) + 1) / 2, 0, 1)
             for j, b in zip(at, best.tolist()):
                 lang[j] = model.languages[b]
@@ -143,16 +178,18 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                       f"`{id_col}` {kind}, lang_pred string, score double", text_col)
 
 
-def identified(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are in some learned language with a score of ``least`` or more."""
+def identified(docs: DataFrame, model: Model, least: float, text_col: str = "text", least_share: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` that are in some learned language with a score of ``least`` or more and
+    of whose n-grams it holds ``least_share`` of its usual share or more."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _predictor(shared.value)
         for batch in batches:
             for part in slices(batch, text_col):
-                lang, score = own(part.column(text_col).to_pylist())
-                keep = np.array([x != NONE for x in lang], bool) & (score >= least)
+                fits = np.zeros(part.num_rows)
+                lang, score = own(part.column(text_col).to_pylist(), fits)
+                keep = np.array([x != NONE for x in lang], bool) & (score >= least) & (fits >= least_share)
                 yield part.filter(pa.array(keep))
 
     return map_batches(docs, run, docs.schema)

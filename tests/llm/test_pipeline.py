@@ -1,8 +1,10 @@
+import base64
+import random
 from collections import Counter
 
 import corpus_pipeline as P
 import public_tokenizers
-from conftest import SF_SMALL
+from conftest import SF_MID, SF_SMALL
 from helpers import no_docs, odd_docs
 from test_ngram_join import brute
 from test_secrets import plain
@@ -49,6 +51,24 @@ def test_stages_against_brute_force(spark):
     assert all(bytes(r.decoded).decode() == texts[r.doc_id] for r in bpe.decode(ids_df, path).collect())
 
 
+def test_texts_of_no_learned_language_go(spark):
+    rng = random.Random(3)
+    foreign = ["ภาษาไทยเป็นภาษาที่มีระดับเสียงของคำแน่นอนหรือวรรณยุกต์", "Все люди рождаются свободными и равными в своём достоинстве",
+               "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心", "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια",
+               "Wszyscy ludzie rodzą się wolni i równi pod względem swojej godności i swych praw.",
+               base64.b64encode(rng.randbytes(300)).decode()]
+    foreign += [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(n))
+                for n in (12, 40, 100, 400)]
+    clean = ["All human beings are born free and equal in dignity and rights.", "the dog and the cat",
+             "Alle Menschen sind frei und gleich an Würde und Rechten geboren."]
+    docs = table(spark, SF_MID, "documents").select("doc_id", "text", "lang")
+    more = [(10**9 + i, t, None) for i, t in enumerate(foreign)] + [(2 * 10**9 + i, t, None) for i, t in enumerate(clean)]
+    got = P.language_id(spark, docs.union(spark.createDataFrame(more, docs.schema)), SF_MID).collect()
+    assert [r.text for r in got if 10**9 <= r.doc_id < 2 * 10**9] == []
+    assert {r.doc_id for r in got} == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")} | {
+        2 * 10**9 + i for i in range(len(clean))}
+
+
 def test_odd_rows_go_through_every_stage(spark):
     docs = odd_docs(spark)
     sizes = {}

@@ -123,12 +123,14 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def hashed_words(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, hash) of every word: a polynomial in its bytes, out of running sums."""
+def hashed_words(joined: bytes, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of every word: a polynomial in its bytes, out of running sums. Words are also
+    cut before the bytes marked in ``breaks``."""
     buf = np.frombuffer(joined, np.uint8)
     space = SPACE[buf]
-    start = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-    end = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
+    ahead = space if breaks is None else space | breaks
+    start = np.flatnonzero(~space & np.concatenate([[True], space[:-1] if breaks is None else space[:-1] | breaks[1:]]))
+    end = np.flatnonzero(~space & np.concatenate([ahead[1:], [True]])) + 1
     power, inverse = _powers()
     h = np.zeros(len(start), np.uint64)
     for a in range(0, len(buf), BLOCK):

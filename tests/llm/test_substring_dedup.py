@@ -54,6 +54,33 @@ def test_long_sentence_without_stops(spark):
     assert sum(words[w] > 1 for w in passage.split()) < 30  # all but the ends of the passage
 
 
+def test_short_lines_and_unspaced_text(spark):
+    """Passages of 60 words in sentences or lines of 2 and 3 words, and of scripts without spaces, go whole."""
+    rng = random.Random(5)
+
+    def short(end):
+        return end.join(" ".join(f"k{rng.randrange(10**6)}" for _ in range(n)) for n in [2, 3] * 12) + end
+
+    def signs(first, n, many):
+        return "".join(chr(first + rng.randrange(many)) for _ in range(n))
+
+    passages = [short(". "), short("\n"), short("!\n"), "".join(signs(0x4E00, rng.randrange(3, 30), 5000) + "。" for _ in range(12)),
+                "\n".join(signs(0x3041, 8, 80) for _ in range(12)), " ".join(signs(0x0E01, 20, 46) for _ in range(8)) + ".",
+                " ".join([f"k{rng.randrange(10**6)} w{i}." for i in range(5)] + [f"{prose(rng, 9)} {rng.random()} end."] * 1
+                         + [f"t{rng.randrange(10**6)}." for _ in range(4)])]
+    for k, passage in enumerate(passages):
+        rows = [(i, f"{prose(rng, 36, [f'o{i}x{j}' for j in range(900)])}\n{passage}\nZ{i} {prose(rng, 36, [f'q{i}x{j}' for j in range(900)])}")
+                for i in range(4)]
+        r = out(spark.createDataFrame(rows, "doc_id bigint, text string"))
+        assert r[0].text == rows[0][1] and r[0].n_removed == 0
+        for i, text in rows[1:]:
+            before, after = text.split(passage)
+            assert r[i].text.split() == (before + after).split(), (k, i)
+            assert r[i].first_in == [0]
+    few = [(i, f"a{i} b. Yes. No. Oh. z{i} c.") for i in range(3)]  # fewer than 12 words in common
+    assert all(x.n_removed == 0 for x in out(spark.createDataFrame(few, "doc_id bigint, text string")).values())
+
+
 def test_odd_rows(spark):
     got = substring_dedup.dedup(odd_docs(spark)).collect()
     assert len(got) == len(odd_rows())

@@ -4,7 +4,9 @@ Three patterns give the base spans. The method adds strings in a sensitive conte
 compressor can't explain: for each candidate, the text around it is compressed with and without
 the candidate, primed with a dictionary of common identifiers; the marginal bytes over the
 candidate's length are its novelty. Words and identifiers that the dictionary or the surrounding
-text holds cost little, keys and random strings cost about their length.
+text holds cost little, keys and random strings cost about their length. ``scan`` and ``redact`` leave
+other copies of a candidate out of the text around it, so a secret written twice doesn't explain itself.
+The lines of a key that fill several lines are one candidate.
 
 Spans are in code points, end exclusive. A null or empty text has none; a null id stays null;
 repeated rows give repeated rows; an empty table gives no rows; columns other than the id and the
@@ -32,11 +34,15 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 MIN_ASSIGN, MIN_ACCESS = 8, 16
 
-#: Words that make what follows them on their line sensitive.
+#: Words that make what follows them, on their line or the next ones, sensitive.
 SENSITIVE = re.compile(r"pass(?:word|wd|phrase)|pwd|secret|token|credential|bearer|authorization"
                        r"|private[ _-]?key|api[ _-]?key|access[ _-]?key|client[ _-]?key|signature",
                        re.IGNORECASE | re.ASCII)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+#: Key characters; the lines below that are made of them alone go on, a shorter one before the end mark of a
+#: key too.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_=.~-]{16,}(?=[\x20\t]*(?:\r?\n|\Z)))*"
+                       r"(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_=.~-]+(?=[\x20\t]*\r?\n[\x20\t]*-----END))?")
+LINE = re.compile(r"[A-Za-z0-9+/_=.~-]+")
 #: Reach of a sensitive word, code points of context on either side, least novelty (marginal
 #: bytes for each byte of the candidate).
 REACH, AROUND, NOVELTY = 80, 512, 0.8
@@ -78,15 +84,22 @@ class Novelty:
         self.size = lambda b, c=zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False,
                                                          write_checksum=False, write_dict_id=False): len(c.compress(b))
 
-    def of(self, text: str, start: int, end: int) -> float:
-        """Marginal compressed bytes of ``text[start:end]`` after its surroundings, per byte."""
-        around = (text[max(0, start - AROUND):start] + text[end:end + AROUND]).encode()
-        own = text[start:end].encode()
-        return (self.size(around + own) - self.size(around)) / len(own)
-
-
-def find(text: str, novelty: Novelty) -> list[tuple[str, int, int]]:
-    """All spans (kind, start, end) of one text, by start, then kind."""
+    def of(self, text: str, start: int, end: int, lines: list[tuple[int, int]] | None = None, copies: bool = True) -> float:
+        """Marginal compressed bytes of ``text[start:end]``, or of the ``lines`` in it, after its
+        surroundings, per byte; without ``copies``, other copies of a line are taken out of these."""
+        sides = text[max(0, start - AROUND):start], text[end:end + AROUND]
+        cost = length = 0
+        for a, b in lines or [(start, end)]:
+            own = text[a:b]
+            around = "".join(sides if copies else (x.replace(own, "") for x in sides)).encode()
+            cost += self.size(around + own.encode()) - self.size(around)
+            length += len(own.encode())
+        return cost / length
+
+
+def find(text: str, novelty: Novelty, copies: bool = True) -> list[tuple[str, int, int]]:
+    """All spans (kind, start, end) of one text, by start, then kind; ``copies``: whether other copies
+    of a candidate in its surroundings explain it."""
     if not text:
         return []
     spans = []
@@ -98,13 +111,14 @@ def find(text: str, novelty: Novelty) -> list[tuple[str, int, int]]:
     spans += [("hex", *m.span()) for m in HEX.finditer(text)]
     base, at = sorted(spans, key=lambda s: s[1]), 0
     for m in SENSITIVE.finditer(text):
-        stop = text.find("\n", m.end())
-        stop = min(m.end() + REACH, len(text) if stop < 0 else stop)
+        stop = min(m.end() + REACH, len(text))
         at = max(at, m.end())
         while at < stop and (c := CANDIDATE.search(text, at)) and c.start() < stop:
             at = c.end()
-            if not any(a < c.end() and c.start() < b for _, a, b in base) and novelty.of(text, *c.span()) >= NOVELTY:
-                spans.append(("novel", *c.span()))
+            lines = [x.span() for x in LINE.finditer(text, *c.span())]
+            lines = [(i, j) for i, j in lines if not any(a < j and i < b for _, a, b in base)]
+            if lines and novelty.of(text, *c.span(), lines, copies) >= NOVELTY:
+                spans += [("novel", i, j) for i, j in lines]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
@@ -116,7 +130,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         novelty = Novelty(IDENTIFIERS)
 
         def f(batch: pa.RecordBatch) -> dict:
-            spans = [[{"kind": k, "start": a, "end": b} for k, a, b in find(t or "", novelty)]
+            spans = [[{"kind": k, "start": a, "end": b} for k, a, b in find(t or "", novelty, copies=False)]
                      for t in batch.column(text_col).to_pylist()]
             return {id_col: batch.column(id_col), "spans": spans}
         return f
@@ -133,7 +147,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text") -> D
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             for part in slices(batch, text_col):
-                texts = [t and cover(t, find(t, novelty), mark) for t in part.column(at).to_pylist()]
+                texts = [t and cover(t, find(t, novelty, copies=False), mark) for t in part.column(at).to_pylist()]
                 yield part.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
     return map_batches(docs, run, docs.schema)

@@ -1,3 +1,4 @@
+import base64
 import random
 import re
 
@@ -42,6 +43,23 @@ def test_novelty(novelty):
     assert secrets.find(f"no context {KEY}", novelty) == []
 
 
+def test_copies_and_lines(spark, novelty):
+    rng = random.Random(7)
+    key = [base64.b64encode(rng.randbytes(48)).decode() for _ in range(25)] + ["q8Zk3w=="]
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(key) + "\n-----END RSA PRIVATE KEY-----\n"
+    texts = [f"see {KEY} and {KEY} again, bearer {KEY}", f"bearer {KEY}\nretry with bearer {KEY}\n", f"Some text.\n{pem}And more.",
+             f"database:\n  password: |\n    {KEY}\n  host: local\n", pem.replace("\n", "\r\n"), f"token = {key[0]}\n{key[1]}\n{key[2]}\nend"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: [r.start for r in r.spans if r.kind == "novel"] for r in secrets.scan(docs).collect()}
+    assert got[0] == [texts[0].rindex(KEY)] and got[1] == [texts[1].index(KEY), texts[1].rindex(KEY)]
+    assert got[2] == [texts[2].index(x) for x in key] and got[3] == [texts[3].index(KEY)]
+    out = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert not any(x in t for i, t in out.items() if i for x in [KEY, *key])
+    assert out[3] == "database:\n  password: |\n    [SECRET]\n  host: local\n"
+    prose = "the private key\nis kept by the authorization_server_configuration\nadministrator_of_the_application\n"
+    assert secrets.find(prose, novelty, copies=False) == []
+
+
 def test_scan_and_redact(spark):
     docs = odd_docs(spark).union(odd_docs(spark).limit(1).selectExpr(
         "20L as doc_id", f"'é token = {KEY} end' as text", *odd_docs(spark).columns[2:]))

@@ -134,14 +134,19 @@ class WordIds:
 
     Words of Latin letters, and the runs of other ASCII words, need neither the vocabulary's
     normalizer nor its pattern and go to a copy of the tokenizer without them, many in a line;
-    each of them ends in a token that ends a word. All other words take the tokenizer as it is."""
+    each of them ends in a token that ends a word. All other words take the tokenizer as it is.
 
-    def __init__(self, path: str):
+    Strings of added tokens in a text are ordinary text, or with ``added`` those tokens, as the
+    library has it: texts with one go to the unchanged tokenizer as a whole."""
+
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.whole, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
         for t in (self.whole, self.plain):
             t.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library = Tokenizer.from_file(path) if added else None
+        self.added = [t.content.lower().encode() for t in self.whole.get_added_tokens_decoder().values()] if added else []
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -184,19 +189,29 @@ class WordIds:
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids per text)."""
         words: list[bytes] = []
-        cuts = [0]
-        for t in texts:
-            words += spaced(t.lower()).split()
+        cuts, own = [0], {}
+        for i, t in enumerate(texts):
+            low = t.lower()
+            if any(a in low for a in self.added):
+                own[i] = np.array(self.library.encode(t.decode(), add_special_tokens=False).ids, np.int32)
+            else:
+                words += spaced(low).split()
             cuts.append(len(words))
         at = self.memo.rows(words)
         ends = np.concatenate([[0], np.cumsum(self.memo.n[at], dtype=np.int64)])
-        return self.memo.gather(at), np.diff(ends[cuts])
+        flat, n = self.memo.gather(at), np.diff(ends[cuts])
+        if own:
+            parts = np.split(flat, np.cumsum(n)[:-1])
+            for i, ids in own.items():
+                parts[i], n[i] = ids, len(ids)
+            flat = np.concatenate(parts)
+        return flat, n
 
 
 @lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, added: bool = False) -> WordIds:
     """One for all tasks of a worker process, so that a later task finds the words of earlier ones."""
-    return WordIds(path)
+    return WordIds(path, added)
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id",
@@ -207,7 +222,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str
     names = ["part", "segment", "n_tokens", "ids", "lengths", "payload"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, segment = word_ids(vocabulary), TaskContext.get().partitionId(), 0
+        coder, part, segment = word_ids(vocabulary, added=True), TaskContext.get().partitionId(), 0
         keys, ids, lengths, held = [], [], [], 0
 
         def close():

@@ -44,6 +44,29 @@ def test_words_equal_library_on_any_text(text):
     assert token_store.word_ids(PATH).of([text.encode()])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+ADDED = ["a <|endoftext|> b", "<|endoftext|>", "<|ENDOFTEXT|> x", "x<|startoftext|>y <|endoftext|><|endoftext|>.", "<| endoftext|> <|", "no mark, at all."]
+
+
+def test_added_tokens_as_in_the_library(spark, tmp_path):
+    tokenizer = Tokenizer.from_file(PATH)
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in ADDED]
+    assert want[0] == [320, 49407, 321]
+    ids, n = token_store.word_ids(PATH, added=True).of([t.encode() for t in ADDED])
+    assert ids.tolist() == sum(want, []) and n.tolist() == [len(x) for x in want]
+    path = str(tmp_path / "tokens")
+    token_store.write(spark.createDataFrame(list(enumerate(ADDED)), "doc_id bigint, text string"), path, PATH, end_id=1)
+    got = {r.doc_id: np.frombuffer(bytes(r.tokens), "<u4").tolist() for r in token_store.read(spark, path).collect()}
+    assert got == {i: x + [1] for i, x in enumerate(want)}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", " ", "a", "É.", "'s", "日", "\n"]), max_size=12))
+def test_added_tokens_anywhere(parts):
+    text = "".join(parts)
+    assert token_store.word_ids(PATH, added=True).of([text.encode()])[0].tolist() == \
+        Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+
+
 def test_store_equals_library(spark, tmp_path):
     tokenizer = Tokenizer.from_file(PATH)
     path = str(tmp_path / "tokens")

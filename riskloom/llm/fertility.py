@@ -3,7 +3,8 @@
 Base counts come from the words and lines of a text. The method tokenizes the words with a public
 vocabulary that falls back to bytes and measures, over the whole text, code points per token, the
 share of byte-fallback tokens and the entropy of the token ids; a text is rejected where one of
-them lies outside the band of its script. Each distinct word is tokenized once a task; a text's
+them lies outside the band of its script, however short it is (the entropy asked of a short text is less).
+Each distinct word is tokenized once a task; a text's
 tokens are those of its words.
 
 Null and empty texts have no words, fail the base rules and aren't kept. Null ids stay null,
@@ -48,9 +49,9 @@ BANDS = {
     "semitic": Band(0.5, 5.0, 0.60, 3.5),
     "indic": Band(0.3, 5.0, 0.90, 3.0),
     "east_asian": Band(0.25, 3.0, 0.95, 3.0),
-    "other": Band(0.2, 8.0, 1.00, 2.5),
+    "other": Band(0.2, 8.0, 0.90, 2.5),
 }
-#: Texts with fewer tokens are too short for their bands and pass.
+#: The entropy floor holds from so many tokens on; below, it falls as the most that a text's tokens can have.
 LEAST_TOKENS = 50
 #: Distinct words whose tokens a task keeps before it starts anew.
 WORDS = 500_000
@@ -161,13 +162,14 @@ def measure(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
             per, share = chars / some, in_bytes / some
             low, high, most, least = (np.array([getattr(bands[s], n) for s in scripts]) for n in
                                       ("least_chars", "most_chars", "most_bytes", "least_entropy"))
+            least = least * np.minimum(np.log2(some) / np.log2(LEAST_TOKENS), 1)
             inside = (per >= low) & (per <= high) & (share <= most) & (entropy >= least)
             return {id_col: batch.column(id_col), "n_words": counts, "word_chars": chars,
                     "n_symbols": [len(t) - len(t.translate(None, SYMBOLS)) for t in texts],
                     "n_dup_lines": [repeated_lines(t) for t in texts], "n_repeat_words": repeated,
                     "base_failed": failed, "script": scripts, "n_tokens": tokens, "chars_per_token": per,
                     "byte_share": share, "entropy": entropy,
-                    "kept": ~failed & (inside | (tokens < LEAST_TOKENS))}
+                    "kept": ~failed & inside}
         return f
 
     return map_slices(docs.select(id_col, text_col), make, schema, text_col)

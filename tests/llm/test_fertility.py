@@ -50,6 +50,25 @@ def test_measures_are_those_of_the_words(spark):
     assert got[4].kept and not got[2].kept and got[3].script == "east_asian"
 
 
+def test_bands_hold_at_every_length(spark):
+    rng = random.Random(1)
+
+    def junk(n):
+        return " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randrange(2, 7))) for _ in range(n))
+
+    def signs(n):
+        return " ".join("".join(chr(0xE000 + rng.randrange(3000)) for _ in range(6)) for _ in range(n))
+
+    bad = [junk(12), junk(14), junk(40), junk(200), signs(12), signs(60), " ".join(["same", "word"] * 6)]
+    good = ["All human beings are born free and equal in dignity and rights", "The weather was fine and we walked along the river until dark, "
+            "then went home and had our supper by the fire while the children told us what they had seen in the woods that day, and nobody slept before midnight",
+            "የሰው ልጅ ሁሉ ሲወለድ ነጻና በክብርና በመብትም እኩልነት ያለው ነው። የተፈጥሮ ማስተዋልና ሕሊና ስላለው አንዱ ሌላውን በወንድማማችነት መንፈስ መመልከት ይገባዋል"]
+    got = {r.doc_id: r for r in fertility.measure(spark.createDataFrame(list(enumerate(bad + good)), "doc_id bigint, text string"), PATH).collect()}
+    assert min(got[i].n_tokens for i in (0, 1)) >= 10 and max(got[i].n_tokens for i in (0, 1)) < 50 <= got[2].n_tokens
+    assert not any(got[i].kept for i in range(len(bad)))
+    assert all(got[len(bad) + i].kept for i in range(len(good)))
+
+
 def test_odd_rows(spark):
     got = fertility.measure(odd_docs(spark), PATH).collect()
     assert sorted(str(tuple(r[c] for c in ("doc_id", *BASE))) for r in got) == sorted(

@@ -288,20 +288,26 @@ def components(edges: DataFrame) -> DataFrame:
 FILTER_BITS = 24
 
 
-def filter_bits(hashes: DataFrame, col: str) -> np.ndarray:
-    """A bitmap of 2^FILTER_BITS bits with the low bits of every 64-bit hash in ``col`` set; its
-    size is fixed whatever the data."""
-    low = F.pmod(F.col(col), F.lit(1 << FILTER_BITS))
+def bits_for(n: int) -> int:
+    """Bits of a filter over ``n`` hashes as a power of two: about 16 a hash, from 2^20 up to 2^28
+    (32 MB, whatever the data)."""
+    return min(max(20, (16 * n).bit_length()), 28)
+
+
+def filter_bits(hashes: DataFrame, col: str, size: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap of 2^``size`` bits with the low bits of every 64-bit hash in ``col`` set; its
+    size doesn't depend on the hashes."""
+    low = F.pmod(F.col(col), F.lit(1 << size))
     bits = (hashes.select(low.alias("p")).groupBy(F.expr("p div 64").alias("at"))
             .agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits")).toArrow())
-    out = np.zeros(1 << FILTER_BITS >> 6, np.int64)
+    out = np.zeros(1 << size >> 6, np.int64)
     out[bits["at"].to_numpy()] = bits["bits"].to_numpy()
     return out
 
 
 def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which of the 64-bit hashes may be in the bitmap (those in it surely are)."""
-    low = hashes.astype(np.int64) & ((1 << FILTER_BITS) - 1)
+    low = hashes.astype(np.int64) & (64 * len(bits) - 1)
     return (bits[low >> 6] >> (low & 63) & 1).astype(bool)
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from riskloom.session import checkpoint_dir
 
-from . import bpe, embedding_dedup, fertility, langid, mixing, ngram_join, rule_quality, secrets, substring_dedup, token_store
+from . import (bpe, embedding_dedup, fertility, langid, line_dedup, mixing, ngram_join, rule_quality, secrets, spelling,
+               substring_dedup, token_store, whitening)
 from .common import crc_mod, stored, table
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -111,8 +112,30 @@ def op10_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_pivotal_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of ``documents`` of five code points and three occurrences or more, with their near words, form
+    and root."""
+    return spelling.group(spelling.words(table(spark, sf_dir, "documents")))
+
+
+def op12_cholesky_jacobi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``embeddings`` whitened on the four leading components of the distinct integer vectors. A deviation
+    beyond a long is null."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4).select(
+        "vec_id", "component", "n", F.expr("try_cast(deviation as bigint)").alias("deviation"), "whitened", "explained",
+        "identity_error")
+
+
+def op13_line_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` without the lines whose key ten documents or more hold: lines before, lines dropped,
+    digest of what is kept."""
+    return line_dedup.dedup(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sentence_spans, op2_grouped_prefix_join, op3_sparse_rules, op4_mix_to_weights, op5_pca_tiles,
     op6_tokenizer_fertility, op7_string_kernel_language, op8_directly_addressable, op9_secret_novelty,
-    op10_bpe_merge_replay)}
-ORACLES: dict[str, str] = {"op4_mix_to_weights": mixing.ORACLE}
+    op10_bpe_merge_replay, op11_pivotal_grams, op12_cholesky_jacobi, op13_line_hashes)}
+ORACLES: dict[str, str] = {"op4_mix_to_weights": mixing.ORACLE, "op11_pivotal_grams": spelling.ORACLE,
+                           "op13_line_hashes": line_dedup.ORACLE}

@@ -8,11 +8,11 @@ times or more, are compared.
 Join. Bigrams are ordered by how many words hold them, rare ones first. A word's prefix is its three first
 bigrams, with every further place of the last of them; dynamic programming over its places chooses two
 disjoint bigrams of the prefix with the least count, the pivots. One edit leaves one of two disjoint
-bigrams whole, moved by the difference in length if it stands behind the edit and not at all before it. So
-of two words one edit apart, the one whose last prefix bigram is not the later one has a pivot that is in
-the other's prefix, at a place 0 or the difference in length away. One edit also leaves the first or the
-last half of the shorter word as it was; the join key is the bigram, both lengths and the hash of either half,
-so groups of equal keys stay small where common bigrams don't. Pairs are verified by edit distance.
+bigrams whole. So of two words one edit apart, the one whose last prefix bigram is not the later one has a
+pivot that is in the other's prefix, at the same place from the start with all before it unchanged, or at the
+same place from the end with all behind it unchanged. The join key is both lengths, that place and the hash of
+what is unchanged there, with that half of the remaining side which the edit doesn't lie in, so groups of equal keys
+stay small where common bigrams don't. Pairs that meet are compared by a signature and verified by edit distance.
 
 A word's form is its near word of largest n (ties: the smallest in code-point order) if that n is at least
 ``ratio`` times the word's own, else null; its root is the end of the chain of forms.
@@ -40,8 +40,10 @@ OTHER = re.compile(rb"[\xc2\xc4-\xf7][\x80-\xbf]+")
 LETTERS = bytes(b if 0x61 <= b <= 0x7A or b == 0xC3 or 0x80 <= b <= 0xBF else 0x20 for b in range(256))
 #: Disjoint bigrams that are pivots, bigrams of a prefix; buckets of the bigram counts; words worked on together.
 PIVOTS, PREFIX, BUCKETS, BATCH = 2, 3, 1 << 16, 4096
-#: A word's own steps to a near word's length; an odd number that sets lengths apart in a key.
+#: A word's own steps to a near word's length; an odd number that sets places apart in a key.
 STEPS, SPREAD = (-1, 0, 1), 0x9E3779B97F4A7C15
+#: Code points of words of one length worked on together.
+POINTS = 1 << 20
 
 
 def runs(text: bytes) -> list[bytes]:
@@ -135,8 +137,10 @@ def _by_length(found: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, code points as a matrix) of the words of each length."""
     size = np.fromiter(map(len, found), np.int64, len(found))
     for length in np.unique(size).tolist():
-        at = np.flatnonzero(size == length)
-        yield at, np.frombuffer("".join(found[i] for i in at).encode("utf-32-le"), "<u4").reshape(-1, length).astype(np.uint64)
+        of = np.flatnonzero(size == length)
+        few = max(POINTS // length, 1)
+        for at in (of[s:s + few] for s in range(0, len(of), few)):
+            yield at, np.frombuffer("".join(found[i] for i in at).encode("utf-32-le"), "<u4").reshape(-1, length).astype(np.uint64)
 
 
 def _bigrams(points: np.ndarray) -> np.ndarray:
@@ -192,21 +196,45 @@ def pivots(cost: np.ndarray, k: int = PIVOTS) -> np.ndarray:
     return out
 
 
-def _halves(points: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the first and of the last ``size`` code points."""
-    out = []
-    for side, part in ((1, points[:, :size]), (2, points[:, points.shape[1] - size:])):
-        h = np.full(len(points), side, np.uint64)
-        for c in range(size):
-            h = mix(h + part[:, c])
-        out.append(h)
+def _sides(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first and of the last 0, 1, 2, ... code points of every word."""
+    n, length = points.shape
+    out = np.empty((2, length + 1, n), np.uint64)
+    out[0, 0], out[1, 0] = 1, 2
+    for c in range(length):
+        out[0, c + 1] = mix(out[0, c] + points[:, c])
+        out[1, c + 1] = mix(out[1, c] + points[:, length - 1 - c])
     return out[0], out[1]
 
 
+def place_keys(first: np.ndarray, last: np.ndarray, i: np.ndarray, p: np.ndarray, pair: tuple[int, int],
+               length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word, key) for the bigrams at places ``p`` of words ``i``, if they are to be whole in a pair of words of the
+    lengths ``pair``: keys with the bigram at its place from the start and all before it, and keys with its place from
+    the end and all behind it. What is left on the other side of the bigram holds the edit, which leaves one of its
+    halves as it is: a key each."""
+    for side, (own, other, reach) in enumerate(((first, last, p + 2), (last, first, length - p))):
+        at = np.flatnonzero(reach <= min(pair))
+        j, reach = i[at], reach[at]
+        half = (min(pair) - reach) // 2
+        tag = reach.astype(np.uint64) * np.uint64(SPREAD) + np.uint64((4 * pair[0] + pair[1] - pair[0] + 1) * 2 + side)
+        yield j, mix(mix(own[reach + half, j]) + tag)
+        more = half > 0
+        j, reach, half = j[more], reach[more], half[more]
+        yield j, mix(mix(own[reach, j]) + mix(other[half, j] + tag[more]))
+
+
+def signatures(points: np.ndarray) -> np.ndarray:
+    """Parities of the code points in 32 bits and of the bigrams in 32 more. One edit turns at most two of the former and
+    four of the latter."""
+    letters = np.bitwise_xor.reduce(np.uint64(1) << (mix(points.copy()) & np.uint64(31)), axis=1)
+    pairs = np.bitwise_xor.reduce(np.uint64(1) << (mix(_bigrams(points)) & np.uint64(31)), axis=1)
+    return letters | pairs << np.uint64(32)
+
+
 def _keys(found: DataFrame, counts: np.ndarray, index: bool) -> DataFrame:
-    """(key, w, last, at, to) of ``found`` (w, word): the places ``at`` of every word's prefix (``index``) or of its pivots,
-    once for each length a near word may have and each half; ``to`` is the place moved by the difference in length,
-    ``last`` the word's last prefix bigram in the order."""
+    """(key, w, last, sig) of ``found`` (w, word): the places of every word's prefix (``index``) or of its pivots, once for
+    each length a near word may have; ``last`` is the rank of the word's last prefix bigram."""
     shared = found.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,37 +248,34 @@ def _keys(found: DataFrame, counts: np.ndarray, index: bool) -> DataFrame:
                     grams = _bigrams(points)
                     bucket = _bucket(grams)
                     order = rank[bucket] << np.uint64(42) | grams
-                    last = np.partition(order, PREFIX - 1, axis=1)[:, PREFIX - 1]
-                    inside = order <= last[:, None]
+                    end = np.partition(order, PREFIX - 1, axis=1)[:, PREFIX - 1]
+                    inside = order <= end[:, None]
                     if index:
                         i, p = np.nonzero(inside)
                     else:
                         p = pivots(np.where(inside, shared.value[bucket], np.inf))
                         i, p = np.repeat(np.arange(len(p)), p.shape[1]), p.ravel()
-                    halves = {size: _halves(points, size) for size in {length // 2, (length - 1) // 2, (length + 1) // 2}}
-                    gram, keys, to = mix(grams[i, p]), [], []
-                    for step in STEPS:
-                        pair = (length + step, length) if index else (length, length + step)
-                        for half in halves[min(pair) // 2]:
-                            keys.append(mix(gram + half[i] + np.uint64(pair[0] * SPREAD + pair[1] & 0xFFFFFFFFFFFFFFFF)))
-                            to.append(p + step)
-                    n = len(keys)
+                    first, last = _sides(points)
+                    of, keys = zip(*[x for step in STEPS for x in place_keys(
+                        first, last, i, p, (length + step, length) if index else (length, length + step), length)])
+                    of = np.concatenate(of)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(w[rows][i], n)),
-                         pa.array(np.tile(last.astype(np.int64)[i], n)), pa.array(np.tile(p, n).astype(np.int32)),
-                         pa.array(np.concatenate(to).astype(np.int32))], names=["key", "w", "last", "at", "to"])
+                        [pa.array(np.concatenate(keys).view(np.int64)), pa.array(w[rows][of]),
+                         pa.array((end >> np.uint64(42)).astype(np.int32)[of]), pa.array(signatures(points).view(np.int64)[of])],
+                        names=["key", "w", "last", "sig"])
 
-    return map_batches(found.select("w", "word"), run, "key bigint, w bigint, last bigint, at int, to int")
+    return map_batches(found.select("w", "word"), run, "key bigint, w bigint, last int, sig bigint")
 
 
 def near_pairs(found: DataFrame) -> DataFrame:
     """(a, b), a < b: the words of ``found`` (w, word, ...) one inserted, deleted or replaced code point apart."""
     counts = gram_counts(found)
     own = _keys(found, counts, False)
-    other = _keys(found, counts, True).select(F.col("key").alias("key2"), F.col("w").alias("w2"), F.col("last").alias("last2"),
-                                              F.col("at").alias("at2"))
-    met = own.join(other, (F.col("key") == F.col("key2")) & (F.col("w") != F.col("w2")) & (F.col("last") <= F.col("last2"))
-                   & F.col("at2").isin(F.col("at"), F.col("to")))
+    other = _keys(found, counts, True).withColumnsRenamed({"key": "key2", "w": "w2", "last": "last2", "sig": "sig2"})
+    turned = F.col("sig").bitwiseXOR(F.col("sig2"))
+    # sizes are estimated from the words, which the keys exceed many times: not to be broadcast
+    met = own.join(other.hint("merge"), (F.col("key") == F.col("key2")) & (F.col("w") != F.col("w2")) & (F.col("last") <= F.col("last2"))
+                   & (F.bit_count(turned.bitwiseAND(0xFFFFFFFF)) <= 2) & (F.bit_count(F.shiftrightunsigned(turned, 32)) <= 4))
     maybe = met.select(F.least("w", "w2").alias("a"), F.greatest("w", "w2").alias("b")).distinct()
     one, two = (found.select(F.col("w").alias(c), F.col("word").alias(f"word_{c}")) for c in "ab")
     return maybe.join(one, "a").join(two, "b").where(F.levenshtein("word_a", "word_b", 1) == 1).select("a", "b")

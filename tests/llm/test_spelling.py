@@ -105,7 +105,7 @@ def test_long_words_and_chains(spark):
     found = {"x" * 30_000: 3, "x" * 30_001: 9, "x" * 29_999 + "y": 4, "chain": 3, "chainb": 6, "chainbc": 12, "chainbcd": 24, "chainbcde": 49}
     out = {r[0]: r for r in got(L.group(spark.createDataFrame(list(found.items()), "word string, n bigint")))}
     assert out["x" * 30_000][1:] == ("x" * 30_001, "x" * 30_001, 3, 2, 9)
-    assert out["x" * 29_999 + "y"][1:] == ("x" * 30_001, "x" * 30_001, 4, 2, 9) or out["x" * 29_999 + "y"][4] == 1
+    assert out["x" * 29_999 + "y"][1:] == (None, "x" * 29_999 + "y", 4, 1, None)
     assert out["chain"][2] == out["chainbcd"][2] == out["chainbcde"][2] == "chainbcde"
 
 

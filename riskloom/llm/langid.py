@@ -10,10 +10,11 @@ rows times landmark rows give the kernel, times the weights the outputs.
 The outputs have no bias: a text that shares next to nothing with the landmarks scores about 0.5, and
 some texts of a learned language score less. What tells the two apart is the share of a text's n-grams
 that the landmarks of the winning language hold. ``identified`` can ask for a part of the share that
-all but USUAL of the language's labelled rows have (landmarks are measured against the others).
+all but USUAL of the language's labelled rows have (landmarks are measured against the others), drawn towards
+that of all labelled rows where a language has few.
 
-Fitting takes a bounded sample of labelled rows (``max_rows``, the rows of lowest hash of each
-language); prediction covers all rows and whole texts. Null texts and texts without a letter are
+Fitting takes a bounded sample of labelled rows (``max_rows``, the rows of each language of lowest hash of
+id and text, rows equal in both once, ties by text); prediction covers all rows and whole texts. Null texts and texts without a letter are
 ``und`` with score 0, as is everything where there is nothing to learn from. Null ids stay null,
 repeated rows give repeated rows, an empty table gives no rows; other columns aren't read by
 ``predict`` and are passed through by ``identified``.
@@ -30,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, map_slices, slices
+from .common import map_batches, map_slices, slices, stored
 
 SLOTS = 1 << 15
 NONE = "und"
@@ -41,7 +42,7 @@ SPACES = regex.compile(rb" +")
 #: Rows of presence held at once.
 ROWS = 128
 #: Quantile of the labelled rows of a language whose share of known n-grams is the language's usual one.
-#: A language of fewer labelled rows than FEW has none: they are no measure of its other texts.
+#: That of all labelled rows counts as FEW rows beside a language's own.
 USUAL, FEW = 0.01, 10
 
 
@@ -86,7 +87,7 @@ class Model:
 
     def fits(self, rows: np.ndarray, best: np.ndarray) -> np.ndarray:
         """Shares of the rows' n-grams that their languages ``best`` hold, over the usual ones (1
-        where a language has no usual share)."""
+        where those are 0)."""
         own = shares(rows, np.unpackbits(self.held, axis=1).astype(np.float32))[np.arange(len(rows)), best]
         usual = self.usual[best]
         return np.where(usual > 0, own / np.where(usual > 0, usual, 1), 1)
@@ -97,20 +98,29 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """Fit on at most ``max_rows`` rows (as many for each language, those of lowest hash) with at
     most ``landmarks`` landmarks, also shared out among the languages."""
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
-                           F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 30)).alias("h")) \
-        .where("lang is not null and text is not null")
+                           F.xxhash64(F.col(id_col), F.col(text_col), F.lit(7)).alias("key")) \
+        .withColumn("h", F.pmod("key", F.lit(1 << 30))).where("lang is not null and text is not null")
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         none = np.zeros((0, SLOTS // 8), np.uint8)
         return Model([], none, np.zeros((0, 0)), none, np.zeros(0))
     each = max(max_rows // len(counts), 1)
     names = sorted(counts)
-    # a first cut by hash, a little above the number wanted, then the exact one
+
+    def lowest(some: DataFrame) -> DataFrame:
+        once = some.groupBy("lang", "h", "key").agg(F.min("text").alias("text"))
+        order = Window.partitionBy("lang").orderBy("h", "key")
+        return once.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).select("lang", "r", "text")
+
+    # a first cut by hash, a little above the number wanted, then the exact one; where repeated rows leave a
+    # language too few in the cut, it is ranked without one
     top = F.create_map(*[F.lit(x) for c in names for x in
                          (c, min(1 << 30, int((1 << 30) * (each * 1.5 + 50) / counts[c])))])
-    first = rows.where(F.col("h") < top[F.col("lang")])
-    best = first.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))) \
-        .where(F.col("r") <= each).select("lang", "r", "text")
+    best = stored(lowest(rows.where(F.col("h") < top[F.col("lang")])), "sample")
+    held = {r.lang: r["count"] for r in best.groupBy("lang").count().collect()}
+    short = [c for c in names if held.get(c, 0) < min(each, counts[c])]
+    if short:
+        best = best.where(~F.col("lang").isin(short)).union(lowest(rows.where(F.col("lang").isin(short))))
 
     def make():
         def f(batch: pa.RecordBatch) -> dict:
@@ -139,7 +149,15 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                             for i in range(0, len(bits), ROWS)])
     share[:len(full)] = shares(full, twice)  # without the landmark itself
     share = share[np.arange(len(of)), of]
-    usual = np.array([np.quantile(share[of == i], USUAL) if (of == i).sum() >= FEW else 0 for i in range(len(names))])
+    # a language's only landmark has no others to be measured against
+    alone = np.bincount(of[:len(full)], minlength=len(names)) < 2
+    known = ~alone[of] | (np.arange(len(of)) >= len(full))
+    pooled = np.quantile(share[known], USUAL) if known.any() else 0.0
+    usual = np.full(len(names), pooled)
+    for i in range(len(names)):
+        own = share[known & (of == i)]
+        if len(own):
+            usual[i] = (np.quantile(own, USUAL) * len(own) + pooled * FEW) / (len(own) + FEW)
     return Model(names, marks, np.linalg.solve(a, k.T @ (w * y)), np.packbits(once.astype(bool), axis=1), usual)
 
 

@@ -5,8 +5,9 @@ every path from a root to a node becomes a conjunctive rule over the statistics,
 regression over the rules keeps few of them, and those kept are compiled into one Spark column
 expression that scores all rows.
 
-Fitting takes at most ``max_rows`` labelled rows (those of lowest id hash), scoring all rows. Null
-and empty texts have zero for every statistic and are scored like others; null ids match no label;
+Fitting takes about ``max_rows`` labelled rows at most (those of lowest hash of id and statistics, rows equal in
+both once; where that would leave out a class, the lowest of each class), scoring all rows and whole texts, however
+long. Null and empty texts have zero for every statistic and are scored like others; null ids match no label;
 several labels of one id are averaged. Where there is nothing to learn from, or one class only, the
 score is the share of label 1 (0.5 without labels). Repeated rows give repeated rows, an empty
 table gives no rows; other columns are not read.
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import byte_texts, hashed_words, map_slices, stored
@@ -112,14 +113,19 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
            .agg(F.avg(F.col(label_col).cast("double")).alias("avg")))
     rows = stats.join(own, stats[id_col] == own["_id"]).select(
         *STATISTICS, F.expr("cast(avg >= 0.5 as double)").alias("label"),
-        F.pmod(F.xxhash64(id_col), F.lit(1 << 30)).alias("h"))
+        F.xxhash64(id_col, *STATISTICS, F.lit(7)).alias("key")).withColumn("h", F.pmod("key", F.lit(1 << 30)))
     rows = stored(rows, "labelled")
     total, ones = rows.agg(F.count("*"), F.sum("label")).first()
     if not total or ones in (0, total):
         share = ones / total if total else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
         return float(np.log(share / (1 - share))), []
-    rows = rows.where(F.col("h") < int((1 << 30) * min(1.0, max_rows / total)))
+    once = rows.dropDuplicates(["key", "label"])
+    some = stored(once.where(F.col("h") < int((1 << 30) * min(1.0, max_rows / total))), "sample")
+    if some.select("label").distinct().count() < 2:
+        order = Window.partitionBy("label").orderBy("h", "key")
+        some = stored(once.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(max_rows // 2, 1)).drop("r"), "sample")
+    rows = some
     train = VectorAssembler(inputCols=list(STATISTICS), outputCol="features").transform(rows)
     boosted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, maxBins=64, subsamplingRate=1.0,
                             featureSubsetStrategy="all", seed=5).fit(train.select("features", "label"))

@@ -1,23 +1,26 @@
 """Secret scans: fixed patterns, and dictionary-primed zstandard novelty.
 
 Three patterns give the base spans. The method adds strings in a sensitive context that the
-compressor can't explain: for each candidate, the text around it is compressed with and without
-the candidate, primed with a dictionary of common identifiers; the marginal bytes over the
-candidate's length are its novelty. Words and identifiers that the dictionary or the surrounding
-text holds cost little, keys and random strings cost about their length. ``scan`` and ``redact`` leave
+compressor can't explain: a candidate is compressed by itself, primed with a dictionary of common identifiers
+and the text around it; those marginal bytes over its length are its novelty. Words and identifiers that the
+dictionary or the surrounding text holds cost little, random strings as much as their characters allow: digits cost
+less than letters, so novelty is set against the size of the candidate's own alphabet. ``scan`` and ``redact`` leave
 other copies of a candidate out of the text around it, so a secret written twice doesn't explain itself.
-The lines of a key that fill several lines are one candidate.
+Candidates whose letters stand in runs that read like words (nearly all pairs of letters are in the dictionary or around)
+and that have few digits are names, paths or dates, not keys. The lines of a key that fill several lines are one candidate.
 
 Spans are in code points, end exclusive. A null or empty text has none; a null id stays null;
 repeated rows give repeated rows; an empty table gives no rows; columns other than the id and the
 text aren't read by ``scan`` and are passed through by ``redact``. Whole texts of any length are
-scanned.
+scanned, in time linear in their length.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from math import log2
 
 import pyarrow as pa
 import zstandard
@@ -43,9 +46,18 @@ SENSITIVE = re.compile(r"pass(?:word|wd|phrase)|pwd|secret|token|credential|bear
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_=.~-]{16,}(?=[\x20\t]*(?:\r?\n|\Z)))*"
                        r"(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_=.~-]+(?=[\x20\t]*\r?\n[\x20\t]*-----END))?")
 LINE = re.compile(r"[A-Za-z0-9+/_=.~-]+")
-#: Reach of a sensitive word, code points of context on either side, least novelty (marginal
-#: bytes for each byte of the candidate).
+RUN = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+LEAST = 16
+#: Reach of a sensitive word, code points of context on either side, least novelty: marginal bytes over those of a
+#: random string of the candidate's alphabet.
 REACH, AROUND, NOVELTY = 80, 512, 0.8
+#: Character classes and how many characters each has.
+ALPHABETS = ((re.compile("[0-9]"), 10), (re.compile("[a-f]"), 6), (re.compile("[g-z]"), 20), (re.compile("[A-F]"), 6),
+             (re.compile("[G-Z]"), 20), (re.compile("[+/_=.~-]"), 7))
+#: Names: digits at most, least letters of a run, least part of known pairs in a run and of letters in such runs.
+NAME_DIGITS, NAME_RUN, NAME_PAIRS, NAME_LETTERS = 8, 3, 0.75, 0.8
+LETTERS = re.compile("[a-z]+")
+
 
 #: Dictionary content: identifiers and words that code and configuration are made of.
 IDENTIFIERS = (
@@ -78,23 +90,79 @@ IDENTIFIERS = (
 )
 
 
+def _pairs(text: str) -> set[str]:
+    return {x[i:i + 2] for x in LETTERS.findall(text.lower()) for i in range(len(x) - 1)}
+
+
 class Novelty:
     def __init__(self, identifiers: str):
-        primed = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.size = lambda b, c=zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False,
-                                                         write_checksum=False, write_dict_id=False): len(c.compress(b))
-
-    def of(self, text: str, start: int, end: int, lines: list[tuple[int, int]] | None = None, copies: bool = True) -> float:
-        """Marginal compressed bytes of ``text[start:end]``, or of the ``lines`` in it, after its
-        surroundings, per byte; without ``copies``, other copies of a line are taken out of these."""
+        self.identifiers, self.pairs = identifiers.encode(), _pairs(identifiers)
+
+    def size(self, own: bytes, around: bytes) -> int:
+        """Compressed bytes of ``own`` after the dictionary and ``around``."""
+        primed = zstandard.ZstdCompressionDict(self.identifiers + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        c = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(c.compress(own)) - len(c.compress(b""))
+
+    def name(self, own: str, sides: str) -> bool:
+        """Whether nearly all letters stand in runs that read like words, with few digits (also: neither)."""
+        if sum(c.isdigit() for c in own) > NAME_DIGITS:
+            return False
+        if not any(c.isalnum() for c in own):
+            return True
+        known, good, letters = self.pairs | _pairs(sides), 0, 0
+        for run in LETTERS.findall(own.lower()):
+            letters += len(run)
+            if len(run) >= NAME_RUN and sum(run[i:i + 2] in known for i in range(len(run) - 1)) >= NAME_PAIRS * (len(run) - 1):
+                good += len(run)
+        return good > 0 and good >= NAME_LETTERS * letters
+
+    def found(self, text: str, start: int, end: int, lines: list[tuple[int, int]], copies: bool = True) -> bool:
+        """Whether the ``lines`` of ``text[start:end]`` cost as much as random strings would after what stands around
+        them; without ``copies``, other copies of a line are taken out of that."""
         sides = text[max(0, start - AROUND):start], text[end:end + AROUND]
-        cost = length = 0
-        for a, b in lines or [(start, end)]:
+        cost = random = 0.0
+        names = True
+        for a, b in lines:
             own = text[a:b]
-            around = "".join(sides if copies else (x.replace(own, "") for x in sides)).encode()
-            cost += self.size(around + own.encode()) - self.size(around)
-            length += len(own.encode())
-        return cost / length
+            around = "\n".join(sides if copies else (x.replace(own, "") for x in sides))
+            cost += self.size(own.encode(), around.encode())
+            random += len(own) * log2(max(sum(n for kind, n in ALPHABETS if kind.search(own)), 2)) / 8
+            names = names and self.name(own, around)
+        return cost >= NOVELTY * random and not names
+
+
+def _apart(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the spans' union, in order."""
+    starts, ends = [], []
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of key characters that begin within reach after a sensitive word, once each. The words and the runs of the
+    text are walked side by side."""
+    runs = (m.span() for m in RUN.finditer(text))
+    run, at = next(runs, None), 0
+    for m in SENSITIVE.finditer(text):
+        stop, at = m.end() + REACH, max(at, m.end())
+        while run and max(run[0], at) < stop:
+            start = max(run[0], at)
+            if run[1] - start < LEAST:
+                if run[1] > at and run[1] > stop:
+                    break  # a later word may still cut into the run
+                run = next(runs, None)
+                continue
+            c = CANDIDATE.match(text, start)
+            yield c.span()
+            at = c.end()
+            while run and run[1] <= at:
+                run = next(runs, None)
 
 
 def find(text: str, novelty: Novelty, copies: bool = True) -> list[tuple[str, int, int]]:
@@ -109,16 +177,12 @@ def find(text: str, novelty: Novelty, copies: bool = True) -> list[tuple[str, in
     if "AKIA" in text:
         spans += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= MIN_ACCESS]
     spans += [("hex", *m.span()) for m in HEX.finditer(text)]
-    base, at = sorted(spans, key=lambda s: s[1]), 0
-    for m in SENSITIVE.finditer(text):
-        stop = min(m.end() + REACH, len(text))
-        at = max(at, m.end())
-        while at < stop and (c := CANDIDATE.search(text, at)) and c.start() < stop:
-            at = c.end()
-            lines = [x.span() for x in LINE.finditer(text, *c.span())]
-            lines = [(i, j) for i, j in lines if not any(a < j and i < b for _, a, b in base)]
-            if lines and novelty.of(text, *c.span(), lines, copies) >= NOVELTY:
-                spans += [("novel", i, j) for i, j in lines]
+    starts, ends = _apart(spans)
+    for start, end in candidates(text):
+        lines = [x.span() for x in LINE.finditer(text, start, end)]
+        lines = [(a, b) for a, b in lines if (i := bisect_right(ends, a)) == len(ends) or starts[i] >= b]
+        if lines and novelty.found(text, start, end, lines, copies):
+            spans += [("novel", a, b) for a, b in lines]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

@@ -43,3 +43,35 @@ def test_odd_rows_and_nothing_to_learn(spark):
     none = langid.fit(no_docs(spark))
     assert {r.lang_pred for r in langid.predict(odd_docs(spark), none).collect()} == {"und"}
     assert langid.predict(no_docs(spark), model).count() == 0
+
+
+def test_repeated_and_null_ids(spark):
+    rng = random.Random(2)
+    words = {"de": ("der", "und", "nicht", "hund"), "en": ("the", "and", "not", "dog")}
+    text = lambda c: " ".join(rng.choice(words[c]) for _ in range(9))
+    for of in (lambda i: 5, lambda i: None, lambda i: i % 2):
+        rows = [(of(i), text("de" if i % 2 else "en"), "de" if i % 2 else "en", None, 0) for i in range(3000)]
+        df = spark.createDataFrame(rows, no_docs(spark).schema).repartition(3)
+        model = langid.fit(df, max_rows=60)
+        assert model.languages == ["de", "en"]
+        own = langid.identified(df, model, 0.25, least_share=0.3)
+        assert own.count() == 3000
+        pred = model.scores([text("de"), text("en")]).argmax(1).tolist()
+        assert pred == [0, 1]
+    # one text many times, beside a language that the cut by hash leaves out
+    rows = [(1, "der hund und der hund", "de", None, 0)] * 4000 + [(i, text("en"), "en", None, 0) for i in range(40)] + [(None, "le chien", "fr", None, 0)]
+    model = langid.fit(spark.createDataFrame(rows, no_docs(spark).schema), max_rows=30)
+    assert model.languages == ["de", "en", "fr"] and (model.usual > 0).all()
+    assert model.scores(["der hund", "the dog and", "le chien"]).argmax(1).tolist() == [0, 1, 2]
+
+
+def test_few_rows_take_the_pooled_share(spark):
+    words = ("the", "and", "not", "dog", "cat", "over", "house")
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(words, k=12)), "en", None, 0) for i in range(200)] + [(900, "der hund bellt", "de", None, 0)]
+    model = langid.fit(spark.createDataFrame(rows, no_docs(spark).schema), max_rows=200)
+    assert model.languages == ["de", "en"] and abs(model.usual[0] - model.usual[1]) < 0.05 < model.usual[0]
+    fits = model.fits(langid.presence(["der hund bellt", "xq zzw vvk"]), np.array([0, 0]))
+    assert fits[0] > 1 > 0.6 > fits[1]
+    one = langid.fit(spark.createDataFrame([rows[-1]], no_docs(spark).schema))
+    assert one.usual.tolist() == [0] and (one.fits(langid.presence(["xq"]), np.array([0])) == 1).all()

@@ -43,6 +43,71 @@ def test_novelty(novelty):
     assert secrets.find(f"no context {KEY}", novelty) == []
 
 
+ALPHABETS = {"digits": "0123456789", "lower hex": "0123456789abcdef", "upper hex": "0123456789ABCDEF", "letters": "abcdefghijklmnopqrstuvwxyz",
+             "alphanumeric": "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ",
+             "base64": "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/"}
+PROSE = "The service reads its settings from the environment and keeps a copy for the workers. "
+PLACES = ("bearer {}", "Authorization: Bearer {}", "bearer {0} retry bearer {0}", PROSE * 12 + "signature {} " + PROSE * 12,
+          PROSE * 6 + "credential {0}\n" + PROSE * 2 + "credential {0}\n" + PROSE * 6)
+
+
+@pytest.mark.parametrize("alphabet", ALPHABETS)
+def test_recall_over_alphabets_lengths_and_places(novelty, alphabet):
+    rng = random.Random(11)
+    for length in (16, 20, 24, 32, 40, 64):
+        if alphabet == "lower hex" and length >= 32:
+            continue  # of the base pattern
+        for place in PLACES:
+            hits = 0
+            for _ in range(40):
+                key = "".join(rng.choices(ALPHABETS[alphabet], k=length))
+                text = place.format(key)
+                spans = secrets.find(text, novelty, copies=False)
+                hits += len(spans) == text.count(key) and all(text[a:b] == key for _, a, b in spans)
+            assert hits >= 36, (alphabet, length, place[:20], hits)
+
+
+def test_names_are_no_secrets(novelty):
+    names = ["Donaudampfschifffahrtsgesellschaft", "Rindfleischetikettierungsgesetz", "Krankenversicherungsbeitrag", "hydroxychloroquine",
+             "acetylsalicylsaeure", "src/main/java/com/example/service/Handler.java", "/usr/local/share/application/config.json",
+             "2024-01-15_quarterly_report_final.pdf", "report-2023-11-30.tar.gz", "authorization_server_configuration",
+             "https://www.example.org/account/settings", "AbstractConnectionFactoryProvider", "----------------", "================="]
+    alarms = [n for n in names if secrets.find(f"Keep the password safe, see {n} for more.", novelty, copies=False)]
+    assert len(alarms) <= 1, alarms
+
+
+def test_time_is_linear(novelty):
+    import time
+
+    def seconds(text):
+        t = time.perf_counter()
+        secrets.find(text, novelty, copies=False)
+        return time.perf_counter() - t
+    prose = "the token of this service is kept by the server and no other word follows it here. " * 12_000  # 1 MB
+    many = "".join(f"{i:032x} secret " for i in range(20_000))
+    joined = "token" * 200_000
+    seconds(prose)
+    assert seconds(prose * 10) < 15 and seconds(many) < 5 and seconds(joined) < 5
+
+
+def test_candidates_equal_a_search_from_every_word(novelty):
+    rng = random.Random(13)
+
+    def plainly(text):
+        at, out = 0, []
+        for m in secrets.SENSITIVE.finditer(text):
+            stop = min(m.end() + secrets.REACH, len(text))
+            at = max(at, m.end())
+            while at < stop and (c := secrets.CANDIDATE.search(text, at)) and c.start() < stop:
+                at = c.end()
+                out.append(c.span())
+        return out
+    parts = ["token", "secret", KEY, KEY[:9], " ", "\n", "pwd", " of the thing ", "é", "x" * 70, "-----END", "=" * 20, ", "]
+    for _ in range(2000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(30)))
+        assert list(secrets.candidates(text)) == plainly(text), text
+
+
 def test_copies_and_lines(spark, novelty):
     rng = random.Random(7)
     key = [base64.b64encode(rng.randbytes(48)).decode() for _ in range(25)] + ["q8Zk3w=="]

@@ -72,6 +72,6 @@ def test_few_rows_take_the_pooled_share(spark):
     model = langid.fit(spark.createDataFrame(rows, no_docs(spark).schema), max_rows=200)
     assert model.languages == ["de", "en"] and abs(model.usual[0] - model.usual[1]) < 0.05 < model.usual[0]
     fits = model.fits(langid.presence(["der hund bellt", "xq zzw vvk"]), np.array([0, 0]))
-    assert fits[0] > 1 > 0.6 > fits[1]
+    assert fits[0] >= 1 > 0.6 > fits[1]
     one = langid.fit(spark.createDataFrame([rows[-1]], no_docs(spark).schema))
     assert one.usual.tolist() == [0] and (one.fits(langid.presence(["xq"]), np.array([0])) == 1).all()

@@ -1,9 +1,9 @@
 """Skew-safe per-user timelines.
 
 A plain ``Window.partitionBy(user)`` sends all rows of a user to one task. One user may hold a
-third of the log, so users above ``HOT_USER_ROWS`` rows (found by one count per user) take the
-plans below. Both plans give the same rows and values, null users and null times included: keys
-join null-safely, bucket widths and chunk sizes follow from the requested frames.
+third of the log. Range frames are swept (:mod:`riskloom.operators.sweep`), rows frames run in row chunks; the
+anchored counters split off users above ``HOT_USER_ROWS`` rows (found by one count per user). Null users
+and null times are included: keys join null-safely, chunk sizes follow from the requested frames.
 
 * **time-bucket context** (range frames up to ``width``): every row goes to its own bucket
   ``floor(ts/width)`` and, flagged as context, to the next one. A frame ``[t-W, t]`` with
@@ -115,13 +115,14 @@ def running_max(df: DataFrame, col: str, out: str, user: str = "user_id",
             .drop("_hb2", "_before"))
 
 
-def chunk_context(df: DataFrame, chunk: int = DEFAULT_CHUNK) -> DataFrame:
-    """Duplicate rows into (own row chunk, ctx=false) and (next chunk, ctx=true)."""
+def chunk_context(df: DataFrame, chunk: int = DEFAULT_CHUNK, reach: int | None = None) -> DataFrame:
+    """Rows in (own row chunk, ctx=false) and, the last ``reach`` of a chunk, in (next chunk, ctx=true)."""
     c = F.floor(F.col("_row") / F.lit(chunk)).cast("long")
+    own = F.struct(F.col("_c0").alias("c"), F.lit(False).alias("ctx"))
+    both = F.array(own, F.struct((F.col("_c0") + 1).alias("c"), F.lit(True).alias("ctx")))
+    late = F.col("_row") % chunk >= F.lit(chunk - min(reach or chunk, chunk))
     return (df.withColumn("_c0", c)
-            .withColumn("_cc", F.explode(F.array(
-                F.struct(F.col("_c0").alias("c"), F.lit(False).alias("ctx")),
-                F.struct((F.col("_c0") + 1).alias("c"), F.lit(True).alias("ctx")))))
+            .withColumn("_cc", F.explode(F.when(late, both).otherwise(F.array(own))))
             .select("*", F.col("_cc.c").alias("_chunk"), F.col("_cc.ctx").alias("_ctx"))
             .drop("_cc", "_c0"))
 

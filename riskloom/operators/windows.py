@@ -6,16 +6,10 @@ Edges (integer microseconds, ``_ts_us``):
   strictly earlier timestamps only, so ties never count);
 * ``batch`` variant (W10): rows earlier in (timestamp, id) order with ``t - W < ts <= t``.
 
-Plans. ``user_windows`` splits the log by a per-user row count
-(:func:`riskloom.operators.timeline.split_hot_keys`):
-
-* normal users: one exchange by user; range frames order by ``_ts_us``, rows frames by
-  (``_ts_us``, id) — both reuse the same partitioning (one shuffle for all of W1-W9, W11);
-* hot users: range frames inside (user, time bucket) partitions with the previous bucket as
-  context, rows frames inside (user, row chunk) partitions with the previous chunk as context,
-  the row index from bucket counts. Buckets are a day wide or as wide as the widest frame, chunks
-  4,096 rows or as long as the longest frame, so both plans give the same values. A user's rows
-  inside one bucket are one partition's.
+Plans. ``user_windows`` takes the range windows (W1-W4, W8, W10, W11) from the event-and-expiry sweep, which is linear in
+the rows and splits any user, day or value over many tasks. Rows frames (W5-W7, W9) run in (user, row chunk)
+partitions with the last rows of the chunk before as context; the row index comes from the sweep. Chunks are 4,096
+rows or as long as the longest frame. No plan depends on how many rows a user has.
 """
 
 from __future__ import annotations
@@ -24,11 +18,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import features as FX
-from riskloom.operators.timeline import (DAY_US, DEFAULT_CHUNK, HOT_USER_ROWS, bucket_context,
-                                         chunk_context, hours_between_us, running_max,
-                                         has_hot_keys, split_hot_keys, with_ts_us,
-                                         with_user_row_index)
 from riskloom.operators.prefix import stored
+from riskloom.operators.sweep import Span, recent
+from riskloom.operators.timeline import (DEFAULT_CHUNK, HOT_USER_ROWS, chunk_context, hours_between_us,
+                                         has_hot_keys, running_max, split_hot_keys, with_ts_us,
+                                         with_user_row_index)
 from riskloom.schema import HOUR_US
 
 USER = "user_id"
@@ -40,100 +34,46 @@ def _ensure_ts(df: DataFrame) -> DataFrame:
     return df if "_ts_us" in df.columns else with_ts_us(df)
 
 
-# ---- the two plans -----------------------------------------------------------------------
-
-def _plain(d: DataFrame, range_cols: dict, rows_cols: dict, user: str, id_col: str) -> DataFrame:
-    wr = Window.partitionBy(user).orderBy("_ts_us")
-    wo = Window.partitionBy(user).orderBy("_ts_us", id_col)
-    mk = lambda lb, up: wr.rangeBetween(-lb, up)
-    cols = [(F.row_number().over(wo) - 1).cast("long").alias("_row"),
-            F.max("_ts_us").over(wr.rangeBetween(UNB, -1)).alias("_prev_ts_us")]
-    cols += [fn(mk).alias(n) for n, fn in range_cols.items()]
-    cols += [fn(wo).alias(n) for n, fn in rows_cols.items()]
-    return d.select("*", *cols)
-
-
-def _skew(d: DataFrame, range_cols: dict, rows_cols: dict, user: str, id_col: str,
-          width_us: int = DAY_US, chunk: int = DEFAULT_CHUNK) -> DataFrame:
-    out = with_user_row_index(d, user, id_col)
-    if rows_cols:
-        ctx = chunk_context(out, chunk)
-        w = Window.partitionBy(user, "_chunk").orderBy("_row")
-        out = (ctx.select("*", *[fn(w).alias(n) for n, fn in rows_cols.items()])
-               .where(~F.col("_ctx")).drop("_chunk", "_ctx"))
-    if range_cols:
-        ctx = bucket_context(out, width_us)
-        wr = Window.partitionBy(user, "_bkt").orderBy("_ts_us")
-        mk = lambda lb, up: wr.rangeBetween(-lb, up)
-        out = (ctx.select("*", *[fn(mk).alias(n) for n, fn in range_cols.items()])
-               .where(~F.col("_ctx")).drop("_bkt", "_ctx"))
-    return out.withColumn("_row", F.col("_row").cast("long"))
-
+# ---- the plan ------------------------------------------------------------------------------
 
 class Frames(dict):
-    """Window columns by name, and how far back the widest of their frames reaches
-    (microseconds for range frames, rows for rows frames)."""
+    """Rows-frame columns by name, and how many rows back the widest of their frames reaches."""
 
     def __init__(self, reach: int = 0, **columns):
         super().__init__(**columns)
         self.reach = reach
 
 
-def user_windows(df: DataFrame, range_cols: Frames | None = None, rows_cols: Frames | None = None,
-                 user: str = USER, id_col: str = TID, hot_threshold: int | None = HOT_USER_ROWS,
-                 prepare=None) -> DataFrame:
-    """Add ``_row``, ``_prev_ts_us`` and the given window columns.
-
-    ``range_cols``: name → ``fn(mk)`` with ``mk(lookback_us, upper)`` a range frame over
-    ``_ts_us``. ``rows_cols``: name → ``fn(w)`` with ``w`` a window in (timestamp, id) order.
-    The hot plan's bucket width and chunk size are at least the frames' reach, so both plans give
-    the same values. ``hot_threshold=None`` sends every user through the skew-safe plan.
-    ``prepare(df, hot)`` (e.g. a join by user) is applied to each branch after the split and before
-    its windows, so a join's exchange by user also serves the normal users' windows."""
-    d = _ensure_ts(df)
-    rc, oc = range_cols or Frames(), rows_cols or Frames()
-    width, chunk = max(DAY_US, rc.reach), max(DEFAULT_CHUNK, oc.reach)
-    prep = prepare or (lambda x, hot: x)
-    if hot_threshold is None:
-        return _skew(prep(d, True), rc, oc, user, id_col, width, chunk)
-    if not has_hot_keys(d, user, hot_threshold):
-        return _plain(prep(d, False), rc, oc, user, id_col)
-    normal, hot = split_hot_keys(d, user, hot_threshold)
-    return _plain(prep(normal, False), rc, oc, user, id_col).unionByName(
-        _skew(prep(hot, True), rc, oc, user, id_col, width, chunk))
-
-
-# ---- column factories ----------------------------------------------------------------------
-
-def timed(value: Column, otherwise) -> Column:
-    """``value`` for rows with a time; rows without one have no history."""
-    return F.when(F.col("_ts_us").isNotNull(), value).otherwise(F.lit(otherwise))
+def user_windows(df: DataFrame, spans: list[Span] | None = None, rows_cols: Frames | None = None,
+                 user: str = USER, id_col: str = TID, chunk: int = DEFAULT_CHUNK) -> DataFrame:
+    """Add ``_row`` (with ``rows_cols``), ``_prev_ts_us`` and the given window columns.
 
+    ``spans``: range windows for the sweep. ``rows_cols``: name → ``fn(w)`` with ``w`` a window in
+    (timestamp, id) order. A chunk is at least as long as the frames' reach, so its size doesn't change values."""
+    d = recent(_ensure_ts(df), spans or [], user, id_col, rows=bool(rows_cols)).drop("_before")
+    for s in spans or []:
+        if s.current:
+            d = d.withColumn(s.name, F.greatest(F.lit(1).cast("long"), F.col(s.name)))
+    if not rows_cols:
+        return d
+    w = Window.partitionBy(user, "_chunk").orderBy("_row")
+    ctx = chunk_context(d, max(chunk, rows_cols.reach), rows_cols.reach)
+    return (ctx.select("*", *[fn(w).alias(n) for n, fn in rows_cols.items()])
+            .where(~F.col("_ctx")).drop("_chunk", "_ctx"))
 
-def _named(col: str) -> Column:
-    """A category for distinct counts: a missing one is one value of its own."""
-    return F.coalesce(F.col(col), F.lit(""))
 
+# ---- column factories ----------------------------------------------------------------------
 
 def velocity_columns(hours=(1, 6, 24), amount_hours=(1, 24), distinct_hours=(24,),
-                     device_hours=()) -> Frames:
-    """W1 counts, W2 sums, W3 distincts over ``[t-W, t)``; W11 devices over ``[t-W, t]``."""
-    cols = Frames(max([0, *hours, *amount_hours, *distinct_hours, *device_hours]) * HOUR_US)
-    for h in hours:
-        cols[f"txn_count_{h}h"] = lambda mk, h=h: timed(F.count(F.lit(1)).over(mk(h * HOUR_US, -1)), 0)
-    for h in amount_hours:
-        cols[f"amount_sum_{h}h"] = lambda mk, h=h: timed(F.coalesce(
-            F.sum("amount").over(mk(h * HOUR_US, -1)), F.lit(0.0)), 0.0)
+                     device_hours=()) -> list[Span]:
+    """W1 counts, W2 sums, W3 distincts over ``[t-W, t)``; W11 devices over ``[t-W, t]``, at least 1. A missing
+    merchant or country is one value of its own, a missing device none; rows without a time have no history."""
+    out = [Span(f"txn_count_{h}h", "count", h * HOUR_US) for h in hours]
+    out += [Span(f"amount_sum_{h}h", "sum", h * HOUR_US, "amount") for h in amount_hours]
     for h in distinct_hours:
-        cols[f"unique_merchants_{h}h"] = lambda mk, h=h: timed(F.size(
-            F.collect_set(_named("merchant_category")).over(mk(h * HOUR_US, -1))), 0)
-        cols[f"unique_countries_{h}h"] = lambda mk, h=h: timed(F.size(
-            F.collect_set(_named("country")).over(mk(h * HOUR_US, -1))), 0)
-    for h in device_hours:
-        # Prior 24 h plus the current row (and its ties); at least 1.
-        cols[f"devices_used_{h}h"] = lambda mk, h=h: timed(F.greatest(
-            F.lit(1), F.size(F.collect_set("device_id").over(mk(h * HOUR_US, 0)))), 1)
-    return cols
+        out += [Span(f"unique_{name}_{h}h", "distinct", h * HOUR_US, col, missing="")
+                for name, col in (("merchants", "merchant_category"), ("countries", "country"))]
+    return out + [Span(f"devices_used_{h}h", "distinct", h * HOUR_US, "device_id", current=True) for h in device_hours]
 
 
 def history_columns(n_diversity: int = 100, n_spend: int = 10, travel: bool = True,
@@ -259,52 +199,18 @@ def recent_history(df: DataFrame, n: int = 100) -> DataFrame:
 
 # ---- W10 -----------------------------------------------------------------------------------
 
-def _batch_cols(part: list[str]) -> Frames:
-    """W10 columns for windows partitioned by ``part``: rows of strictly earlier times by a range
-    frame, earlier rows of the same time by a rows frame over the ties (same partitioning, no
-    extra exchange)."""
-    before = lambda h: (Window.partitionBy(*part).orderBy("_ts_us")
-                        .rangeBetween(-(h * HOUR_US - 1), -1))
-    order = Window.partitionBy(*part, "_ts_us").orderBy(TID)
-    ties = order.rowsBetween(UNB, -1)
-    cols = Frames(24 * HOUR_US)
-    for h in (1, 24):
-        cols[f"txn_count_{h}h"] = timed(F.count(F.lit(1)).over(before(h)) + F.count(F.lit(1)).over(ties), 0)
-        cols[f"txn_amount_{h}h"] = timed(F.coalesce(F.sum("amount").over(before(h)), F.lit(0.0))
-                                         + F.coalesce(F.sum("amount").over(ties), F.lit(0.0)), 0.0)
-    for name, col in (("merchants", "merchant_category"), ("countries", "country")):
-        v = _named(col)
-        cols[f"unique_{name}_24h"] = timed(F.size(F.array_union(F.collect_set(v).over(before(24)),
-                                                                F.collect_set(v).over(ties))), 0)
-    cols["_tie_rn"] = F.row_number().over(order)
-    return cols
-
-
-def velocity_batch(df: DataFrame, hot_threshold: int | None = HOT_USER_ROWS) -> DataFrame:
+def velocity_batch(df: DataFrame) -> DataFrame:
     """W10, batch variant: rows earlier in (timestamp, id) order with ``t-W < ts <= t``;
     gap to the previous row in that order, 0.0 for the first (and for tied rows). Missing amounts
     add nothing, missing categories count as one value, rows without a time have no history."""
-    d = _ensure_ts(df)
-    if hot_threshold is None:
-        normal, hot = None, d
-    elif has_hot_keys(d, USER, hot_threshold):
-        normal, hot = split_hot_keys(d, USER, hot_threshold)
-    else:
-        normal, hot = d, None
-    parts = []
-    if normal is not None:
-        n = normal.select("*", F.max("_ts_us").over(
-            Window.partitionBy(USER).orderBy("_ts_us").rangeBetween(UNB, -1)).alias("_prev_ts_us"))
-        parts.append(n.select("*", *[c.alias(k) for k, c in _batch_cols([USER]).items()]))
-    if hot is not None:
-        h = bucket_context(with_user_row_index(hot), DAY_US)
-        parts.append(h.select("*", *[c.alias(k) for k, c in _batch_cols([USER, "_bkt"]).items()])
-                     .where(~F.col("_ctx")).drop("_bkt", "_ctx", "_row"))
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return out.withColumn("time_since_last_txn",
-                          F.when((F.col("_tie_rn") > 1) | F.col("_prev_ts_us").isNull() | F.col("_ts_us").isNull(), F.lit(0.0))
-                          .otherwise(hours_between_us(F.col("_ts_us"), F.col("_prev_ts_us")))) \
-        .drop("_tie_rn", "_prev_ts_us")
+    edge = lambda h: h * HOUR_US - 1
+    spans = [Span(f"txn_count_{h}h", "count", edge(h)) for h in (1, 24)]
+    spans += [Span(f"txn_amount_{h}h", "sum", edge(h), "amount") for h in (1, 24)]
+    spans += [Span(f"unique_{name}_24h", "distinct", edge(24), col, missing="")
+              for name, col in (("merchants", "merchant_category"), ("countries", "country"))]
+    out = recent(_ensure_ts(df), spans, ties=True)
+    gap = hours_between_us(F.col("_ts_us"), F.col("_prev_ts_us"))
+    return out.withColumn("time_since_last_txn", F.coalesce(gap, F.lit(0.0))).drop("_before", "_prev_ts_us")
 
 
 # ---- W12 / W13: anchored counters ------------------------------------------------------------

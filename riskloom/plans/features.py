@@ -1,10 +1,8 @@
 """Composed jobs: the 34-feature table (P20), the rule-scored table and the score log.
 
-Plan shape: the profile join (sort-merge by user, or broadcast when AQE sees a small side);
-one count per user splits off hot users (broadcast list, bounded by rows / threshold);
-normal users are windowed on the join's partitioning by user (no second exchange of the log),
-hot users through the bucketed/chunked plan; then the dimension joins (broadcast, fixed size)
-and projections only.
+Plan shape: one sweep for the range windows (range-sorted events, no partition by user), row chunks for the rows frames,
+then the profile join (sort-merge by user, split by AQE where a user is hot, or broadcast when AQE sees a small side), the
+dimension joins (broadcast, fixed size) and projections only.
 """
 
 from __future__ import annotations
@@ -17,7 +15,7 @@ from riskloom.functions import features as FX
 from riskloom.functions import scoring as SC
 from riskloom.operators import windows as W
 from riskloom.operators.joins import enrich_dims, enrich_profile
-from riskloom.operators.timeline import HOT_USER_ROWS, hours_between_us, with_ts_us
+from riskloom.operators.timeline import DEFAULT_CHUNK, hours_between_us, with_ts_us
 
 KEEP = ["txn_seq", "transaction_id", "user_id", "timestamp", "merchant_category", "country",
         "device_id", "is_fraud", "fraud_type", "latency_ms", "currency",
@@ -81,22 +79,12 @@ def feature_columns(df: DataFrame) -> dict[str, Column]:
     }
 
 
-def build_features(txn: DataFrame, profiles: DataFrame,
-                   hot_threshold: int | None = HOT_USER_ROWS) -> DataFrame:
+def build_features(txn: DataFrame, profiles: DataFrame, chunk: int = DEFAULT_CHUNK) -> DataFrame:
     """Transactions → identifying columns + ``has_profile`` + the 34 features (P20 order).
-    All windows (W1-W7, W11) run in one pass over the per-user timeline."""
-    # The profile join runs inside each branch of the hot-user split: for normal users its
-    # exchange by user also serves the windows (one shuffle of the log).
-    # The hot users' few profiles (at most rows / threshold) are broadcast instead, so that their
-    # rows are never partitioned by user.
-    def with_profile(d: DataFrame, hot: bool) -> DataFrame:
-        own = profiles
-        if hot and hot_threshold is not None:
-            own = F.broadcast(profiles.join(d.select("user_id").distinct(), "user_id", "left_semi"))
-        return enrich_profile(d, own)
-
+    Range windows (W1-W4, W11) come from one sweep, rows frames (W5-W7) from row chunks."""
     vel = W.user_windows(with_ts_us(txn), W.velocity_columns((1, 6, 24), (1, 24), (24,), (24,)),
-                         W.history_columns(100, 10, True), hot_threshold=hot_threshold, prepare=with_profile)
+                         W.history_columns(100, 10, True), chunk=chunk)
+    vel = enrich_profile(vel, profiles)
     j = enrich_dims(vel)
     feats = feature_columns(j)
     keep = [c for c in KEEP if c in j.columns and c not in feats]

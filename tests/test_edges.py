@@ -17,21 +17,19 @@ def _by_id(df):
     return {r.transaction_id: r for r in df.collect()}
 
 
-@pytest.mark.parametrize("hot", [250_000, None])
 @pytest.mark.parametrize("hours", [1, 6, 24])
-def test_window_edge_exact_and_one_microsecond(spark, hours, hot):
+def test_window_edge_exact_and_one_microsecond(spark, hours):
     w = dt.timedelta(hours=hours)
     rows = [dict(transaction_id="A0", user_id="U1", timestamp=T0),
             dict(transaction_id="A1", user_id="U1", timestamp=T0 + w),        # exactly W apart
             dict(transaction_id="B0", user_id="U2", timestamp=T0),
             dict(transaction_id="B1", user_id="U2", timestamp=T0 + w + US)]   # 1 µs more
     df = txn_rows(spark, rows)
-    online = _by_id(W._clean(W.user_windows(df, W.velocity_columns((hours,), (), ()),
-                                            hot_threshold=hot)))
+    online = _by_id(W._clean(W.user_windows(df, W.velocity_columns((hours,), (), ()))))
     assert online["A1"][f"txn_count_{hours}h"] == 1
     assert online["B1"][f"txn_count_{hours}h"] == 0
     if hours in (1, 24):
-        batch = _by_id(W.velocity_batch(df, hot_threshold=hot))
+        batch = _by_id(W.velocity_batch(df))
         assert batch["A1"][f"txn_count_{hours}h"] == 0   # lower edge exclusive
         assert batch["B1"][f"txn_count_{hours}h"] == 0
 

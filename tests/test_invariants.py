@@ -60,11 +60,11 @@ def test_hot_plan_equals_plain_plan(spark):
     from riskloom.plans import catalog
     prof = catalog.Ctx(spark, SF_SMALL).profiles
     a = build_features(log, prof)
-    b = build_features(log, prof, hot_threshold=None)
+    b = build_features(log.repartition(23, "transaction_id"), prof, chunk=100)
     assert a.count() == b.count() == log.count()
     assert a.exceptAll(b).count() == 0
     o = TD.mapped_orders(spark, SF_SMALL)
-    assert W.velocity_batch(o).exceptAll(W.velocity_batch(o, hot_threshold=None)).count() == 0
+    assert W.velocity_batch(o).exceptAll(W.velocity_batch(o.repartition(23, "transaction_id"))).count() == 0
     x = W.anchored_counter(log, 3600)
     y = W.anchored_counter(log, 3600, hot_threshold=None)
     assert x.exceptAll(y).count() == 0 and x.count() == log.count()

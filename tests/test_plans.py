@@ -11,13 +11,14 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_feature_plan_has_no_python_and_one_user_exchange_for_normal_users(spark):
-    c = catalog.Ctx(spark, SF_SMALL)
-    p = _plan(c.features)
+def test_feature_plan_has_no_python_and_no_window_of_a_whole_user(spark):
+    """Windows over rows are partitioned by user and range part or chunk, never by user alone; what a partition inherits is a
+    window over one row a user and part."""
+    p = _plan(catalog.Ctx(spark, SF_SMALL).features)
     assert "PythonUDF" not in p and "BatchEvalPython" not in p and "ArrowEvalPython" not in p
-    # the plain path partitions the log by user exactly once for all window columns
-    assert len(re.findall(r"Exchange hashpartitioning\(user_id#\d+, \d+\)", p)) >= 1
-    assert "Window" in p
+    assert not re.search(r"Window \[[^\n]*\], \[user_id#\d+\]", p)
+    assert re.search(r"Window \[[^\n]*\], \[user_id#\d+, _chunk#\d+L\]", p)
+    assert re.search(r"Window \[[^\n]*\], \[k#\d+, _part#\d+\]", p)
 
 
 def test_dimension_join_is_broadcast(spark):
@@ -70,21 +71,6 @@ def test_no_cross_joins_in_registered_analytics(spark):
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, n
 
 
-def test_hot_rows_are_never_partitioned_by_user_alone(spark):
-    """With every user above the threshold and broadcasts off, only the normal branch may exchange
-    by user; the windows of hot rows exchange by user and bucket or chunk."""
-    from riskloom.plans.features import build_features
-    c = catalog.Ctx(spark, SF_SMALL)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        p = _plan(build_features(c.log, c.profiles, hot_threshold=5))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert re.search(r"Exchange hashpartitioning\(user_id#\d+, _bkt#\d+L", p)
-    assert re.search(r"Exchange hashpartitioning\(user_id#\d+, _chunk#\d+L", p)
-    assert "CartesianProduct" not in p
-
-
 def test_counters_and_table_function_plans(spark):
     log = catalog.Ctx(spark, SF_SMALL).log
     from riskloom.operators.windows import anchored_counter

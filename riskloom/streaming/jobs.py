@@ -3,14 +3,13 @@
 The reference scores request by request with keyed TTL state. Here a stream of transactions
 (any file or message source with the transaction schema) runs through the same operators:
 
-* ST1 ``stream_score``: ``foreachBatch`` job. Each micro-batch is validated (F1),
-  de-duplicated against itself and the history table, joined to the profiles (stream-static),
-  featurised together with the stored history of the batch's users (so velocity and
-  rows-frame features see earlier batches), rule-scored and appended to the score log and
-  history table. Requests that fail validation get the fallback record; an id seen again is
-  scored anew once its score's TTL is over. Writes are partitioned by batch id and overwrite
-  that partition, so a replayed batch after a failure replaces its own output (idempotent).
-  Each batch reads the history of its users, which grows with the log.
+* ST1 ``stream_score``: ``foreachBatch`` job. Each micro-batch is validated (F1), joined to the profiles
+  (stream-static), featurised together with the kept history of the batch's users, rule-scored and appended to the score
+  log. An id is scored again once the TTL of its last scoring is over, whether the repeat comes in the same batch or
+  a later one; requests that fail validation get the fallback record. The history is a state table: of every user
+  the last HISTORY_ROWS rows and the last HISTORY_HOURS hours, which is all that a feature looks back on. A batch
+  reads the user buckets it touches and writes them anew under its own number, so its cost doesn't grow with the log;
+  a replayed batch reads the state before it and replaces its own output.
 * ST2 ``stream_dedupe``: ``dropDuplicatesWithinWatermark`` on the transaction id.
 * ST3 / ST8: watermarked event-time windows (append mode), ``percentile_approx``.
 * ST4-ST6: ``applyInPandasWithState`` per user with event-time timeouts as TTL; events wait in
@@ -43,36 +42,94 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+#: What is kept of a user; buckets of the state tables; how long an id is remembered beyond its TTL (rows that come
+#: later out of order are scored again).
+HISTORY_ROWS, HISTORY_HOURS, BUCKETS, LATE = 100, 24, 64, "1 day"
+
+
+def _versions(spark: SparkSession, path: str, bucket: int) -> list[int]:
+    """Numbers of the batches that wrote the bucket."""
+    at = f"{path}/bucket={bucket}"
+    if not _exists(spark, at):
+        return []
+    p = spark._jvm.org.apache.hadoop.fs.Path(at)
+    names = [f.getPath().getName() for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
+    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
+
+def _state(spark: SparkSession, path: str, buckets: list[int], batch_id: int, schema: T.StructType) -> DataFrame:
+    """The buckets as the batches before ``batch_id`` left them."""
+    newest = {b: [v for v in _versions(spark, path, b) if v < batch_id][-1:] for b in buckets}
+    paths = [f"{path}/bucket={b}/batch={v}" for b, vs in newest.items() for v in vs]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def _keep_state(spark: SparkSession, rows: DataFrame, path: str, buckets: list[int], batch_id: int, bucket) -> None:
+    """Writes the buckets as of this batch; versions older than the one it read go."""
+    (rows.withColumn("bucket", bucket).withColumn("batch", F.lit(batch_id)).repartition("bucket")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path))
+    for b in buckets:
+        for v in [v for v in _versions(spark, path, b) if v < batch_id][:-1]:
+            p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}/batch={v}")
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _touched(rows: DataFrame, bucket) -> list[int]:
+    return [r.b for r in rows.select(bucket.alias("b")).distinct().collect()]  # BUCKETS at most
+
+
+def _due(requests: DataFrame, seen: DataFrame, ttl_seconds: int) -> DataFrame:
+    """The requests that are scored: later than the TTL after the id's last scoring (``seen``), and within the batch
+    not within the TTL of an earlier one that is. Of requests of one id and time one is, by the rest of its columns."""
+    from riskloom.operators.windows import anchored_counter
+    key = F.struct("transaction_id", F.unix_micros("timestamp"), F.xxhash64(*requests.columns))
+    ttl = F.expr(f"INTERVAL {int(ttl_seconds)} SECONDS")
+    past = seen.select("transaction_id", F.col("timestamp").alias("_last"))
+    open_ = (requests.join(past, "transaction_id", "left")
+             .where(F.col("_last").isNull() | F.col("timestamp").isNull() | (F.col("timestamp") > F.col("_last") + ttl))
+             .drop("_last").withColumn("_key", F.to_json(key)).dropDuplicates(["_key"]))
+    many = open_.groupBy("transaction_id").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    again = open_.join(many, "transaction_id", "left_semi")
+    if not again.limit(1).count():
+        return open_.drop("_key")
+    counted = anchored_counter(again, ttl_seconds, key="transaction_id", id_col="_key")
+    later = counted.where("count_in_window > 1").select("_key")
+    return open_.join(later, "_key", "left_anti").drop("_key")
+
+
+def _recent_state(rows: DataFrame) -> DataFrame:
+    """What is kept of the users' rows: back to the earlier of the HISTORY_ROWS-th last row and HISTORY_HOURS before the last.
+    Rows without a time leave no history."""
+    order = Window.partitionBy("user_id").orderBy(F.desc("timestamp"), F.desc("transaction_id"))
+    last = (rows.where("timestamp is not null").withColumn("_rn", F.row_number().over(order))
+            .where(F.col("_rn") <= HISTORY_ROWS).groupBy("user_id")
+            .agg(F.min("timestamp").alias("_first"), F.max("timestamp").alias("_newest")))
+    since = F.least("_first", F.col("_newest") - F.expr(f"INTERVAL {HISTORY_HOURS} HOURS"))
+    return rows.join(last.select("user_id", since.alias("_since")), "user_id").where("timestamp >= _since").drop("_since")
+
+
 def score_batch(spark: SparkSession, batch: DataFrame, batch_id: int, profiles: DataFrame,
-                history_path: str, scores_path: str) -> None:
+                history_path: str, scores_path: str, buckets: int = BUCKETS) -> None:
     """One micro-batch of ST1 (also usable as a batch job on any slice of the log)."""
     from riskloom.functions import scoring as SC
     from riskloom.operators.filters import validate_requests
+    from riskloom.operators.prefix import stored
     from riskloom.plans.features import build_features, score_features
 
     ok, bad = validate_requests(batch)
-    first = Window.partitionBy("transaction_id").orderBy("timestamp")
-    ok = ok.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
-    has_hist = _exists(spark, history_path)
-    if has_hist:
-        hist = spark.read.parquet(history_path).where(F.col("batch_id") != batch_id).drop("batch_id")
-        # a score is reused while it lives: the id again within the TTL of its last scoring is not
-        # scored anew, later it is
-        past = hist.select(F.col("transaction_id"), F.col("timestamp").alias("_before"))
-        live = (ok.select("transaction_id", "timestamp").join(past, "transaction_id")
-                .where(F.col("timestamp") <= F.col("_before") + F.expr(f"INTERVAL {S.SCORE_TTL_SECONDS} SECONDS")))
-        ok = ok.join(live.select("transaction_id"), "transaction_id", "left_anti")
-        users = ok.select("user_id").distinct()
-        context = hist.join(users, "user_id", "left_semi")
-    cols = ok.columns
-    work = ok
-    if has_hist:
-        # an id that is scored anew replaces its old row as history
-        work = work.unionByName(context.select(*cols).join(ok.select("transaction_id"), "transaction_id", "left_anti"),
-                                allowMissingColumns=True)
-    feats = build_features(work, profiles)
-    new_ids = ok.select("transaction_id")
-    scored = score_features(feats.join(new_ids, "transaction_id", "left_semi"))
+    by_user = F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int")
+    by_id = F.pmod(F.xxhash64("transaction_id"), F.lit(buckets)).cast("int")
+    rows_path, ids_path = f"{history_path}/rows", f"{history_path}/ids"
+    ids = _touched(ok, by_id)
+    seen = _state(spark, ids_path, ids, batch_id, ok.select("transaction_id", "timestamp").schema)
+    due = stored(_due(ok, seen, S.SCORE_TTL_SECONDS), "due")
+    users = _touched(due, by_user)
+    kept = _state(spark, rows_path, users, batch_id, due.schema)
+    mine = kept.join(due.select("user_id").distinct(), "user_id", "left_semi")
+    feats = build_features(due.unionByName(mine), profiles)
+    new = due.select("transaction_id", F.col("timestamp").alias("_at"))
+    scored = score_features(feats.join(new, (feats["transaction_id"] == new["transaction_id"])
+                                       & feats["timestamp"].eqNullSafe(new["_at"]), "left_semi"))
     # a request that can't be scored gets the fallback record
     lat = F.col("latency_ms") if "latency_ms" in bad.columns else F.lit(0.0)
     at = F.timestamp_micros(F.unix_micros("timestamp") + (lat * 1000).cast("long"))
@@ -82,9 +139,12 @@ def score_batch(spark: SparkSession, batch: DataFrame, batch_id: int, profiles:
     (scored.withColumn("batch_id", F.lit(batch_id))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("batch_id").parquet(scores_path))
-    (ok.select(*cols).withColumn("batch_id", F.lit(batch_id))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id").parquet(history_path))
+    _keep_state(spark, _recent_state(kept.unionByName(due)), rows_path, users, batch_id, by_user)
+    last = seen.unionByName(due.select(*seen.columns)).where("timestamp is not null").groupBy("transaction_id").agg(
+        F.max("timestamp").alias("timestamp"))
+    newest = due.agg(F.max("timestamp")).scalar()
+    fresh = last.where(newest.isNull() | (F.col("timestamp") + F.expr(f"INTERVAL {S.SCORE_TTL_SECONDS} SECONDS") + F.expr(f"INTERVAL {LATE}") >= newest))
+    _keep_state(spark, fresh, ids_path, ids, batch_id, by_id)
 
 
 def stream_score(spark: SparkSession, stream: DataFrame, profiles: DataFrame, history_path: str,

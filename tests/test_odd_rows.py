@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import T0, txn_rows
 from riskloom.operators import evaluation as E
+from riskloom.operators import sweep
 from riskloom.operators import windows as W
 from riskloom.operators.prefix import running_totals
 
@@ -25,22 +26,17 @@ def _past(rows, r, hours, lower):
     return [x for x in rows if t and x["timestamp"] and x["user_id"] == r["user_id"] and lower(x["timestamp"], t - hours * H)]
 
 
-@pytest.mark.parametrize("parts, chunk", [(1, 6000), (9, 6000), (9, 2)])
-def test_windows_equal_brute_force_on_odd_rows(spark, monkeypatch, parts, chunk):
-    """Nulls and ties, users over many range partitions, values that come again inside and outside a window."""
+@pytest.mark.parametrize("cell, chunk", [(10 ** 16, 6000), (3_600_000_000, 2), (11 * 3_600_000_000, 3)])
+def test_windows_equal_brute_force_on_odd_rows(spark, monkeypatch, cell, chunk):
+    """Nulls and ties, users over one and many cells, values that come again inside and outside a window."""
     rows = [dict(dict(amount=10.0, merchant_category="grocery", country="US", device_id="d1"), **r) for r in _rows()]
     rows += [dict(transaction_id=f"D{i:02d}", user_id="U3", timestamp=T0 + i * 5 * H, amount=0.1, merchant_category="m", country=None,
                   device_id=None if i % 3 else f"d{i % 2}") for i in range(25)]
     log = txn_rows(spark, rows).repartition(7)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
-    try:
-        spans = W.velocity_columns((1, 24, 48), (48,), (24, 48), (24,))
-        got = {r.transaction_id: r for r in W.user_windows(log, spans, W.history_columns(2, 2, True, 2), chunk=chunk).collect()}
-        tied = {r.transaction_id: r for r in W.velocity_batch(log).collect()}
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    monkeypatch.setattr(sweep, "CELL", cell)
+    spans = W.velocity_columns((1, 24, 48), (48,), (24, 48), (24,))
+    got = {r.transaction_id: r for r in W.user_windows(log, spans, W.history_columns(2, 2, True, 2), chunk=chunk).collect()}
+    tied = {r.transaction_id: r for r in W.velocity_batch(log).collect()}
     assert len(got) == len(tied) == len(rows)
     low = dt.datetime(1, 1, 1)
     for r in rows:

@@ -12,13 +12,13 @@ def _plan(df):
 
 
 def test_feature_plan_has_no_python_and_no_window_of_a_whole_user(spark):
-    """Windows over rows are partitioned by user and range part or chunk, never by user alone; what a partition inherits is a
-    window over one row a user and part."""
+    """Windows over rows are partitioned by user and cell or chunk, never by user alone; what a cell inherits is a window over
+    one row a user and cell."""
     p = _plan(catalog.Ctx(spark, SF_SMALL).features)
     assert "PythonUDF" not in p and "BatchEvalPython" not in p and "ArrowEvalPython" not in p
     assert not re.search(r"Window \[[^\n]*\], \[user_id#\d+\]", p)
     assert re.search(r"Window \[[^\n]*\], \[user_id#\d+, _chunk#\d+L\]", p)
-    assert re.search(r"Window \[[^\n]*\], \[k#\d+, _part#\d+\]", p)
+    assert re.search(r"Window \[[^\n]*\], \[k#\d+, _cell#\d+L\]", p)
 
 
 def test_dimension_join_is_broadcast(spark):

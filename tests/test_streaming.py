@@ -2,6 +2,7 @@
 import datetime as dt
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -75,6 +76,44 @@ def test_stream_rejects_and_ttl(spark):
     assert got[2][2:] == ("UNKNOWN", "REVIEW")
 
 
+@pytest.mark.parametrize("cuts", [1, 4, 12])
+def test_scores_do_not_depend_on_the_cuts(spark, cuts):
+    """Repeats inside and across batches; every row scored once the TTL is over, with the same features; old state goes."""
+    from conftest import T0, profile_rows, txn_rows
+    s = dt.timedelta(seconds=1)
+    rows = [dict(transaction_id=f"R{i % 20 // 2}", user_id=f"U{i % 3}", timestamp=T0 + i * 97 * s, amount=float(i + 1),
+                 merchant_category=("grocery", "crypto_exchange")[i % 2]) for i in range(80)]
+    d = _dirs(spark, f"cuts{cuts}")
+    each = -(-len(rows) // cuts)
+    for n, at in enumerate(range(0, len(rows), each)):
+        ST.score_batch(spark, txn_rows(spark, rows[at:at + each]), n, profile_rows(spark, []), d["hist"], d["out"], buckets=3)
+    last, due = {}, []
+    for r in rows:
+        i, t = r["transaction_id"], r["timestamp"]
+        if i not in last or t > last[i] + 300 * s:
+            last[i] = t
+            due.append(r)
+    assert 0 < len(due) < len(rows) and len({r["transaction_id"] for r in due}) < len(due)
+    from riskloom.plans.features import build_features, score_features
+    want = score_features(build_features(txn_rows(spark, due), profile_rows(spark, [])))
+    columns = ["transaction_id", "timestamp", "fraud_score", "risk_level", "txn_count_24h", "amount_sum_24h", "merchant_diversity_score"]
+    got = spark.read.parquet(d["out"])
+    assert got.count() == len(due) and _same(want.select(*columns), got.select(*columns))
+    assert all(len(ST._versions(spark, d["hist"] + "/rows", b)) <= 2 for b in range(3))
+    # a batch that runs again changes nothing
+    n = -(-len(rows) // each) - 1
+    ST.score_batch(spark, txn_rows(spark, rows[n * each:]), n, profile_rows(spark, []), d["hist"], d["out"], buckets=3)
+    assert _same(want.select(*columns), spark.read.parquet(d["out"]).select(*columns))
+
+
+def test_state_is_bounded(spark, monkeypatch):
+    from conftest import T0, txn_rows
+    monkeypatch.setattr(ST, "HISTORY_ROWS", 5)
+    rows = [dict(transaction_id=f"R{u}{i:03d}", user_id=f"U{u}", timestamp=T0 + i * dt.timedelta(hours=(12, 1)[u])) for u in (0, 1) for i in range(40)]
+    kept = ST._recent_state(txn_rows(spark, rows)).groupBy("user_id").count().collect()
+    assert {r.user_id: r["count"] for r in kept} == {"U0": 5, "U1": 25}
+
+
 def test_stream_dedupe_and_late_rows(spark):
     log = catalog.Ctx(spark, SF_SMALL).log
     rep = log.limit(100).withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 1 MINUTE"))

@@ -8,9 +8,11 @@ Inside a pair of tiles the products are accumulated axis by axis, leading ones f
 is at most the product of the suffix norms, and a pair is given up once it can't reach the
 threshold. Pairs that remain are decided by their cosine in double precision on the vectors as
 given. A pair of tiles reports link counts and a spanning forest of its links, never all pairs.
+Tiles are shipped in blocks: a task takes the tiles of two blocks once for all their pairs.
 
 Vectors that are null, zero or hold null or non-finite components, and those without a label, link
-with nothing. Repeated rows are vectors like any other; a null id names a component only where all
+with nothing. Other components may have any size that a double has: each vector is taken times the
+power of two that brings its largest one near 1, which changes no cosine. Repeated rows are vectors like any other; a null id names a component only where all
 its ids are null. An empty table gives an empty result; other columns are not read.
 """
 
@@ -20,7 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
@@ -28,6 +30,9 @@ from .common import components, map_batches, stored
 
 #: Rows of a tile; axes of its box; axes after which pairs are tested.
 TILE, BOX = 2048, 6
+#: Blocks that the tiles of the largest label are dealt into, and the most bytes of vectors a block holds
+#: (beyond it there are more blocks).
+BLOCKS, BLOCK_BYTES = 8, 64 << 20
 STEPS = (4, 8, 16, 32)
 #: Slack on bounds against rounding; exact decisions don't use it.
 SLACK = 1e-9
@@ -42,13 +47,14 @@ def _rows(batch: pa.RecordBatch, col: str) -> list:
     out = []
     for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
         v = flat[a:b]
-        out.append(v if good[i] and b > a and bad[a] == bad[b] and v.any() and 0 < _norm(v) < np.inf else None)
+        out.append(_scaled(v) if good[i] and b > a and bad[a] == bad[b] and v.any() else None)
     return out
 
 
-def _norm(v: np.ndarray) -> float:
-    with np.errstate(over="ignore", under="ignore"):
-        return float(np.sqrt(v @ v))
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """``v`` times a power of two, its largest component from 1/2 to 1, so that squares and sums stay in
+    the range of doubles."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max())[1])
 
 
 def _keyed(vectors: DataFrame, id_col: str, label_col: str, vec_col: str) -> DataFrame:
@@ -102,7 +108,8 @@ def _units(m: np.ndarray) -> np.ndarray:
 
 
 def _tiles(classes: DataFrame, dim: int, axes: np.ndarray) -> DataFrame:
-    """(label, tile, low, high, ids, n, vecs): runs of classes by label and place on the first axis."""
+    """(label, tile, low, high, ids, n, vecs): runs of classes by label and place on the first axis; the
+    tiles of a label in a partition are numbered on end."""
     label = classes.schema["label"].dataType.simpleString()
     first = axes[:, 0].copy()
 
@@ -114,7 +121,7 @@ def _tiles(classes: DataFrame, dim: int, axes: np.ndarray) -> DataFrame:
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        part, made, held, of = TaskContext.get().partitionId(), 0, [], None
+        part, made, held, of = TaskContext.get().partitionId(), -1, [], None
 
         def close():
             nonlocal made
@@ -174,43 +181,87 @@ def candidates(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray,
     return pairs
 
 
-def _compare(pairs: DataFrame, dim: int, axes: np.ndarray, least: float) -> DataFrame:
-    """(a, b, n): for each tile pair the links of a class, counted with repeats (b null), and a
+def _blocks(tiles: DataFrame, dim: int) -> DataFrame:
+    """(label, tile, block, low, high): the tiles of a label in order, as many to a block as give
+    BLOCKS blocks for the largest label, and no more than BLOCK_BYTES hold."""
+    own = tiles.groupBy("label", F.shiftright("tile", 32).alias("part")).agg(F.count("*").alias("tiles"), F.min("tile").alias("first"))
+    most = own.groupBy("label").agg(F.sum("tiles").alias("n")).agg(F.max("n")).first()[0] or 0
+    size = max(1, min(-(-most // BLOCKS), BLOCK_BYTES // (8 * dim * TILE)))
+    # a row for each partition that a label has
+    before = own.select("label", "part", "first", (F.sum("tiles").over(Window.partitionBy("label").orderBy("part")) - F.col("tiles")).alias("before"))
+    return (tiles.select("label", F.shiftright("tile", 32).alias("part"), "tile", "low", "high").join(before, ["label", "part"])
+            .select("label", "tile", F.floor((F.col("before") + F.col("tile") - F.col("first")) / size).alias("block"), "low", "high"))
+
+
+def _shipped(tiles: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (label, one, two, tile, others, ids, n, vecs), those of two blocks together: every tile that
+    has a wanted pair there, once, and the tiles to compare it with."""
+    of = ["label", "one", "two"]
+    sides = wanted.select(*of, F.explode(F.array(F.struct(F.col("ta").alias("tile"), F.col("tb").alias("other")), F.struct(
+        F.col("tb").alias("tile"), F.lit(None).cast("bigint").alias("other")))).alias("s"))
+    needed = sides.groupBy(*of, F.col("s.tile").alias("tile")).agg(F.collect_list("s.other").alias("others"))  # at most a block
+    parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, as the work isn't in the bytes
+    return (needed.join(tiles.select("tile", "ids", "n", "vecs"), "tile").repartition(parts, *of)
+            .sortWithinPartitions(*of, "tile"))
+
+
+def _compare(shipped: DataFrame, dim: int, axes: np.ndarray, least: float) -> DataFrame:
+    """(a, b, n): for each pair of tiles the links of a class, counted with repeats (b null), and a
     spanning forest of the links (a, b)."""
 
+    def opened(r: dict) -> tuple:
+        x = _matrix([r["vecs"]], dim)
+        return x, _units(x) @ axes, np.sqrt((x * x).sum(1)), np.array(r["ids"], np.int64), np.array(r["n"], np.int64)
+
+    def compared(one: tuple, two: tuple, same: bool):
+        (x, px, nx, ia, na), (y, py, ny, ib, nb) = one, two
+        i, j = candidates(px, py, least)
+        if same:
+            i, j = i[i < j], j[i < j]
+        ok = np.zeros(len(i), bool)
+        for s in range(0, len(i), 1 << 16):
+            t = slice(s, s + (1 << 16))
+            ok[t] = np.einsum("ij,ij->i", x[i[t]], y[j[t]]) / (nx[i[t]] * ny[j[t]]) >= least
+        i, j = i[ok], j[ok]
+        if not len(i):
+            return None
+        ca = np.zeros(len(ia), np.int64)
+        cb = ca if same else np.zeros(len(ib), np.int64)
+        np.add.at(ca, i, nb[j])
+        np.add.at(cb, j, na[i])
+        tree = forest(i, j if same else j + len(ia), len(ia) + (0 if same else len(ib)))
+        names = ia if same else np.concatenate([ia, ib])
+        counted = [(ia, ca)] if same else [(ia, ca), (ib, cb)]
+        ids = np.concatenate([k[c > 0] for k, c in counted])
+        n = np.concatenate([c[c > 0] for _, c in counted])
+        ta, tb = names[tree[0]], names[tree[1]]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([ids, ta])),
+             pa.array(np.concatenate([np.zeros(len(ids), np.int64), tb]), mask=np.arange(len(ids) + len(ta)) < len(ids)),
+             pa.array(np.concatenate([n, np.zeros(len(ta), np.int64)]))], names=["a", "b", "n"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, held, others = None, {}, {}
+
+        def block():
+            for a, bs in others.items():
+                for b in bs:
+                    found = compared(held[a], held[b], a == b)
+                    if found is not None:
+                        yield found
+
         for batch in batches:
-            for r in batch.to_pylist():
-                x, y = (_matrix([r[c]], dim) for c in ("va", "vb"))
-                same = r["ta"] == r["tb"]
-                i, j = candidates(_units(x) @ axes, _units(y) @ axes, least)
-                if same:
-                    i, j = i[i < j], j[i < j]
-                nx, ny = (np.sqrt((m * m).sum(1)) for m in (x, y))
-                ok = np.zeros(len(i), bool)
-                for s in range(0, len(i), 1 << 16):
-                    t = slice(s, s + (1 << 16))
-                    ok[t] = np.einsum("ij,ij->i", x[i[t]], y[j[t]]) / (nx[i[t]] * ny[j[t]]) >= least
-                i, j = i[ok], j[ok]
-                if not len(i):
-                    continue
-                ia, ib, na, nb = (np.array(r[c], np.int64) for c in ("ia", "ib", "na", "nb"))
-                ca = np.zeros(len(ia), np.int64)
-                cb = ca if same else np.zeros(len(ib), np.int64)
-                np.add.at(ca, i, nb[j])
-                np.add.at(cb, j, na[i])
-                tree = forest(i, j if same else j + len(ia), len(ia) + (0 if same else len(ib)))
-                names = ia if same else np.concatenate([ia, ib])
-                counted = [(ia, ca)] if same else [(ia, ca), (ib, cb)]
-                ids = np.concatenate([k[c > 0] for k, c in counted])
-                n = np.concatenate([c[c > 0] for _, c in counted])
-                ta, tb = names[tree[0]], names[tree[1]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([ids, ta])),
-                     pa.array(np.concatenate([np.zeros(len(ids), np.int64), tb]), mask=np.arange(len(ids) + len(ta)) < len(ids)),
-                     pa.array(np.concatenate([n, np.zeros(len(ta), np.int64)]))], names=["a", "b", "n"])
-
-    return map_batches(pairs, run, "a bigint, b bigint, n bigint")
+            for at in range(batch.num_rows):
+                r = batch.slice(at, 1).to_pylist()[0]
+                key = (repr(r["label"]), r["one"], r["two"])
+                if key != of:
+                    yield from block()
+                    held.clear(), others.clear()
+                    of = key
+                held[r["tile"]], others[r["tile"]] = opened(r), r["others"]
+        yield from block()
+
+    return map_batches(shipped, run, "a bigint, b bigint, n bigint")
 
 
 def forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -245,16 +296,14 @@ def link(vectors: DataFrame, id_col: str = "vec_id", label_col: str = "label", v
     for dim in dims:
         axes = _axes(classes, dim)
         tiles = stored(_tiles(classes, dim, axes), "tiles")
-        one, two = (tiles.select(F.col("label").alias("label"), *[F.col(c).alias(c + k) for c in ("tile", "low", "high")])
-                    for k in "ab")
+        dealt = _blocks(tiles, dim)
+        one, two = (dealt.select("label", *[F.col(c).alias(c + k) for c in ("tile", "block", "low", "high")]) for k in "ab")
         k = min(BOX, dim)
         gap = sum((F.pow(F.greatest(F.lit(0.0), F.col("lowa")[i] - F.col("highb")[i], F.col("lowb")[i] - F.col("higha")[i]), 2)
                    for i in range(k)), F.lit(0.0))
         wanted = one.join(two, "label").where("tilea <= tileb").where(gap <= near).select(
-            F.col("tilea").alias("ta"), F.col("tileb").alias("tb"))
-        pairs = (wanted.join(tiles.select(F.col("tile").alias("ta"), F.col("ids").alias("ia"), F.col("n").alias("na"), F.col("vecs").alias("va")), "ta")
-                 .join(tiles.select(F.col("tile").alias("tb"), F.col("ids").alias("ib"), F.col("n").alias("nb"), F.col("vecs").alias("vb")), "tb"))
-        links = stored(_compare(pairs, dim, axes, least), "links")
+            "label", F.col("blocka").alias("one"), F.col("blockb").alias("two"), F.col("tilea").alias("ta"), F.col("tileb").alias("tb"))
+        links = stored(_compare(_shipped(tiles, wanted), dim, axes, least), "links")
         found = links if found is None else found.union(links)
     own = classes.select("key", "cid", "n", "least")
     if found is None:

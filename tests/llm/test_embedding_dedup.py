@@ -40,8 +40,10 @@ def got(spark, rows, parts=3):
     return sorted(((r.vec_id, r.n_links, r.component_id) for r in out), key=str)
 
 
-def test_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("held", [E.BLOCK_BYTES, 2 * 16 * 24 * 8, 1])
+def test_equals_brute_force(spark, monkeypatch, held):
     monkeypatch.setattr(E, "TILE", 16)
+    monkeypatch.setattr(E, "BLOCK_BYTES", held)
     rng = np.random.default_rng(3)
     base = rng.normal(size=(6, 24))
     rows = []
@@ -62,6 +64,29 @@ def test_odd_rows(spark):
     assert got(spark, rows) == brute(rows)
 
 
+def test_ends_of_the_range(spark):
+    top, low = 1.7e308, 5e-324
+    vecs = [(1, [1e200, 1e200]), (2, [1e200, 1e200]), (3, [1e-200, 1e-200]), (4, [2e-200, 2e-200]), (5, [low, low]),
+            (6, [top, top]), (7, [top, -top]), (8, [1e200, 1e-200]), (9, [low, 0.0]), (10, [-low, 0.0]), (11, [3.0, 3.1])]
+    rows = spark.createDataFrame([(i, v, 0) for i, v in vecs], "vec_id bigint, embedding array<double>, label int")
+    out = {r.vec_id: (r.n_links, r.component_id) for r in E.link(rows.repartition(3)).collect()}
+    assert out == {**{i: (6, 1) for i in (1, 2, 3, 4, 5, 6, 11)}, 7: (0, 7), 8: (1, 8), 9: (1, 8), 10: (0, 10)}
+
+
+def test_a_tile_is_shipped_once_a_block_pair(spark):
+    """All tiles wanted with all: as many copies of a tile as there are blocks, whatever the tiles."""
+    for n in (16, 80):
+        tiles = spark.createDataFrame([(1, (i // 7 << 32) + i % 7, [0.0], [1.0], [i], [1], b"") for i in range(n)],
+                                      "label int, tile bigint, low array<double>, high array<double>, ids array<bigint>, "
+                                      "n array<bigint>, vecs binary")
+        dealt = E._blocks(tiles, 4)
+        assert sorted(r["count"] for r in dealt.groupBy("block").count().collect()) == [n // 8] * 8
+        a, b = (dealt.select("label", dealt["tile"].alias("t" + k), dealt["block"].alias(s)) for k, s in (("a", "one"), ("b", "two")))
+        shipped = E._shipped(tiles, a.join(b, "label").where("ta <= tb")).collect()
+        assert len(shipped) == n * 8
+        assert sum(len(r.others) for r in shipped) == n * (n + 1) // 2
+
+
 def test_empty_table(spark):
     assert got(spark, []) == []
 

@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 
 from .common import Memo, list_array, map_batches, slices
 
-#: Texts of about so many bytes share one replay.
-REPLAY_BYTES = 8 << 20
+#: Texts of about so many bytes share one replay; bytes of texts that are cut into pieces at a time.
+REPLAY_BYTES, CUT_BYTES = 4 << 20, 1 << 20
 #: Distinct pieces whose ids a task keeps before it starts anew.
-PIECES = 400_000
+PIECES = 200_000
 NONE = np.iinfo(np.int32).max
 SHIFT = 20
 
@@ -260,7 +260,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 memo.reset()
 
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, CUT_BYTES):
                 texts = [x or "" for x in part.column(text_col).to_pylist()]
                 flat, n = coder.cut_all(texts)
                 held.append((part.column(id_col), coder.memo.defer(flat), n))

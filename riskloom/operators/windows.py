@@ -215,6 +215,8 @@ def velocity_batch(df: DataFrame) -> DataFrame:
 
 # ---- W12 / W13: anchored counters ------------------------------------------------------------
 
+FOLD_BLOCK = 256
+
 def _long_anchors(times: DataFrame, w_us: int) -> DataFrame:
     """(k, a): the window starts of segments longer than one window. ``times`` (k, seg, t) holds
     their distinct times.
@@ -229,8 +231,9 @@ def _long_anchors(times: DataFrame, w_us: int) -> DataFrame:
     spread = times.select("k", "seg", "t", F.explode(F.array(
         F.struct(b.alias("b"), F.lit(True).alias("own")),
         F.struct((b - 1).alias("b"), F.lit(False).alias("own")))).alias("x")).select("k", "seg", "t", "x.b", "x.own")
-    after = Window.partitionBy("k", "seg", "b").orderBy("t").rangeBetween(w_us + 1, Window.unboundedFollowing)
-    jump = stored(spread.withColumn("to", F.min("t").over(after)).where("own and to is not null").select("k", "t", "to"), "jumps")
+    # from late to early, so that the frame only grows
+    after = Window.partitionBy("k", "seg", "b").orderBy("_late").rangeBetween(Window.unboundedPreceding, -(w_us + 1))
+    jump = stored(spread.withColumn("_late", -F.col("t")).withColumn("to", -F.max("_late").over(after)).where("own and to is not null").select("k", "t", "to"), "jumps")
     found = stored(times.groupBy("k", "seg").agg(F.min("t").alias("a")).select("k", "a"), "anchors")
 
     def hop(starts, jumps):
@@ -247,6 +250,56 @@ def _long_anchors(times: DataFrame, w_us: int) -> DataFrame:
                       .select("k", "t", F.col("_to").alias("to")), "jumps")
 
 
+def _placed_by_fold(d: DataFrame, w_us: int) -> DataFrame:
+    """(k, id, anchor, n) of users with a bounded number of rows: one shuffle by user, then a fold
+    over the user's sorted rows. The fold's results are gathered in blocks, so that adding
+    one copies a block at most."""
+    pair = "struct<anchor: bigint, n: bigint>"
+
+    def step(done, row):
+        last = F.element_at(done, -1)
+        opens = last["anchor"].isNull() | (row["t"] > last["anchor"] + F.lit(w_us))
+        return F.concat(done, F.array(F.struct(
+            F.when(opens, row["t"]).otherwise(last["anchor"]).alias("anchor"),
+            F.when(opens, F.lit(1).cast("long")).otherwise(last["n"] + 1).alias("n"))))
+
+    def block(done, rows):
+        carried = F.element_at(F.element_at(done, -1), -1)
+        return F.concat(done, F.array(F.slice(F.aggregate(rows, F.array(carried), step), 2, FOLD_BLOCK)))
+
+    users = d.groupBy("k").agg(F.sort_array(F.collect_list(F.struct(F.col("_ts_us").alias("t"), "id"))).alias("rows"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("rows") - 1) / F.lit(FOLD_BLOCK)).cast("int")),
+                         lambda b: F.slice("rows", b * FOLD_BLOCK + 1, FOLD_BLOCK))
+    nothing = F.array(F.array(F.lit(None).cast(pair)))
+    placed = F.slice(F.flatten(F.aggregate(blocks, nothing, block)), F.lit(2), F.size("rows"))
+    return (users.select("k", "rows", placed.alias("placed"))
+            .select("k", F.explode(F.arrays_zip("rows", "placed")).alias("x"))
+            .select("k", F.col("x.rows.id").alias("id"), F.col("x.placed.anchor").alias("anchor"), F.col("x.placed.n").alias("n")))
+
+
+def _placed_by_jumps(d: DataFrame, w_us: int) -> DataFrame:
+    """The same for users of any size, no user or segment in one task.
+
+    An event more than ``window`` after the previous one always opens a window, so the log splits
+    into segments at such gaps. A segment no longer than the window has one anchor, its start;
+    longer ones follow their chain of anchors (:func:`_long_anchors`). An event's anchor is the
+    latest one at or before it, its position the row number after that anchor."""
+    prev = F.col("_prev_ts_us")
+    start = F.when(prev.isNull() | ((F.col("_ts_us") - prev) > F.lit(w_us)), F.col("_ts_us"))
+    rows = with_user_row_index(d, "k", "id").withColumn("_start", start)
+    ev = stored(running_max(rows, "_start", "seg", "k").select("k", "id", "_ts_us", "seg"), "segments")
+    span = ev.groupBy("k", "seg").agg(F.max("_ts_us").alias("_end")).where(F.col("_end") - F.col("seg") > w_us)
+    long_ = span.select(F.col("k").alias("_k"), F.col("seg").alias("_seg"))
+    in_long = F.col("k").eqNullSafe(F.col("_k")) & (F.col("seg") == F.col("_seg"))
+    times = stored(ev.join(long_, in_long, "left_semi").select("k", "seg", F.col("_ts_us").alias("t")).distinct(), "times")
+    starts = _long_anchors(times, w_us).select(F.col("k").alias("_k"), F.col("a").alias("_a"))
+    mark = F.coalesce("_a", F.when(F.col("_ts_us") == F.col("seg"), F.col("seg")))
+    marked = ev.join(starts, F.col("k").eqNullSafe(F.col("_k")) & (F.col("_ts_us") == F.col("_a")), "left") \
+        .select("k", "id", "_ts_us", mark.alias("_mark"))
+    n = F.row_number().over(Window.partitionBy("k", "anchor").orderBy("_ts_us", "id")).cast("long")
+    return running_max(marked, "_mark", "anchor", "k").select("k", "id", "anchor", n.alias("n"))
+
+
 def anchored_counter(df: DataFrame, window_seconds: int, limit: int | None = None,
                      key: str = USER, id_col: str = TID,
                      hot_threshold: int | None = HOT_USER_ROWS) -> DataFrame:
@@ -258,52 +311,20 @@ def anchored_counter(df: DataFrame, window_seconds: int, limit: int | None = Non
     ``count_in_window`` is the stored count, which a denied event does not raise. Events without
     a time are in no window: start, count and ``allowed`` are null.
 
-    An event more than ``window`` after the previous one always opens a window, so the log splits
-    into segments at such gaps. A segment no longer than the window has one anchor, its start;
-    longer ones follow their chain of anchors (:func:`_long_anchors`). An event's anchor is the
-    latest one at or before it, its position the row number after that anchor."""
+    Users of up to ``hot_threshold`` rows are folded in one shuffle (:func:`_placed_by_fold`), users
+    above it follow jumps (:func:`_placed_by_jumps`); both give the same rows."""
     w_us = int(window_seconds) * 1_000_000
     d = _ensure_ts(df).select(F.col(key).alias("k"), F.col(id_col).alias("id"), "_ts_us")
     timeless = d.where(F.col("_ts_us").isNull())
     d = d.where(F.col("_ts_us").isNotNull())
-    seg_start = lambda prev: F.when(prev.isNull() | ((F.col("_ts_us") - prev) > F.lit(w_us)),  # noqa
-                                    F.col("_ts_us"))
-
-    def latest(rows: DataFrame, col: str, out: str, hot: bool) -> DataFrame:
-        if hot:
-            return running_max(rows, col, out, "k")
-        w = Window.partitionBy("k").orderBy("_ts_us").rangeBetween(UNB, 0)
-        return rows.withColumn(out, F.max(col).over(w))
-
     if hot_threshold is None:
-        branches = [(d, True)]
+        placed = _placed_by_jumps(d, w_us)
     elif not has_hot_keys(d, "k", hot_threshold):
-        branches = [(d, False)]
+        placed = _placed_by_fold(d, w_us)
     else:
         normal, hot = split_hot_keys(d, "k", hot_threshold)
-        branches = [(normal, False), (hot, True)]
-    out = []
-    for rows, is_hot in branches:
-        if is_hot:
-            rows = with_user_row_index(rows, "k", "id").drop("_row")
-        else:
-            rows = rows.withColumn("_prev_ts_us", F.max("_ts_us").over(
-                Window.partitionBy("k").orderBy("_ts_us").rangeBetween(UNB, -1)))
-        out.append(latest(rows.withColumn("_start", seg_start(F.col("_prev_ts_us"))), "_start", "seg", is_hot)
-                   .select("k", "id", "_ts_us", "seg", F.lit(is_hot).alias("hot")))
-    ev = stored(out[0] if len(out) == 1 else out[0].unionByName(out[1]), "segments")
-    span = ev.groupBy("k", "seg").agg(F.max("_ts_us").alias("_end")).where(F.col("_end") - F.col("seg") > w_us)
-    long_ = span.select(F.col("k").alias("_k"), F.col("seg").alias("_seg"))
-    in_long = F.col("k").eqNullSafe(F.col("_k")) & (F.col("seg") == F.col("_seg"))
-    times = stored(ev.join(long_, in_long, "left_semi").groupBy("k", "seg", F.col("_ts_us").alias("t"))
-                   .agg(F.count("*").alias("_n")).drop("_n"), "times")
-    starts = _long_anchors(times, w_us).select(F.col("k").alias("_k"), F.col("a").alias("_a"))
-    marked = ev.join(starts, F.col("k").eqNullSafe(F.col("_k")) & (F.col("_ts_us") == F.col("_a")), "left") \
-        .select("k", "id", "_ts_us", "hot", F.coalesce("_a", F.when(F.col("_ts_us") == F.col("seg"), F.col("seg"))).alias("_mark"))
-    placed = [latest(marked.where(F.col("hot") == F.lit(is_hot)), "_mark", "anchor", is_hot) for _, is_hot in branches]
-    placed = placed[0] if len(placed) == 1 else placed[0].unionByName(placed[1])
-    n = F.row_number().over(Window.partitionBy("k", "anchor").orderBy("_ts_us", "id")).cast("long")
-    res = placed.select("k", "id", "anchor", n.alias("n")).unionByName(
+        placed = _placed_by_fold(normal, w_us).unionByName(_placed_by_jumps(hot, w_us))
+    res = placed.unionByName(
         timeless.select("k", "id", F.lit(None).cast("long").alias("anchor"), F.lit(None).cast("long").alias("n")))
     res = res.select(F.col("k").alias(key), F.col("id").alias(id_col), F.timestamp_micros("anchor").alias("window_start"),
                      F.col("n").alias("count_in_window"))

@@ -1,5 +1,6 @@
 """Hand-made edges (FIXTURES.md §5)."""
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,6 +143,27 @@ def test_anchored_counter_edges(spark, hot):
     assert lim["E1"].count_in_window == 1     # a denied event leaves the count unchanged
 
 
+@pytest.mark.parametrize("hot", [250_000, None])
+def test_anchored_counter_over_many_blocks(spark, hot):
+    """1,500 rows of one user, ties included, and two short users against a plain loop."""
+    rng = random.Random(7)
+    rows, at = [], T0
+    for i in range(1500):
+        at += rng.choice([0, 1, 700, 1800, 3600, 3601]) * dt.timedelta(seconds=1)
+        rows.append(dict(transaction_id=f"B{i:04d}", user_id="U1", timestamp=at))
+    rows += [dict(transaction_id="C0", user_id="U2", timestamp=T0), dict(transaction_id="N0", user_id=None, timestamp=T0),
+             dict(transaction_id="N1", user_id=None, timestamp=T0 + US)]
+    want, state = {}, {}
+    for r in rows:
+        a, n = state.get(r["user_id"], (None, 0))
+        a, n = (r["timestamp"], 1) if a is None or r["timestamp"] > a + H else (a, n + 1)
+        state[r["user_id"]] = a, n
+        want[r["transaction_id"]] = n
+    df = txn_rows(spark, rows).repartition(5)
+    got = W.anchored_counter(df, 3600, hot_threshold=hot).collect()
+    assert {r.transaction_id: r.count_in_window for r in got} == want and len(got) == len(want)
+
+
 def test_limit_of_50_and_history_of_100(spark):
     rows = [dict(transaction_id=f"T{i:03d}", user_id="U1", timestamp=T0 + i * US)
             for i in range(101)]

@@ -85,3 +85,14 @@ def seeded_shuffle(df: DataFrame, seed: int = 42, id_col: str = "transaction_id"
 def time_order(df: DataFrame, ts: str = "timestamp", id_col: str = "transaction_id") -> DataFrame:
     return df.orderBy(F.col(ts), F.col(id_col))
 
+
+def positions(ordered: DataFrame) -> DataFrame:
+    """``ordered`` (a sorted frame) with ``position``, 1 for the first row: its place within its range
+    partition plus the rows of the partitions before (one count a partition)."""
+    from riskloom.operators.prefix import stored, window_sum
+    placed = stored(ordered.withColumn("_at", F.monotonically_increasing_id()), "ordered") \
+        .withColumn("_part", F.shiftright("_at", 33))
+    before = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")) \
+        .select("_part", F.coalesce(window_sum("_n", [], ["_part"]), F.lit(0)).alias("_before"))
+    inside = F.col("_at") - F.shiftleft("_part", 33)
+    return placed.join(before, "_part").select(*ordered.columns, (F.col("_before") + inside + 1).alias("position"))

@@ -52,6 +52,44 @@ def test_fit_calibrate_predict_cv_and_pipeline(spark, tmp_path):
     assert len(meta["top_features"]) == 15
 
 
+def test_settings_reach_the_trees(spark, tmp_path):
+    """Least child, least gain and feature subset in the saved trees; early stopping on marked rows."""
+    _, data = _data(spark)
+    m = L.train_gbt(data, maxIter=4)
+    assert (m.getFeatureSubsetStrategy(), m.getMinInstancesPerNode(), m.getMaxDepth(), m.getSubsamplingRate()) == ("0.8", 5, 6, 0.8)
+    n = data.count()
+    assert m.getMinInfoGain() == L.GAMMA / n
+    m.write().save(str(tmp_path / "m"))
+    nodes = spark.read.parquet(str(tmp_path / "m" / "data")).select("treeID", "nodeData.*").collect()
+    assert all(x.gain >= L.GAMMA / n for x in nodes if x.leftChild >= 0)
+    assert all(x.rawCount >= 5 for x in nodes)
+    marked = data.withColumn("check", F.crc32(F.col("transaction_id").cast("binary")) % 4 == 0)
+    assert 1 <= L.train_gbt(marked, validation_col="check", maxIter=30, maxDepth=5, stepSize=1.0).getNumTrees < 30
+
+
+def test_predictions_equal_a_walk_over_the_saved_trees(spark, tmp_path):
+    import math
+    _, data = _data(spark)
+    m = L.train_gbt(data, maxIter=5, maxDepth=4)
+    m.write().save(str(tmp_path / "m"))
+    trees: dict = {}
+    for x in spark.read.parquet(str(tmp_path / "m" / "data")).select("treeID", "nodeData.*").collect():
+        trees.setdefault(x.treeID, {})[x.id] = x
+    weight = m.treeWeights
+
+    def leaf(nodes, v):
+        x = nodes[0]
+        while x.leftChild >= 0:
+            left = v[x.split.featureIndex] <= x.split.leftCategoriesOrThreshold[0]
+            x = nodes[x.leftChild if left else x.rightChild]
+        return x.prediction
+
+    for r in L.predict(m, data).collect():
+        margin = sum(weight[t] * leaf(nodes, r.features) for t, nodes in trees.items())
+        assert abs(r.fraud_probability - 1 / (1 + math.exp(-2 * margin))) < 1e-9
+        assert r.prediction == int(r.fraud_probability >= 0.5)
+
+
 def test_standard_scale_population_std_and_constant(spark):
     df = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (3.0, 5.0)], "a double, b double")
     out, _ = L.standard_scale(df, ["a", "b"])

@@ -2,7 +2,11 @@
 
 ``write`` range-sorts documents by id, encodes their whole texts and packs the ids of each sorted
 run into segments; ``read`` gives every document's ids back; ``Codes.at`` reads one token without
-decoding its neighbours.
+decoding its neighbours, and ``token_at`` reads one from the files by byte offsets.
+
+The files are uncompressed text, a line a segment: its payload in base64 (three bytes in four characters, so that any
+byte has a known place), its numbers, and ids and lengths of its documents as JSON. The directory holds file and
+offset of each line.
 
 Format of a segment's payload: magic, count and number of levels; then for each level its number
 of entries, one byte for each (eight bits of the id, lowest first), and, but for the last level, a
@@ -19,7 +23,8 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable, Iterator
+from base64 import b64decode, b64encode
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -58,6 +63,31 @@ def pack(ids: np.ndarray) -> bytes:
     return b"".join(out)
 
 
+def token_of(get: Callable[[int, int], bytes], i: int) -> int:
+    """Token ``i`` of a payload of which ``get(offset, length)`` reads some bytes: per level its size, one byte of the
+    token, at most a block of the bitmap and one entry of the rank directory."""
+    if get(0, 4) != MAGIC:
+        raise ValueError("not a payload of directly addressable codes")
+    count, levels = (int(x) for x in np.frombuffer(get(4, 16), "<u8"))
+    if not 0 <= i < count:
+        raise IndexError(i)
+    at, value = 20, 0
+    for level in range(levels):
+        n = int.from_bytes(get(at, 8), "little")
+        value |= get(at + 8 + i, 1)[0] << 8 * level
+        if level + 1 == levels:
+            break
+        block, bits = i // BLOCK, at + 8 + n
+        ranks = bits + (n + 7) // 8
+        own = get(bits + block * BLOCK // 8, (i >> 3) + 1 - block * BLOCK // 8)
+        if not own[-1] >> (i & 7) & 1:
+            break
+        before = own[:-1] + bytes([own[-1] & (1 << (i & 7)) - 1])
+        i = int.from_bytes(get(ranks + 4 * block, 4), "little") + int.from_bytes(before, "little").bit_count()
+        at = ranks + 4 * ((n + BLOCK - 1) // BLOCK)
+    return value
+
+
 class Codes:
     """A payload, addressed in place."""
 
@@ -65,7 +95,7 @@ class Codes:
         if payload[:4] != MAGIC:
             raise ValueError("not a payload of directly addressable codes")
         head = np.frombuffer(payload, "<u8", 2, 4)
-        self.n, at, self.levels = int(head[0]), 20, []
+        self.payload, self.n, at, self.levels = payload, int(head[0]), 20, []
         for i in range(int(head[1])):
             n = int(np.frombuffer(payload, "<u8", 1, at)[0])
             chunk = np.frombuffer(payload, np.uint8, n, at + 8)
@@ -80,19 +110,7 @@ class Codes:
 
     def at(self, i: int) -> int:
         """Token ``i``, by one byte of each level it has."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        value, shift = 0, 0
-        for chunk, bits, ranks in self.levels:
-            value |= int(chunk[i]) << shift
-            shift += 8
-            if bits is None or not bits[i >> 3] >> (i & 7) & 1:
-                break
-            block = i // BLOCK
-            before = bits[block * BLOCK >> 3:(i >> 3) + 1].copy()
-            before[-1] &= (1 << (i & 7)) - 1
-            i = int(ranks[block]) + int(np.bitwise_count(before).sum())
-        return value
+        return token_of(lambda at, n: self.payload[at:at + n], i)
 
     def all(self) -> np.ndarray:
         """All tokens, level by level from the last."""
@@ -217,7 +235,7 @@ def word_ids(path: str, added: bool = False) -> WordIds:
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id",
           text_col: str = "text") -> None:
     """Encode and write ``docs`` in ascending order of id: segments under ``path``/segments, and
-    under ``path``/directory where each begins."""
+    under ``path``/directory where each begins, in tokens of the store and in bytes of its file."""
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["part", "segment", "n_tokens", "ids", "lengths", "payload"]
 
@@ -232,7 +250,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str
                 [pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([len(tokens)], pa.int64()),
                  pa.ListArray.from_arrays(pa.array([0, len(key)], pa.int32()), key),
                  list_array(np.concatenate(lengths), np.array([len(key)]), pa.int64()),
-                 pa.array([pack(tokens)], pa.binary())], names=names)
+                 pa.array([b64encode(pack(tokens)).decode()], pa.string())], names=names)
 
         for batch in batches:
             for part_ in slices(batch, text_col):
@@ -251,22 +269,36 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str
 
     by = [F.col(id_col).asc_nulls_first(), F.xxhash64(text_col).asc()]
     rows = docs.select(id_col, text_col).repartitionByRange(*by).sortWithinPartitions(*by)
-    (map_batches(rows, run, f"part int, segment int, n_tokens bigint, ids array<{kind}>, lengths array<bigint>, payload binary")
-     .write.option("compression", "zstd").parquet(f"{path}/segments"))
+    made = map_batches(rows, run, f"part int, segment int, n_tokens bigint, ids array<{kind}>, lengths array<bigint>, payload string")
+    (made.select(F.concat_ws("\t", "payload", "part", "segment", "n_tokens",
+                             F.to_json(F.struct("ids", "lengths"), {"ignoreNullFields": "false"})).alias("line"))
+     .write.option("compression", "none").text(f"{path}/segments"))
     spark = docs.sparkSession
-    own = spark.read.parquet(f"{path}/segments").select("part", "segment", "n_tokens")
+    own = _lines(spark, path).select("part", "segment", "n_tokens", F.col("_metadata.file_name").alias("file"),
+                                     (F.octet_length("value") + 1).cast("long").alias("size"))
     parts = own.groupBy("part").agg(F.sum("n_tokens").alias("own")).select(
         "part", (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("base"))
     inner = Window.partitionBy("part").orderBy("segment")
-    (own.join(parts, "part").select("part", "segment", (F.col("base") + F.sum("n_tokens").over(inner) - F.col("n_tokens")).alias("base"))
+    (own.join(parts, "part").select(
+        "part", "segment", (F.col("base") + F.sum("n_tokens").over(inner) - F.col("n_tokens")).alias("base"), "n_tokens",
+        "file", (F.sum("size").over(inner) - F.col("size")).alias("byte"))
      .write.parquet(f"{path}/directory"))
+    spark.createDataFrame([(f"`{id_col}` {kind}",)], "id string").coalesce(1).write.parquet(f"{path}/kind")
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.text(f"{path}/segments")
+    cell = lambda i: F.split_part("value", F.lit("\t"), F.lit(i))
+    return rows.withColumns({"part": cell(2).cast("int"), "segment": cell(3).cast("int"), "n_tokens": cell(4).cast("long")})
 
 
 def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """(part, segment, at, id, n_tokens, tokens) of every document written under ``path``: ``at`` is
     its first token in the segment, ``tokens`` its ids as little-endian 32-bit integers."""
-    rows = spark.read.parquet(f"{path}/segments")
-    kind = rows.schema["ids"].dataType.elementType.simpleString()
+    kind = spark.read.parquet(f"{path}/kind").first()[0].rpartition("` ")[2]
+    head = F.from_json(F.substring_index("value", "\t", -1), f"ids array<{kind}>, lengths array<bigint>")
+    rows = _lines(spark, path).withColumn("h", head).select(
+        "part", "segment", "n_tokens", "h.ids", "h.lengths", F.substring_index("value", "\t", 1).alias("payload"))
     schema = f"part int, segment int, at bigint, `{id_col}` {kind}, n_tokens bigint, tokens binary"
     names = ["part", "segment", "at", id_col, "n_tokens", "tokens"]
 
@@ -274,7 +306,7 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                tokens = Codes(row.column("payload")[0].as_py()).all().astype("<u4").tobytes()
+                tokens = Codes(b64decode(row.column("payload")[0].as_py())).all().astype("<u4").tobytes()
                 key = row.column("ids").flatten()
                 n = row.column("lengths").flatten().to_numpy()
                 ends = np.cumsum(n)
@@ -292,18 +324,39 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
 
 def with_starts(documents: DataFrame, path: str) -> DataFrame:
     """Rows of ``read``, or columns made of them, with ``start``: the tokens of all documents before."""
-    first = documents.sparkSession.read.parquet(f"{path}/directory")
+    first = documents.sparkSession.read.parquet(f"{path}/directory").select("part", "segment", "base")
     return documents.join(first, ["part", "segment"]).withColumn("start", F.col("base") + F.col("at")).drop(
         "part", "segment", "at", "base")
 
 
 def token_at(spark: SparkSession, path: str, position: int) -> int | None:
-    """The token at a position of the whole store, by its segment alone."""
-    first = spark.read.parquet(f"{path}/directory").where(F.col("base") <= position).orderBy(F.col("base").desc(), F.col("part").desc(), F.col("segment").desc()).first()
+    """The token at a position of the whole store: a directory row, then some bytes of one file."""
+    first = spark.read.parquet(f"{path}/directory").where((F.col("base") <= position) & (F.col("base") + F.col("n_tokens") > position)).first()
     if first is None or position < 0:
         return None
-    row = spark.read.parquet(f"{path}/segments").where((F.col("part") == first.part) & (F.col("segment") == first.segment)) \
-        .select("payload").first()
-    codes = Codes(bytes(row.payload))
-    at = position - first.base
-    return codes.at(at) if at < codes.n else None
+    with PlainFile(spark, f"{path}/segments/{first.file}") as file:
+        return token_of(lambda at, n: file.base64(first.byte, at, n), position - first.base)
+
+
+class PlainFile:
+    """A file of any file system that Spark reaches, read by offsets; ``taken`` counts the bytes."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        name = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.stream, self.taken = name.getFileSystem(spark._jsc.hadoopConfiguration()).open(name), 0
+
+    def __enter__(self) -> PlainFile:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.stream.close()
+
+    def bytes(self, at: int, n: int) -> bytes:
+        self.stream.seek(at)
+        self.taken += n
+        return bytes(self.stream.readNBytes(n))
+
+    def base64(self, start: int, at: int, n: int) -> bytes:
+        """Bytes ``at`` to ``at + n`` of what stands in base64 from ``start`` on."""
+        a, b = at // 3, (at + n + 2) // 3
+        return b64decode(self.bytes(start + 4 * a, 4 * (b - a)))[at - 3 * a:at - 3 * a + n]

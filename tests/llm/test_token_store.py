@@ -91,3 +91,26 @@ def test_empty_table(spark, tmp_path):
     path = str(tmp_path / "tokens")
     token_store.write(no_docs(spark), path, PATH, end_id=1)
     assert token_store.with_starts(token_store.read(spark, path), path).count() == 0
+
+
+def test_one_token_takes_some_bytes_of_a_file(spark, tmp_path, monkeypatch):
+    """A store of three files and over a hundred thousand tokens; each of a spread of positions takes under 400 bytes."""
+    tokenizer, path, taken = Tokenizer.from_file(PATH), str(tmp_path / "to kens"), []
+    texts = [f"{i} the quick brown fox {i * 7919} jumps over " * 60 for i in range(150)]
+    monkeypatch.setattr(token_store, "SEGMENT", 9_000)
+    token_store.write(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), path, PATH, end_id=1)
+    want = [x for t in texts for x in [*tokenizer.encode(t, add_special_tokens=False).ids, 1]]
+    real = token_store.PlainFile.__exit__
+    monkeypatch.setattr(token_store.PlainFile, "__exit__", lambda self, *a: (taken.append(self.taken), real(self, *a))[1])
+    at = [0, 1, len(want) // 3, len(want) // 2, len(want) - 1]
+    assert len(want) > 100_000 and [token_store.token_at(spark, path, i) for i in at] == [want[i] for i in at]
+    assert len(taken) == len(at) and max(taken) < 400
+    assert token_store.token_at(spark, path, len(want)) is None
+
+
+def test_string_and_null_ids_come_back(spark, tmp_path):
+    path = str(tmp_path / "tokens")
+    docs = spark.createDataFrame([("a\tb\n\"", "one two"), (None, None), ("é", "")], "name string, text string")
+    token_store.write(docs, path, PATH, end_id=1, id_col="name")
+    got = {r.name: r.n_tokens for r in token_store.read(spark, path, "name").collect()}
+    assert got == {"a\tb\n\"": 3, None: 1, "é": 1}

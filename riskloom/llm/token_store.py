@@ -4,9 +4,9 @@
 run into segments; ``read`` gives every document's ids back; ``Codes.at`` reads one token without
 decoding its neighbours, and ``token_at`` reads one from the files by byte offsets.
 
-The files are uncompressed text, a line a segment: its payload in base64 (three bytes in four characters, so that any
-byte has a known place), its numbers, and ids and lengths of its documents as JSON. The directory holds file and
-offset of each line.
+The files are uncompressed text, a line a segment: its numbers, its payload in base64 (three bytes in four characters, so
+that any byte has a known place), and ids and lengths of its documents as JSON. The directory holds the file of each
+payload and its offset there.
 
 Format of a segment's payload: magic, count and number of levels; then for each level its number
 of entries, one byte for each (eight bits of the id, lowest first), and, but for the last level, a
@@ -270,35 +270,33 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str
     by = [F.col(id_col).asc_nulls_first(), F.xxhash64(text_col).asc()]
     rows = docs.select(id_col, text_col).repartitionByRange(*by).sortWithinPartitions(*by)
     made = map_batches(rows, run, f"part int, segment int, n_tokens bigint, ids array<{kind}>, lengths array<bigint>, payload string")
-    (made.select(F.concat_ws("\t", "payload", "part", "segment", "n_tokens",
+    (made.select(F.concat_ws("\t", "part", "segment", "n_tokens", "payload",
                              F.to_json(F.struct("ids", "lengths"), {"ignoreNullFields": "false"})).alias("line"))
      .write.option("compression", "none").text(f"{path}/segments"))
     spark = docs.sparkSession
-    own = _lines(spark, path).select("part", "segment", "n_tokens", F.col("_metadata.file_name").alias("file"),
-                                     (F.octet_length("value") + 1).cast("long").alias("size"))
+    line = spark.read.text(f"{path}/segments").withColumn("numbers", F.substring_index("value", "\t", 3))
+    number = lambda i: F.split_part("numbers", F.lit("\t"), F.lit(i))
+    # slim rows, read twice below
+    line.select(number(1).cast("int").alias("part"), number(2).cast("int").alias("segment"), number(3).cast("long").alias("n_tokens"),
+                F.col("_metadata.file_name").alias("file"), (F.octet_length("value") + 1).cast("long").alias("size"),
+                (F.octet_length("numbers") + 1).alias("skip")).write.parquet(f"{path}/lines")
+    own = spark.read.parquet(f"{path}/lines")
     parts = own.groupBy("part").agg(F.sum("n_tokens").alias("own")).select(
         "part", (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("base"))
     inner = Window.partitionBy("part").orderBy("segment")
     (own.join(parts, "part").select(
         "part", "segment", (F.col("base") + F.sum("n_tokens").over(inner) - F.col("n_tokens")).alias("base"), "n_tokens",
-        "file", (F.sum("size").over(inner) - F.col("size")).alias("byte"))
+        "file", (F.sum("size").over(inner) - F.col("size") + F.col("skip")).alias("byte"))
      .write.parquet(f"{path}/directory"))
     spark.createDataFrame([(f"`{id_col}` {kind}",)], "id string").coalesce(1).write.parquet(f"{path}/kind")
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.text(f"{path}/segments")
-    cell = lambda i: F.split_part("value", F.lit("\t"), F.lit(i))
-    return rows.withColumns({"part": cell(2).cast("int"), "segment": cell(3).cast("int"), "n_tokens": cell(4).cast("long")})
-
-
 def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """(part, segment, at, id, n_tokens, tokens) of every document written under ``path``: ``at`` is
     its first token in the segment, ``tokens`` its ids as little-endian 32-bit integers."""
     kind = spark.read.parquet(f"{path}/kind").first()[0].rpartition("` ")[2]
     head = F.from_json(F.substring_index("value", "\t", -1), f"ids array<{kind}>, lengths array<bigint>")
-    rows = _lines(spark, path).withColumn("h", head).select(
-        "part", "segment", "n_tokens", "h.ids", "h.lengths", F.substring_index("value", "\t", 1).alias("payload"))
+    rows = spark.read.text(f"{path}/segments").withColumn("h", head).select("value", "h.ids", "h.lengths")
     schema = f"part int, segment int, at bigint, `{id_col}` {kind}, n_tokens bigint, tokens binary"
     names = ["part", "segment", "at", id_col, "n_tokens", "tokens"]
 
@@ -306,7 +304,8 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                tokens = Codes(b64decode(row.column("payload")[0].as_py())).all().astype("<u4").tobytes()
+                part, segment, _, payload, _ = row.column("value")[0].as_py().split("\t", 4)
+                tokens = Codes(b64decode(payload)).all().astype("<u4").tobytes()
                 key = row.column("ids").flatten()
                 n = row.column("lengths").flatten().to_numpy()
                 ends = np.cumsum(n)
@@ -314,8 +313,8 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
                     b = min(a + 1024, len(key))
                     own = [tokens[4 * (e - m):4 * e] for e, m in zip(ends[a:b].tolist(), n[a:b].tolist())]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([row.column("part")[0].as_py()] * (b - a), pa.int32()),
-                         pa.array([row.column("segment")[0].as_py()] * (b - a), pa.int32()),
+                        [pa.array([int(part)] * (b - a), pa.int32()),
+                         pa.array([int(segment)] * (b - a), pa.int32()),
                          pa.array(ends[a:b] - n[a:b], pa.int64()), key.slice(a, b - a),
                          pa.array(n[a:b], pa.int64()), pa.array(own, pa.binary())], names=names)
 

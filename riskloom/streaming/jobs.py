@@ -217,6 +217,13 @@ def stream_latency(scored: DataFrame, watermark: str = WATERMARK) -> DataFrame:
                 F.col("_p")[2].alias("p99_latency_ms"))
 
 
+def stream_latency_sketches(scored: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+    """ST8/ST3: a mergeable latency sketch per event-time minute, to be rolled up to any longer bucket."""
+    from riskloom.operators.sketches import by_bucket
+    return by_bucket(scored.withWatermark("scored_at", watermark), F.window("scored_at", "1 minute")) \
+        .select(F.col("bucket.start").alias("bucket"), "n", "sketch")
+
+
 # ---------------------------------------------------------------------------------------------
 # ST4-ST6: keyed state with TTL (applyInPandasWithState, event-time timeouts)
 # ---------------------------------------------------------------------------------------------

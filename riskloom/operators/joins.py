@@ -69,20 +69,41 @@ def high_risk_transactions(txn: DataFrame, scores: DataFrame, cut: float = S.HIG
 
 
 # J4
+CELL_ROWS = 20_000
+
+
 def history_interval_join(txn: DataFrame, hours: int = 24, user: str = "user_id",
-                          id_col: str = "transaction_id") -> DataFrame:
+                          id_col: str = "transaction_id", cell_rows: int = CELL_ROWS) -> DataFrame:
     """Pairs (transaction, earlier transaction of the same user within ``hours``), lower edge
     inclusive, strictly earlier timestamps. Equi key (user, time bucket of width W) plus a
-    range residual: each row probes its own and the previous bucket, so a hot user is split
-    by time and the join stays an equi-join (no nested loop)."""
+    range residual: each row probes its own and the previous bucket, so the join stays an equi-join
+    (no nested loop).
+
+    A bucket that would meet more than ``cell_rows`` rows is cut into a grid: its rows and the rows they meet
+    are dealt by a hash of the id into parts of about that size, each part is copied along the other axis, and every pair
+    meets in one cell. Rows without a user or a time are in no pair."""
     w_us = hours * S.HOUR_US
     base = txn.select(user, id_col, "timestamp", "amount", "merchant_category", "country") \
-        .withColumn("_t", F.unix_micros(F.col("timestamp")))
+        .withColumn("_t", F.unix_micros(F.col("timestamp"))).where(F.col(user).isNotNull() & F.col("_t").isNotNull())
     cur = base.withColumn("_b", F.floor(F.col("_t") / w_us).cast("long"))
-    hist = base.withColumn("_b0", F.floor(F.col("_t") / w_us).cast("long")) \
-        .withColumn("_b", F.explode(F.array(F.col("_b0"), F.col("_b0") + 1))).drop("_b0")
+    hist = cur.withColumn("_b0", F.col("_b")).withColumn("_b", F.explode(F.array(F.col("_b0"), F.col("_b0") + 1)))
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(cell_rows))).cast("int")
+    own = F.count_if(F.col("_b") == F.col("_b0"))
+    grid = (hist.groupBy(F.col(user).alias("_gu"), F.col("_b").alias("_gb")).agg(F.count(F.lit(1)).alias("_met"), own.alias("_own"))
+            .where((F.col("_met") > cell_rows) & (F.col("_own") > 0))
+            .select("_gu", "_gb", parts(F.col("_own")).alias("_rows"), parts(F.col("_met")).alias("_cols")))
+
+    def dealt(rows: DataFrame, mine: str, other: str, place: str, copies: str) -> DataFrame:
+        one = lambda c: F.coalesce(F.col(c), F.lit(1))
+        d = rows.join(grid, (F.col(user) == F.col("_gu")) & (F.col("_b") == F.col("_gb")), "left")
+        return (d.withColumn(place, F.pmod(F.xxhash64(id_col, "_t"), one(mine)).cast("int"))
+                .withColumn(copies, F.explode(F.sequence(F.lit(0), one(other) - 1)))
+                .drop("_gu", "_gb", "_rows", "_cols"))
+
+    cur = dealt(cur, "_rows", "_cols", "_i", "_j")
+    hist = dealt(hist.drop("_b0"), "_cols", "_rows", "_j", "_i")
     h = hist.select(*[F.col(c).alias("h_" + c) for c in hist.columns])
-    j = cur.join(h, (cur[user] == h["h_" + user]) & (cur["_b"] == h["h__b"])
+    j = cur.join(h, (cur[user] == h["h_" + user]) & (cur["_b"] == h["h__b"]) & (cur["_i"] == h["h__i"]) & (cur["_j"] == h["h__j"])
                  & (h["h__t"] < cur["_t"]) & (h["h__t"] >= cur["_t"] - F.lit(w_us)), "inner")
     return j.select(cur[user], cur[id_col], cur["timestamp"],
                     h["h_" + id_col].alias("hist_transaction_id"),

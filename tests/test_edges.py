@@ -164,6 +164,21 @@ def test_anchored_counter_over_many_blocks(spark, hot):
     assert {r.transaction_id: r.count_in_window for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("cell", [20_000, 7, 1])
+def test_history_pairs_of_a_user_with_half_of_the_log(spark, cell):
+    """Every pair once, however finely the cells are cut; ties, the window's edges, null users and times."""
+    from riskloom.operators import joins as J
+    rng = random.Random(5)
+    rows = [dict(transaction_id=f"T{i:03d}", user_id="hot" if i % 2 else f"u{i % 7}",
+                 timestamp=T0 + rng.randrange(0, 60) * H) for i in range(240)]
+    rows += [dict(transaction_id="N0", user_id=None, timestamp=T0), dict(transaction_id="N1", user_id="hot", timestamp=None)]
+    want = sorted((a["transaction_id"], b["transaction_id"]) for a in rows for b in rows
+                  if a["user_id"] and a["user_id"] == b["user_id"] and a["timestamp"] and b["timestamp"]
+                  and a["timestamp"] - 24 * H <= b["timestamp"] < a["timestamp"])
+    got = J.history_interval_join(txn_rows(spark, rows), 24, cell_rows=cell)
+    assert sorted((r.transaction_id, r.hist_transaction_id) for r in got.collect()) == want
+
+
 def test_limit_of_50_and_history_of_100(spark):
     rows = [dict(transaction_id=f"T{i:03d}", user_id="U1", timestamp=T0 + i * US)
             for i in range(101)]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import schema as S
-from riskloom.operators.prefix import running_totals
+from riskloom.operators.prefix import running_totals, stored
 from riskloom.operators.timeline import join_null_safe
 
 
@@ -23,14 +23,19 @@ def _c(x) -> Column:
 # ---- exact percentiles --------------------------------------------------------------------
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str,
-                      probs: dict[str, float]) -> DataFrame:
+                      probs: dict[str, float], counted: str | None = None) -> DataFrame:
     """Linear-interpolated percentiles (same definition as Spark ``percentile`` and SQL
     ``percentile_cont``) per group; result columns named by ``probs`` keys.
 
     Histogram (group, value) → count, then per group the cumulative count; the value at
-    0-based rank k is the smallest value with cum > k. Without ``keys`` there is one row."""
+    0-based rank k is the smallest value with cum > k. Without ``keys`` there is one row. With ``counted``
+    the rows are such a histogram already, and that column holds the counts."""
     v = F.col(value)
-    hist = df.where(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_cnt"))
+    hist = df.where(v.isNotNull())
+    if counted:
+        hist = hist.select(*keys, value, F.col(counted).alias("_cnt"))
+    else:
+        hist = hist.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_cnt"))
     before = running_totals(hist, keys, [value], {"_before": "_cnt"})
     total = before.groupBy(*keys).agg(F.sum("_cnt").alias("_n"))
     if keys:
@@ -52,6 +57,11 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str,
     return r.select(*keys, *outs)
 
 
+def _mean(value: str, n: str) -> Column:
+    """Mean of ``value`` over rows that stand for ``n`` rows each; missing values don't count."""
+    return F.try_divide(F.sum(F.col(value) * F.col(n)), F.sum(F.when(F.col(value).isNotNull(), F.col(n))))
+
+
 # ---- A1 -----------------------------------------------------------------------------------
 
 def fraud_statistics(scores: DataFrame, hours: int | None = None,
@@ -98,19 +108,24 @@ def hourly_rollup(scored: DataFrame) -> DataFrame:
     score and latency, exact p50/p95/p99 latency. ``scored`` carries the transaction amount
     (score log joined to transactions)."""
     fraud = F.col("fraud_score") > S.FRAUD_SCORE_CUT
-    d = scored.withColumn("hour_bucket", F.date_trunc("hour", "scored_at"))
-    base = d.groupBy("hour_bucket").agg(
+    # one pass over the rows: an aggregate per hour and latency, from which sums and ranks both follow
+    cells = stored(scored.groupBy(F.date_trunc("hour", "scored_at").alias("hour_bucket"), "latency_ms").agg(
         F.count(F.lit(1)).alias("total_transactions"),
         F.count_if(fraud).alias("fraud_count"),
         F.count_if(F.col("decision") == "DECLINE").alias("declined_count"),
         F.count_if(F.col("decision") == "REVIEW").alias("review_count"),
-        F.coalesce(F.sum("amount"), F.lit(0.0)).alias("total_amount"),
-        F.coalesce(F.sum(F.when(fraud, F.col("amount"))), F.lit(0.0)).alias("fraud_amount"),
-        F.avg("fraud_score").alias("avg_score"),
-        F.avg("latency_ms").alias("avg_latency_ms"))
-    pct = exact_percentiles(d, ["hour_bucket"], "latency_ms",
+        F.sum("amount").alias("total_amount"),
+        F.sum(F.when(fraud, F.col("amount"))).alias("fraud_amount"),
+        F.sum("fraud_score").alias("_score"), F.count("fraud_score").alias("_scores")), "rollup")
+    added = lambda c: F.sum(c).alias(c)
+    base = cells.groupBy("hour_bucket").agg(
+        *[added(c) for c in ("total_transactions", "fraud_count", "declined_count", "review_count")],
+        *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("total_amount", "fraud_amount")],
+        F.try_divide(F.sum("_score"), F.sum("_scores")).alias("avg_score"),
+        _mean("latency_ms", "total_transactions").alias("avg_latency_ms"))
+    pct = exact_percentiles(cells, ["hour_bucket"], "latency_ms",
                             {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95,
-                             "p99_latency_ms": 0.99})
+                             "p99_latency_ms": 0.99}, "total_transactions")
     return base.join(pct, "hour_bucket", "left")
 
 
@@ -151,15 +166,17 @@ def value_counts(df: DataFrame, col: str, where: Column | None = None) -> DataFr
 def latency_summary(scores: DataFrame, sla_ms: float = S.SLA_LATENCY_MS) -> DataFrame:
     """Load-test style summary: requests, failures (latency > SLA), failure %, requests per
     second over the covered span, median, mean, p95, p99."""
-    base = scores.agg(
-        F.count(F.lit(1)).alias("requests"),
-        F.count_if(F.col("latency_ms") > sla_ms).alias("failures"),
-        F.avg("latency_ms").alias("mean_latency_ms"),
-        ((F.max(F.unix_micros("scored_at")) - F.min(F.unix_micros("scored_at"))) / 1e6)
-        .alias("_span_s"))
+    at = F.unix_micros("scored_at")
+    cells = stored(scores.groupBy("latency_ms").agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_from"),
+                                                    F.max(at).alias("_to")), "latencies")
+    base = cells.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("requests"),
+        F.coalesce(F.sum(F.when(F.col("latency_ms") > sla_ms, F.col("_n"))), F.lit(0)).alias("failures"),
+        _mean("latency_ms", "_n").alias("mean_latency_ms"),
+        ((F.max("_to") - F.min("_from")) / 1e6).alias("_span_s"))
     names = {"median_latency_ms": 0.5, "p95_latency_ms": 0.95, "p99_latency_ms": 0.99}
-    pct = exact_percentiles(scores, [], "latency_ms", names).first()  # one row of three numbers
-    j = base.withColumns({n: F.lit(pct[n]).cast("double") for n in names})
+    pct = exact_percentiles(cells, [], "latency_ms", names, "_n").select(F.struct(*names)).scalar()
+    j = base.withColumn("_pct", pct).select("*", "_pct.*")
     return j.where("requests > 0").select(
         "requests", "failures",
         (F.try_divide(F.col("failures") * 100.0, F.greatest(F.lit(1), F.col("requests"))))

@@ -75,7 +75,9 @@ def stratified_folds(df: DataFrame, k: int = 5, label: str = "is_fraud", seed: i
 def standard_scale(df: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
     """(x - mean) / population std; a constant column divides by 1. Returns (scaled frame,
     fitted statistics). Fitting is one aggregate pass whose single row (2 numbers per column,
-    the scaler's parameters) is the model; the transform uses them as literals."""
+    the scaler's parameters) is the model; the transform uses them as literals. The rows are written
+    once, so that what leads to them isn't run again by the transform."""
+    df = stored(df, "unscaled")
     stats = fit_scaler(df, cols)
     return apply_scaler(df, stats), stats
 

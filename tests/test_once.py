@@ -1,13 +1,16 @@
 """What is read several times is computed once, and tasks stay bounded as rows grow."""
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, T0, txn_rows
 from riskloom.operators import learning as L
+from riskloom.operators import sweep
 from riskloom.operators import timeline as TL
 from riskloom.operators import windows as W
+from riskloom.operators.prefix import FREE_SHUFFLES, stored
 from riskloom.plans import catalog
 from riskloom.streaming import jobs as ST
 
@@ -123,3 +126,36 @@ def test_chunks_are_several_files_of_one_batch(spark, tmp_path):
     got = ST.run_to_table(spark, ST.stream_velocity(stream, 3600), out, ckpt)
     want = W.anchored_counter(log, 3600).select("user_id", "transaction_id", "window_start", "count_in_window")
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def _shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = [found.apply(i).getName() for i in range(found.size())]
+    return {n for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+
+
+def _left(spark, before, most=0):
+    """Number of shuffle files that weren't there before; the cleaner works by itself, so it gets some time."""
+    until = time.time() + 20
+    while (left := len(_shuffle_files(spark) - before)) > most and time.time() < until:
+        time.sleep(0.2)
+    return left
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    before = _shuffle_files(spark)
+    df = L.stratified_split(_labelled(spark).repartition(5, "b"), "label", 0.2)
+    assert len(stored(df).collect()) == 400
+    assert not _left(spark, before)
+    assert len(df.collect()) == 400 and len(stored(df).collect()) == 400  # it may be written again
+    assert spark.conf.get(FREE_SHUFFLES) == "false"
+
+
+
+def test_cells_are_fewer_than_the_events(spark):
+    """What a cell inherits is shuffled three times, so the cells must be few beside the rows of a user."""
+    log = txn_rows(spark, [dict(transaction_id=f"T{i}", user_id="u", timestamp=T0 + dt.timedelta(minutes=20 * i)) for i in range(216)])
+    rows = TL.with_ts_us(log).select(F.lit("u").alias("k"), F.col("_ts_us").alias("t"), F.lit(0).alias("r"), F.struct("transaction_id").alias("row"))
+    events = sweep._events(rows, W.velocity_columns((1, 6, 24), (), (), ()))
+    cells = sweep._celled(events).select("k", "_cell").distinct().count()
+    assert events.count() == 4 * 216 and cells <= 4 * 4 + 1

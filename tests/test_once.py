@@ -5,13 +5,14 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL, T0, txn_rows
+from conftest import SF_SMALL, T0, profile_rows, txn_rows
 from riskloom.operators import learning as L
 from riskloom.operators import sweep
 from riskloom.operators import timeline as TL
 from riskloom.operators import windows as W
 from riskloom.operators.prefix import FREE_SHUFFLES, stored
 from riskloom.plans import catalog
+from riskloom.plans.features import build_features
 from riskloom.streaming import jobs as ST
 
 
@@ -151,11 +152,46 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     assert spark.conf.get(FREE_SHUFFLES) == "false"
 
 
+def test_scored_batches_leave_no_shuffle_files(spark, tmp_path):
+    log = txn_rows(spark, [dict(transaction_id=f"T{i}", user_id=f"u{i % 3}", timestamp=T0 + dt.timedelta(minutes=i)) for i in range(60)])
+    before = _shuffle_files(spark)
+    for n in range(2):
+        ST.score_batch(spark, log.where(F.minute("timestamp") % 2 == n), n, profile_rows(spark, []), str(tmp_path / "h"), str(tmp_path / "out"), buckets=2)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 60
+    # what is left are counts of users, ids and times: no rows with features
+    assert _left(spark, before, 10) <= 10
+
+
+def test_history_rows_end_with_the_windows(spark):
+    log = txn_rows(spark, [dict(transaction_id=f"T{i:02d}", user_id=f"u{i % 3}", timestamp=T0 + dt.timedelta(minutes=7 * i), amount=float(i))
+                           for i in range(40)])
+    prof = profile_rows(spark, [dict(user_id="u1", home_country="US", avg_txn_amount=20.0, std_txn_amount=5.0, avg_monthly_txns=9)])
+    late = F.col("transaction_id") >= "T30"
+    every = build_features(log, prof).where(late)
+    some = build_features(log.withColumn("_due", late), prof, only="_due")
+    assert some.columns == every.columns
+    assert sorted(map(str, some.collect())) == sorted(map(str, every.collect())) and some.count() == 10
+
+
+def test_old_history_makes_no_events(spark):
+    """Rows over a day before a user's due rows are in no range window: the same features from fewer events."""
+    log = txn_rows(spark, [dict(transaction_id=f"T{i:02d}", user_id=f"u{i % 3}", timestamp=T0 + dt.timedelta(hours=2 * i), amount=float(i),
+                                merchant_category=["grocery", "online"][i % 2], device_id=f"d{i % 5}") for i in range(40)])
+    late = F.col("transaction_id") >= "T30"
+    old = F.col("timestamp") < F.lit(T0 + dt.timedelta(hours=60 - 24))
+    every = build_features(log, profile_rows(spark, [])).where(late)
+    some = build_features(log.withColumn("_due", late).withColumn("_past", old), profile_rows(spark, []), only="_due", past="_past")
+    assert sorted(map(str, some.collect())) == sorted(map(str, every.collect()))
+    rows = TL.with_ts_us(log).select(F.col("user_id").alias("k"), F.col("_ts_us").alias("t"), F.lit(0).alias("r"), old.alias("q"),
+                                     F.struct("transaction_id").alias("row"))
+    assert sweep._events(rows, W.velocity_columns((1,), (), ())).count() == 40 + 22
+
 
 def test_cells_are_fewer_than_the_events(spark):
     """What a cell inherits is shuffled three times, so the cells must be few beside the rows of a user."""
     log = txn_rows(spark, [dict(transaction_id=f"T{i}", user_id="u", timestamp=T0 + dt.timedelta(minutes=20 * i)) for i in range(216)])
-    rows = TL.with_ts_us(log).select(F.lit("u").alias("k"), F.col("_ts_us").alias("t"), F.lit(0).alias("r"), F.struct("transaction_id").alias("row"))
+    rows = TL.with_ts_us(log).select(F.lit("u").alias("k"), F.col("_ts_us").alias("t"), F.lit(0).alias("r"), F.lit(False).alias("q"),
+                                     F.struct("transaction_id").alias("row"))
     events = sweep._events(rows, W.velocity_columns((1, 6, 24), (), (), ()))
     cells = sweep._celled(events).select("k", "_cell").distinct().count()
     assert events.count() == 4 * 216 and cells <= 4 * 4 + 1

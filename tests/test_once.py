@@ -195,3 +195,29 @@ def test_cells_are_fewer_than_the_events(spark):
     events = sweep._events(rows, W.velocity_columns((1, 6, 24), (), (), ()))
     cells = sweep._celled(events).select("k", "_cell").distinct().count()
     assert events.count() == 4 * 216 and cells <= 4 * 4 + 1
+
+
+def _trained(monkeypatch):
+    """Settings of the fits that follow, which are made with two rounds."""
+    used = []
+
+    def train(d, *args, **kw):
+        used.append(L.GBT_DEFAULTS | kw)
+        return plain(d, *args, **kw | {"maxIter": 2, "maxDepth": 2})
+    plain = L.train_gbt
+    monkeypatch.setattr(L, "train_gbt", train)
+    return used
+
+
+def test_cross_validate_query_trains_all_rounds(spark, monkeypatch):
+    used = _trained(monkeypatch)
+    got = {r.metric: r.value for r in catalog.QUERIES["cross_validate"](spark, SF_SMALL).collect()}
+    assert [u["maxIter"] for u in used] == [200] * 5 and got["folds"] == 5 and 0 <= got["roc_auc_mean"] <= 1
+
+
+def test_folds_fitted_at_a_time_or_together_are_the_same(spark, monkeypatch):
+    data = L.assemble(_labelled(spark), ["a", "b"]).persist()
+    together = L.cross_validate(data, 3, "label", maxIter=2, maxDepth=2)
+    monkeypatch.setattr(L, "PARTITION_ROWS", 500)
+    assert L.cross_validate(data, 3, "label", maxIter=2, maxDepth=2) == together
+    data.unpersist()

@@ -215,6 +215,12 @@ def test_cross_validate_query_trains_all_rounds(spark, monkeypatch):
     assert [u["maxIter"] for u in used] == [200] * 5 and got["folds"] == 5 and 0 <= got["roc_auc_mean"] <= 1
 
 
+def test_train_pipeline_query_trains_all_rounds_of_all_folds(spark, monkeypatch):
+    used = _trained(monkeypatch)
+    got = {r.metric: r.value for r in catalog.QUERIES["train_pipeline"](spark, SF_SMALL).collect()}
+    assert [u["maxIter"] for u in used] == [200] * 6 and got["cv.folds"] == 5 and 0 <= got["metrics.roc_auc"] <= 1
+
+
 def test_folds_fitted_at_a_time_or_together_are_the_same(spark, monkeypatch):
     data = L.assemble(_labelled(spark), ["a", "b"]).persist()
     together = L.cross_validate(data, 3, "label", maxIter=2, maxDepth=2)
